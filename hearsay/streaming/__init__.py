@@ -1,0 +1,5 @@
+"""Intentionally empty: the reproduced pipeline is batch only.
+
+Incremental runs are covered by ``operators.aggregates.merge_counts``, which
+adds the partial counts of newly landed slices to an existing aggregate.
+"""
