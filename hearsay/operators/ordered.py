@@ -157,14 +157,16 @@ def with_range(df: DataFrame, col: str, out_col: str = "_range",
 
 
 def running_totals(df: DataFrame, order_col: str, sums: Mapping[str, str],
-                   group_cols: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
+                   group_cols: Sequence[str] = (), ranges: int | None = None,
+                   keep_range: bool = False) -> DataFrame:
     """Inclusive running sums over ascending ``order_col``.
 
     ``df`` holds one row per (group, value), e.g. counts per score.  ``sums`` maps
-    the output name to the summed column.
+    the output name to the summed column.  ``keep_range`` leaves the range number in
+    place, and a frame that has one already is not spread again.
     """
     group = list(group_cols)
-    spread = with_range(df, order_col, ranges=ranges)
+    spread = _spread(df, order_col, ranges)
     local = Window.partitionBy(*group, "_range").orderBy(order_col) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     earlier = (Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))) \
@@ -179,7 +181,11 @@ def running_totals(df: DataFrame, order_col: str, sums: Mapping[str, str],
     joined = _join_on(summed, offsets, [*group, "_range"])
     for o in sums:
         joined = joined.withColumn(o, F.col(o) + F.col(f"_o_{o}")).drop(f"_o_{o}")
-    return joined.drop("_range")
+    return joined if keep_range else joined.drop("_range")
+
+
+def _spread(df: DataFrame, order_col: str, ranges: int | None) -> DataFrame:
+    return df if "_range" in df.columns else with_range(df, order_col, ranges=ranges)
 
 
 def _join_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -190,7 +196,7 @@ def next_row(df: DataFrame, order_col: str, columns: Mapping[str, str],
              group_cols: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
     """Values of the next row by ascending ``order_col`` (null at the end)."""
     group = list(group_cols)
-    spread = with_range(df, order_col, ranges=ranges)
+    spread = _spread(df, order_col, ranges)
     local = Window.partitionBy(*group, "_range").orderBy(order_col)
     over_ranges = (Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))) \
         .orderBy("_range")
@@ -203,7 +209,8 @@ def next_row(df: DataFrame, order_col: str, columns: Mapping[str, str],
     out = _join_on(spread.withColumn("_lead", F.lead(picked).over(local)), firsts,
                    [*group, "_range"])
     chosen = F.coalesce("_lead", "_over")
-    return out.select(*df.columns, *[chosen[o].alias(o) for o in columns])
+    kept = [c for c in df.columns if c != "_range"]
+    return out.select(*kept, *[chosen[o].alias(o) for o in columns])
 
 
 def fill_between(df: DataFrame, order_col: str, known: str, group_cols: Sequence[str] = (),

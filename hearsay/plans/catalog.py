@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from hearsay.plans import aggregate_queries, coverage_queries, network_queries  # noqa: F401
+from hearsay.plans import (  # noqa: F401
+    aggregate_queries, coverage_queries, evaluation_queries, network_queries, text_queries)
 from hearsay.plans.registry import ORACLES, QUERIES, ROWS
 
 

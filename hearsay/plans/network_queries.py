@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from hearsay.functions import scalar as S
 from hearsay.operators import backbone as B
 from hearsay.operators import crosspost as C
 from hearsay.operators import graph as G
@@ -368,17 +369,25 @@ def modularity(spark, d):
 
 # ---------------------------------------------------------------- iterative
 
-STRONG = "nij >= 30"
+CC = """sym AS MATERIALIZED (SELECT src AS a, trg AS b FROM {e} UNION SELECT trg, src FROM {e}),
+    cc(node, component) USING KEY (node) AS (SELECT DISTINCT a AS node, a AS component FROM sym
+      UNION SELECT sym.b AS node, min(cc.component) AS component FROM cc
+      JOIN sym ON cc.node = sym.a JOIN recurring.cc AS r ON r.node = sym.b
+      WHERE cc.component < r.component GROUP BY sym.b)"""
 
 
-@query("components", "N16", "edges_big",
-       """SELECT node, min(reach) AS component FROM (SELECT node, reach FROM walk) GROUP BY 1""",
-       f"""strong AS (SELECT src, trg FROM edges_big WHERE {STRONG}),
-       sym AS (SELECT src AS a, trg AS b FROM strong UNION SELECT trg, src FROM strong),
-       walk AS (SELECT a AS node, a AS reach FROM sym UNION SELECT w.node, b.b FROM walk w
-         JOIN sym b ON w.reach = b.a)""")
+@query("components", "N16", "edges_big", "SELECT node, component FROM cc", CC.format(e="edges_big"))
 def components(spark, d):
-    return G.components(V.edges_big(spark, d).where(STRONG))
+    return G.components(V.edges_big(spark, d))
+
+
+@query("components_families", "N16", "discovery", "SELECT node, component FROM cc",
+       "fam AS (SELECT DISTINCT id AS src, substring(crosspost_parent, 4) AS trg FROM discovery "
+       "WHERE crosspost_parent IS NOT NULL), " + CC.format(e="fam"))
+def components_families(spark, d):
+    posts = V.discovery(spark, d).where("crosspost_parent IS NOT NULL")
+    return G.components(posts.select(F.col("id").alias("src"),
+                                     S.strip_id_prefix(F.col("crosspost_parent")).alias("trg")))
 
 
 @query("mst", "N15 J06")
