@@ -161,7 +161,8 @@ def summary(df: DataFrame, col: str) -> DataFrame:
                   F.stddev_samp(col).alias("std"), F.min(col).alias("min"),
                   F.max(col).alias("max"))
     parts = quantiles(df, col, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
-    return base.select("*", *[parts.select(q).scalar().alias(q) for q in ("q25", "q50", "q75")])
+    row = parts.select(F.struct("q25", "q50", "q75")).scalar()
+    return base.select("*", row.alias("_q")).select(*base.columns, "_q.*")
 
 
 def histogram(df: DataFrame, col: str, bins: int, low: float | None = None,

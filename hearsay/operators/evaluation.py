@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from hearsay.operators import ordered as O
 from hearsay.functions.scalar import argmax, is_max
 from hearsay.operators.ordered import hash_fraction
+from hearsay.session import cut_lineage
 
 
 # ---------------------------------------------------------------- labels
@@ -252,7 +253,8 @@ def report(df: DataFrame, score_cols: Sequence[str], y: str = "y") -> dict[str,
     """The tables behind one evaluation page of a 2- or 3-class model."""
     n = len(score_cols)
     scored = with_prediction(df, score_cols)
-    points = roc(one_vs_rest(df, score_cols, y))
+    counts = cut_lineage(one_vs_rest(df, score_cols, y))
+    points = cut_lineage(roc(counts))
     macro = macro_roc(points, n)
     return {
         "confusion": confusion(scored, n, y),
@@ -260,7 +262,7 @@ def report(df: DataFrame, score_cols: Sequence[str], y: str = "y") -> dict[str,
         "scores": accuracy_f1(scored, n, y),
         "roc": points,
         "roc_macro": macro,
-        "auc": auc_per_class(df, score_cols, y),
+        "auc": auc(counts, ["cls"]),
         "auc_micro": auc_micro(df, score_cols, y),
         "auc_macro": curve_auc(macro),
         "auc_hardened": auc_hardened(df, score_cols, y),

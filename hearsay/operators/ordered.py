@@ -18,7 +18,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearsay.session import shuffle_width
+from hearsay.session import cut_lineage, shuffle_width
 
 HASH_DIGITS = 4  # 16**4 buckets of the hash order
 
@@ -185,7 +185,11 @@ def running_totals(df: DataFrame, order_col: str, sums: Mapping[str, str],
 
 
 def _spread(df: DataFrame, order_col: str, ranges: int | None) -> DataFrame:
-    return df if "_range" in df.columns else with_range(df, order_col, ranges=ranges)
+    """Rows with a range number.  The frame is read for the bounds, the sums per range
+    and the rows, so it is written once first: one row per distinct value."""
+    if "_range" in df.columns:
+        return df
+    return with_range(cut_lineage(df), order_col, ranges=ranges)
 
 
 def _join_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -220,7 +224,7 @@ def fill_between(df: DataFrame, order_col: str, known: str, group_cols: Sequence
     Adds ``prev`` and ``next``; ``known`` is usually a struct of a curve point.
     """
     group = list(group_cols)
-    spread = with_range(df, order_col, ranges=ranges)
+    spread = _spread(df, order_col, ranges)
     base = Window.partitionBy(*group, "_range").orderBy(order_col)
     back = base.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ahead = base.rowsBetween(Window.currentRow, Window.unboundedFollowing)
@@ -251,7 +255,7 @@ def value_counts(df: DataFrame, col: str, group_cols: Sequence[str] = ()) -> Dat
 def order_statistic(df: DataFrame, col: str, fraction: float,
                     out_col: str = "value") -> DataFrame:
     """``sorted(values)[int(n * fraction)]`` over the non-null values: one row."""
-    counts = value_counts(df.where(F.col(col).isNotNull()), col)
+    counts = cut_lineage(value_counts(df.where(F.col(col).isNotNull()), col))
     upto = running_totals(counts, col, {"_upto": "_count"})
     n = counts.agg(F.sum("_count").alias("n")).scalar()
     position = F.floor(n * F.lit(fraction))
@@ -262,7 +266,7 @@ def order_statistic(df: DataFrame, col: str, fraction: float,
 
 def quantiles(df: DataFrame, col: str, fractions: Mapping[str, float]) -> DataFrame:
     """Exact linearly interpolated quantiles, one output column per fraction."""
-    counts = value_counts(df.where(F.col(col).isNotNull()), col)
+    counts = cut_lineage(value_counts(df.where(F.col(col).isNotNull()), col))
     upto = running_totals(counts, col, {"_upto": "_count"})
     n = counts.agg(F.sum("_count").alias("n")).scalar()
     start = F.col("_upto") - F.col("_count")

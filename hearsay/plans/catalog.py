@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from hearsay.plans import (  # noqa: F401
-    aggregate_queries, coverage_queries, evaluation_queries, network_queries, text_queries)
+    aggregate_queries, coverage_queries, evaluation_queries, model_queries, network_queries,
+    text_queries)
 from hearsay.plans.registry import ORACLES, QUERIES, ROWS
 
 
