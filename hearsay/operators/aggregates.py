@@ -168,17 +168,16 @@ def summary(df: DataFrame, col: str) -> DataFrame:
 def histogram(df: DataFrame, col: str, bins: int, low: float | None = None,
               high: float | None = None) -> DataFrame:
     """Equal-width histogram; the last bin is closed, empty bins are kept."""
-    # one row per distinct value first: the rest works on small data
-    counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    limits = counts.agg(F.min(col).cast("double").alias("lo"), F.max(col).cast("double").alias("hi"))
+    known = df.where(F.col(col).isNotNull())
+    limits = known.agg(F.min(col).cast("double").alias("lo"), F.max(col).cast("double").alias("hi"))
     lo = F.lit(float(low)) if low is not None else limits.select("lo").scalar()
     hi = F.lit(float(high)) if high is not None else limits.select("hi").scalar()
     width = (hi - lo) / F.lit(float(bins))
     value = F.col(col).cast("double")
     number = F.when(value == hi, F.lit(bins - 1)).otherwise(
         F.floor((value - lo) / width).cast("int"))
-    filled = (counts.where((value >= lo) & (value <= hi))
-              .groupBy(number.alias("bin")).agg(F.sum("n").alias("n")))
+    filled = (known.where((value >= lo) & (value <= hi))
+              .groupBy(number.alias("bin")).agg(F.count(F.lit(1)).alias("n")))
     spine = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     return (spine.join(filled, "bin", "left")
             .select("bin", (lo + F.col("bin") * width).alias("bin_start"),

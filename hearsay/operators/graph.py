@@ -96,6 +96,31 @@ def is_connected(edges: DataFrame) -> bool:
     return components(edges).agg(F.count_distinct("component")).first()[0] == 1
 
 
+def _jump(pointers: DataFrame) -> DataFrame:
+    ahead = pointers.select(F.col("c").alias("p"), F.col("p").alias("q"))
+    return pointers.join(ahead, "p").select("c", F.col("q").alias("p"))
+
+
+def _roots(pointers: DataFrame, max_rounds: int = 50) -> DataFrame:
+    """Root of every node of a pointer forest whose roots point at each other.
+
+    Of a mutual pair the smaller one is the root; pointers then double their
+    reach with every self-join, two of them per materialisation.
+    """
+    back = pointers.select(F.col("c").alias("p"), F.col("p").alias("q"))
+    tree = cut_lineage(pointers.join(back, "p").select("c", F.when(
+        (F.col("q") == F.col("c")) & (F.col("c") < F.col("p")), F.col("c")).otherwise(F.col("p"))
+        .alias("p")))
+    for _ in range(max_rounds):
+        far = tree.select("c", F.col("p").alias("was")).join(_jump(_jump(tree)), "c")
+        far = cut_lineage(far)
+        done = far.where("was <> p").isEmpty()
+        tree = far.select("c", "p")
+        if done:
+            return tree
+    raise RuntimeError(f"pointers did not settle in {max_rounds} rounds")
+
+
 def max_spanning_forest(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """Maximum spanning forest ``(lo, hi, nij)`` by Boruvka rounds.
 
@@ -110,16 +135,17 @@ def max_spanning_forest(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
             break
         ends = live.select(F.explode(F.array("ca", "cb")).alias("c"),
                            F.struct("e", "ca", "cb").alias("s"))
-        best = cut_lineage(ends.groupBy("c").agg(F.max("s").alias("s"))
-                           .select("s.ca", "s.cb", "s.e").distinct())
-        picked = best.select("e.lo", "e.hi", "e.nij")
+        best = cut_lineage(ends.groupBy("c").agg(F.max("s").alias("s")).select(
+            "c", F.when(F.col("c") == F.col("s.ca"), F.col("s.cb")).otherwise(F.col("s.ca")).alias("p"),
+            "s.e"))
+        picked = best.select("e.lo", "e.hi", "e.nij").distinct()
         chosen = picked if chosen is None else chosen.unionByName(picked)
-        label = components(best.select(F.col("ca").alias("src"), F.col("cb").alias("trg")))
+        label = _roots(best.select("c", "p"))
         # the heaviest edge between two contracted components is all that can matter
         a, b = F.least("na", "nb"), F.greatest("na", "nb")
         live = cut_lineage(
-            live.join(label.select(F.col("node").alias("ca"), F.col("component").alias("na")), "ca")
-            .join(label.select(F.col("node").alias("cb"), F.col("component").alias("nb")), "cb")
+            live.join(label.select(F.col("c").alias("ca"), F.col("p").alias("na")), "ca")
+            .join(label.select(F.col("c").alias("cb"), F.col("p").alias("nb")), "cb")
             .where("na <> nb").groupBy(a.alias("ca"), b.alias("cb")).agg(F.max("e").alias("e")))
     if chosen is None:
         return base.limit(0)

@@ -18,6 +18,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hearsay.operators.joins import null_safe
 from hearsay.session import cut_lineage, shuffle_width
 
 HASH_DIGITS = 4  # 16**4 buckets of the hash order
@@ -54,7 +55,8 @@ def split_by_hash(df: DataFrame, id_cols: Sequence[str], cuts: Column,
     h = hash_key(id_cols, seed)
     keyed = df.withColumn("_h", h).withColumn("_b", _bucket(F.col("_h")))
 
-    counts = keyed.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    # the only pass over all rows before the result: a small table, written once
+    counts = cut_lineage(keyed.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_c")))
     by_bucket = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
     ordered = by_bucket.orderBy("_b")
     ends = (
@@ -76,8 +78,8 @@ def split_by_hash(df: DataFrame, id_cols: Sequence[str], cuts: Column,
     passed = ends.groupBy(*group).agg(
         F.max(F.size(F.filter("_cuts", lambda c: c <= 0))).alias("_passed"))
     if group:
-        table = passed.join(holds, group, "left")
-        located = _null_safe_join(keyed, table, group)
+        table = null_safe(passed, holds, group)
+        located = null_safe(keyed, table, group)
     else:
         table = passed.agg(F.max("_passed").alias("_passed"))
         located = (keyed.withColumn("_passed", table.select("_passed").scalar())
@@ -102,16 +104,6 @@ def split_by_hash(df: DataFrame, id_cols: Sequence[str], cuts: Column,
     return whole.unionByName(shared).drop("_h", "_b", "_passed", "_holds")
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    right = right.select(*[F.col(k).alias(f"_k_{k}") for k in keys],
-                         *[c for c in right.columns if c not in keys])
-    cond = None
-    for k in keys:
-        one = F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-        cond = one if cond is None else cond & one
-    return left.join(right, cond, "left").drop(*[f"_k_{k}" for k in keys])
-
-
 def hash_sample(df: DataFrame, n: int, id_cols: Sequence[str], group_cols: Sequence[str] = (),
                 seed: int = 42) -> DataFrame:
     """The first ``n`` rows (per group) of the hash order."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,29 +32,41 @@ def build_session(app_name: str = "hearsay", master: str | None = None,
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the shared folder named by ``spark.checkpoint.dir``.
+_LOCAL_FOLDERS: dict[str, str] = {}
 
-    A local folder is made only for ``local`` masters with nothing configured;
-    on a cluster the setting is required, because executors come and go.
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir`` (or set on the context).
+
+    A temporary folder is made only for ``local`` masters with nothing
+    configured; on a cluster the setting is required, because executors come and go.
     """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        folder = tempfile.mkdtemp(prefix="hearsay-checkpoint-")
-    context.setCheckpointDir(folder)
-    return folder
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a shared folder")
+    app = context.applicationId
+    if app not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="hearsay-")
+    return _LOCAL_FOLDERS[app]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably so that loops keep short plans."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared folder and read it back.
+
+    Unlike a checkpointed plan, the table starts without inherited constraints
+    (they multiply in self-joins) and with known file sizes, so Spark broadcasts
+    what is small.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/hearsay-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shuffle_width(spark: SparkSession) -> int:

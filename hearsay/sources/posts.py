@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hearsay.operators.joins import join_checked
 from hearsay.operators.ordered import top_n_per_group
 
 # Field lists of the two landed tables.
@@ -53,7 +54,7 @@ def latest_per_community(df: DataFrame, start: int, end: int, limit: int,
     """The newest ``limit`` posts of every community in a window (a scan option)."""
     df = df.where(F.col("created_utc").between(start, end))
     if communities is not None:
-        df = df.join(communities.select("subreddit").distinct(), "subreddit", "left_semi")
+        df = join_checked(df, communities.select("subreddit").distinct(), "subreddit", "left_semi")
     ties = [F.col(c) for c in ("id", "url", "subreddit_subscribers", "score") if c in df.columns]
     return top_n_per_group(df, ["subreddit"], [F.col("created_utc").desc(), *ties], limit)
 

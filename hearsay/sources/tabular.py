@@ -5,7 +5,7 @@ from __future__ import annotations
 import warnings
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,12 +57,30 @@ def write_edges(df: DataFrame, path: str, sep: str = "\t", mode: str = "overwrit
     return True
 
 
+def _numbered(spark: SparkSession, path: str, separator: str) -> DataFrame:
+    """Items of a text file with their position ``(pos, value)``.
+
+    The item separator is the record separator, so one long line splits over
+    tasks; positions are numbered inside a file block and shifted by the items of
+    earlier blocks.
+    """
+    place = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    items = spark.read.option("lineSep", separator).text(path).select(
+        place[0].alias("_file"), place[1].alias("_block"),
+        F.monotonically_increasing_id().alias("_row"),
+        F.posexplode(F.split("value", r"\s+")).alias("_i", "value")).where("value <> ''")
+    sizes = items.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_file", "_block").rowsBetween(
+        Window.unboundedPreceding, -1)  # one row per block
+    starts = sizes.select("_file", "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_s"))
+    local = F.row_number().over(Window.partitionBy("_file", "_block").orderBy("_row", "_i"))
+    return (items.withColumn("_r", local).join(starts, ["_file", "_block"])
+            .select((F.col("_s") + F.col("_r") - 1).alias("pos"), "value"))
+
+
 def read_flat_numbers(spark: SparkSession, path: str) -> DataFrame:
     """Blank-separated numbers of a flat file as ``(pos, value)``."""
-    parts = F.posexplode(F.split(F.trim("value"), r"\s+"))
-    return (spark.read.text(path, wholetext=True).select(parts.alias("pos", "value"))
-            .where("value <> ''").select(F.col("pos").cast("long").alias("pos"),
-                                         F.col("value").cast("double").alias("value")))
+    return _numbered(spark, path, " ").select("pos", F.col("value").cast("double").alias("value"))
 
 
 def write_flat_numbers(df: DataFrame, path: str, columns: Sequence[str], order: str,
@@ -73,14 +91,13 @@ def write_flat_numbers(df: DataFrame, path: str, columns: Sequence[str], order:
 
 
 def read_lines(spark: SparkSession, path: str, col: str) -> DataFrame:
-    """One item per line with its zero-based position (vocabulary, term frequencies)."""
-    lines = F.posexplode(F.split(F.rtrim("value"), "\r?\n"))
-    return spark.read.text(path, wholetext=True).select(lines.alias("term_id", col))
+    """One word per line with its zero-based position (vocabulary, term frequencies)."""
+    return _numbered(spark, path, "\n").select(F.col("pos").alias("term_id"), F.col("value").alias(col))
 
 
 def write_lines(df: DataFrame, path: str, col: str, order: str, mode: str = "overwrite") -> None:
-    df.orderBy(order).select(F.col(col).cast("string").alias("value")).coalesce(1) \
-        .write.mode(mode).text(path)
+    """A vocabulary as lines in term order: range-sorted part files, read back in order."""
+    df.orderBy(order).select(F.col(col).cast("string").alias("value")).write.mode(mode).text(path)
 
 
 def read_topic_json(spark: SparkSession, path: str) -> dict[str, DataFrame]:
