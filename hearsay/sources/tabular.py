@@ -29,9 +29,8 @@ def write_separated(df: DataFrame, path: str, sep: str = "|", mode: str = "overw
 
 def read_names(spark: SparkSession, path: str, col: str = "subreddit") -> DataFrame:
     """Header-less name lists, one or several names per line, as one column."""
-    parts = F.explode(F.split("value", ","))
-    return (spark.read.text(path).select(F.trim(parts).alias(col))
-            .where(F.length(col) > 0))
+    parts = F.explode(F.transform(F.split("value", ","), lambda v: F.trim(v)))
+    return spark.read.text(path).select(parts.alias(col)).where(F.length(col) > 0)
 
 
 def write_names(df: DataFrame, path: str, col: str = "subreddit", mode: str = "overwrite") -> None:
