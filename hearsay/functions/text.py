@@ -73,10 +73,12 @@ def remove_stop_words(token_array: Column, stop_words: Sequence[str]) -> Column:
     return F.filter(token_array, lambda t: ~F.lower(t).isin(stops))
 
 
-def letters_only(token_array: Column) -> Column:
-    """Strip non-letters from every token and drop what becomes empty."""
-    stripped = F.transform(token_array, lambda t: F.regexp_replace(t, r"[^\p{L}]", ""))
-    return F.filter(stripped, lambda t: t != "")
+def letter_tokens(text: Column) -> Column:
+    """Whitespace tokens with all non-letters stripped; empty ones are dropped.
+
+    Stripping the whole text first gives the same tokens in one pass.
+    """
+    return tokens(F.regexp_replace(text.cast("string"), r"(?U)[^\p{L}\s]", ""))
 
 
 def map_lemmas(token_array: Column, lexicon: Mapping[str, str]) -> Column:
@@ -91,22 +93,13 @@ def lemmatize(df: DataFrame, id_col: str, token_col: str, lexicon: DataFrame,
               out_col: str = "lemmas") -> DataFrame:
     """Replace tokens through a lexicon table ``(word, lemma)`` of any size.
 
-    Distinct words are looked up once, so a word that makes up a third of all
-    tokens is joined as one row.  Each text is then rebuilt in its own row from
-    the map of the words it contains; no group spans more than one text.
+    Spark broadcasts a lexicon it knows to be small, so a text is put together
+    before the only shuffle; a larger one is joined by word.
     """
-    words = df.select(F.explode(F.array_distinct(F.col(token_col))).alias("word"))
-    known = lexicon.join(words.distinct(), "word", "left_semi")
-    pairs = (
-        df.select(id_col, F.explode(F.array_distinct(F.col(token_col))).alias("word"))
-        .join(known, "word")
-        .groupBy(id_col)
-        .agg(F.map_from_entries(F.collect_list(F.struct("word", "lemma"))).alias("_lemma_of"))
-    )
-    lookup = F.col("_lemma_of")
-    return (
-        df.join(pairs, id_col, "left")
-        .withColumn(out_col, F.when(lookup.isNull(), F.col(token_col)).otherwise(
-            F.transform(F.col(token_col), lambda t: F.coalesce(lookup[t], t))))
-        .drop("_lemma_of")
-    )
+    words = df.select(id_col, F.posexplode_outer(token_col).alias("_pos", "word"))
+    cell = F.when(F.col("word").isNotNull(), F.struct(
+        "_pos", F.coalesce("lemma", "word").alias("w")))
+    joined = (words.join(lexicon.select("word", "lemma"), "word", "left").groupBy(id_col)
+              .agg(F.transform(F.array_sort(F.collect_list(cell)), lambda x: x["w"]).alias(out_col)))
+    others = [c for c in df.columns if c != id_col]
+    return df.join(joined, id_col) if others else joined

@@ -134,7 +134,8 @@ def expand(posts: DataFrame, seeds: DataFrame, start: int, end: int, limit: int
     visited = current
     edges = None
     for step in range(1, depth):
-        seen = scan_windows(posts, current, start, end, limit, repeat)
+        # at most limit x repeat posts per community: written once, read by every branch
+        seen = cut_lineage(scan_windows(posts, current, start, end, limit, repeat))
         found = parents(seen).unionByName(children(seen, posts)).withColumn("round", F.lit(step))
         edges = cut_lineage(found if edges is None else edges.unionByName(found))
         following = cut_lineage(frontier(edges, visited if exclude == "visited" else current))

@@ -50,22 +50,19 @@ def encode(df: DataFrame, vocab: DataFrame, id_cols: Sequence[str] = ("id",),
            token_col: str = "tokens", out_col: str = "ids") -> DataFrame:
     """Words -> ids in text order; unknown words become 1.
 
-    Words are joined once per text, with the positions they stand at, so a word
-    repeated through a long text is one row.
+    Spark broadcasts a vocabulary it knows to be small, so a text is put together
+    before the only shuffle; a larger one is joined by word, where adaptive skew
+    splitting handles frequent words.
     """
     keys = list(id_cols)
-    places = (
-        df.select(*keys, F.posexplode(token_col).alias("_pos", "word"))
-        .groupBy(*keys, "word").agg(F.collect_list("_pos").alias("_at"))
-    )
-    known = places.join(vocab, "word", "left").select(
-        *keys, F.transform("_at", lambda p: F.struct(
-            p.alias("p"), F.coalesce("word_id", F.lit(UNKNOWN_ID)).alias("i"))).alias("_pairs"))
+    words = df.select(*keys, F.posexplode_outer(token_col).alias("_pos", "word"))
+    known = words.join(vocab, "word", "left")
+    cell = F.when(F.col("word").isNotNull(), F.struct(
+        "_pos", F.coalesce("word_id", F.lit(UNKNOWN_ID)).cast("long").alias("i")))
     ordered = known.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.flatten(F.collect_list("_pairs"))), lambda x: x["i"])
-        .alias(out_col))
-    empty = F.array().cast("array<bigint>")
-    return df.join(ordered, keys, "left").withColumn(out_col, F.coalesce(out_col, empty))
+        F.transform(F.array_sort(F.collect_list(cell)), lambda x: x["i"]).alias(out_col))
+    others = [c for c in df.columns if c not in keys and c != out_col]
+    return df.select(*keys, *others).join(ordered, keys) if others else ordered
 
 
 def pad(ids: Column, length: int = PADDED_LENGTH) -> Column:

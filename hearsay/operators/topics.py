@@ -37,9 +37,7 @@ def write_by_stance(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 def tokens(df: DataFrame, text_col: str, stop_words: Sequence[str] | None = None,
            out_col: str = "tokens", letters: bool = True) -> DataFrame:
     """Whitespace tokens, letters only, without stop words in any case."""
-    words = X.tokens(F.col(text_col))
-    if letters:
-        words = X.letters_only(words)
+    words = X.letter_tokens(F.col(text_col)) if letters else X.tokens(F.col(text_col))
     stops = list(stop_words) if stop_words is not None else \
         StopWordsRemover.loadDefaultStopWords("english")
     return df.withColumn(out_col, X.remove_stop_words(words, stops))
@@ -56,13 +54,14 @@ def vocabulary(df: DataFrame, vocab_size: int, min_df: float = 1.0, max_df: floa
     the vocabulary does not depend on partitioning.
     """
     total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    once = df.select(F.explode(F.array_distinct(token_col)).alias("term")) \
-        .groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    every = df.select(F.explode(token_col).alias("term")) \
-        .groupBy("term").agg(F.count(F.lit(1)).alias("tf"))
+    # one pass: a text lists its tokens for the frequency and its distinct tokens for df
+    cell = lambda tf, df_: lambda t: F.struct(t.alias("term"), F.lit(tf).alias("tf"), F.lit(df_).alias("df"))
+    cells = F.concat(F.transform(token_col, cell(1, 0)),
+                     F.transform(F.array_distinct(token_col), cell(0, 1)))
+    every = df.select(F.inline(cells)).groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
     low = F.lit(min_df) * total if min_df < 1 else F.lit(min_df)
     high = F.lit(max_df) * total if max_df <= 1 else F.lit(max_df)
-    kept = every.join(once.where((F.col("df") >= low) & (F.col("df") <= high)), "term")
+    kept = every.where((F.col("df") >= low) & (F.col("df") <= high))
     best = kept.orderBy(F.desc("tf"), "term").limit(vocab_size)
     ranked = best.agg(F.array_sort(F.collect_list(F.struct((-F.col("tf")).alias("o"), "term", "tf", "df")))
                       .alias("v"))  # at most vocab_size entries

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from hearsay.functions import text as X
@@ -165,10 +166,10 @@ def doc_length(spark, d):
        "SELECT id, term_id, count(*) AS n FROM (SELECT id, unnest(tokens) AS term FROM tok) "
        "JOIN voc USING (term) GROUP BY 1, 2", f"{TOK}, {VOC}")
 def bag_of_words(spark, d):
-    from pyspark.ml.functions import vector_to_array
     vectors, _ = _vectors(spark, d)
-    cells = vectors.select("id", F.posexplode(vector_to_array("features")).alias("term_id", "n"))
-    return cells.where("n > 0").select("id", "term_id", F.col("n").cast("long").alias("n"))
+    cells = F.filter(F.transform(vector_to_array("features"), lambda n, i: F.struct(
+        i.alias("term_id"), n.cast("long").alias("n"))), lambda x: x["n"] > 0)
+    return vectors.select("id", F.inline(cells))
 
 
 @query("lda_sweep", "T05 T06 S19")

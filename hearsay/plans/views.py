@@ -21,6 +21,15 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan over the cores when its files give fewer tasks than cores.
+
+    A large table has far more splits than cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def posts(spark: SparkSession, d: str) -> DataFrame:
     """``events`` as scored posts."""
     k = F.get_json_object("props", "$.k").cast("int")
@@ -43,12 +52,11 @@ def posts(spark: SparkSession, d: str) -> DataFrame:
 
 def texts(spark: SparkSession, d: str) -> DataFrame:
     """``documents`` as posts with a title and a body, labelled where ``labels`` knows them."""
-    docs = table(spark, d, "documents").select(
+    return spread(table(spark, d, "documents")).select(
         F.col("doc_id").alias("id"), F.col("source").alias("subreddit"),
         F.substring("text", 1, 80).alias("title"),
         F.when(F.col("doc_id") % 10 != 0, F.col("text")).alias("selftext"),
         "text", "lang")
-    return docs
 
 
 def comments(spark: SparkSession, d: str) -> DataFrame:
