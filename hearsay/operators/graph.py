@@ -65,10 +65,12 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     Alternates the large-star and small-star steps of Kiveris et al. (2014), which
     need about log(n) rounds instead of one per hop of the diameter.
     """
-    all_nodes = nodes(edges)
-    pairs = cut_lineage(
-        edges.where("src <> trg").select(F.greatest("src", "trg").alias("hi"),
-                                         F.least("src", "trg").alias("lo")).distinct())
+    # one pass over the input; self loops stay in, so that lonely nodes are known
+    base = cut_lineage(
+        edges.where("src IS NOT NULL AND trg IS NOT NULL")
+        .select(F.greatest("src", "trg").alias("hi"), F.least("src", "trg").alias("lo")).distinct())
+    all_nodes = base.select(F.explode(F.array("hi", "lo")).alias("node")).distinct()
+    pairs = base.where("hi <> lo")
     before = _mark(pairs)
     for _ in range(max_rounds):
         both = pairs.select(F.col("hi").alias("a"), F.col("lo").alias("b")).union(
