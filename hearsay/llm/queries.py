@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearsay.llm import chat, mixing, quality, shards, urls
+from hearsay.llm import chat, leaks, mixing, quality, repeats, shards, simhash, toxicity, urls
 
 SHARDS = 40
 
@@ -24,6 +24,10 @@ def op2_chat_windows(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digests(chat.windows(turns.union(chat.control_conversation(spark))))
 
 
+def op3_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, folder, "documents"))
+
+
 def op4_hash_tree_shards(spark: SparkSession, folder: str) -> DataFrame:
     tree = shards.even_tree(SHARDS)
     placed = shards.assign(_table(spark, folder, "documents").select("doc_id", "text"), tree,
@@ -31,6 +35,23 @@ def op4_hash_tree_shards(spark: SparkSession, folder: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = repeats.without_repeats(_table(spark, folder, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    net = toxicity.train(docs, _table(spark, folder, "labels"))
+    scored = toxicity.with_scores(docs, net).withColumn("held_out", toxicity.is_held_out("doc_id"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+def op7_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.leaked_items(_table(spark, folder, "documents").select("doc_id", "text"),
+                              _table(spark, folder, "benchmark"))
+
+
 def op8_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(_table(spark, folder, "pages").select("page_id", "url")).select(
         "page_id", "host", "path", "rule", "verdict")
@@ -42,7 +63,8 @@ def op9_source_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_rules, op2_chat_windows, op4_hash_tree_shards, op8_url_filters, op9_source_mix)}
+    op1_quality_rules, op2_chat_windows, op3_simhash_near_dedup, op4_hash_tree_shards,
+    op5_substring_dedup, op6_toxicity, op7_benchmark_leaks, op8_url_filters, op9_source_mix)}
 
 
 def queries():
