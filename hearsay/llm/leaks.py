@@ -144,18 +144,16 @@ class ItemBlock:
         """``(item_id, distance, start)`` of every item that leaks into the text."""
         if not text or not self.items:
             return []
-        get = self.vocabulary.get
-        code = np.array([get(w, -1) for w in words_of(text)], dtype=np.int64)
-        q = self.gram
-        if len(code) < q:
+        words, vocabulary, q = words_of(text), self.vocabulary, self.gram
+        held = np.array([i for i, w in enumerate(words) if w in vocabulary], dtype=np.int64)
+        if len(held) < q:
             return []
-        known = code >= 0
-        full = known[:len(code) - q + 1].copy()
-        for j in range(1, q):
-            full &= known[j:len(code) - q + 1 + j]
-        at = np.flatnonzero(full)
-        if not len(at):
+        run = np.flatnonzero(held[q - 1:] - held[:len(held) - q + 1] == q - 1)
+        if not len(run):
             return []
+        code = np.full(len(words), -1, dtype=np.int64)
+        code[held] = [vocabulary[words[i]] for i in held]
+        at = held[run]
         grams = np.zeros(len(at), dtype=np.int64)
         for j in range(q):
             grams = grams * self.base + code[at + j]

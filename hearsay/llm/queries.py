@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearsay.llm import chat, leaks, mixing, quality, repeats, shards, simhash, toxicity, urls
+from hearsay.llm import chat, html, leaks, mixing, quality, repeats, shards, simhash, toxicity, urls
 
 SHARDS = 40
 
@@ -62,9 +62,13 @@ def op9_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html.extract(_table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_chat_windows, op3_simhash_near_dedup, op4_hash_tree_shards,
-    op5_substring_dedup, op6_toxicity, op7_benchmark_leaks, op8_url_filters, op9_source_mix)}
+    op5_substring_dedup, op6_toxicity, op7_benchmark_leaks, op8_url_filters, op9_source_mix, op10_html_extraction)}
 
 
 def queries():

@@ -5,14 +5,17 @@ which also starts in a document with a smaller id.
 
 Suffixes are keyed by a prefix that every later copy shares: of the word runs of
 ``ANCHOR`` words inside a window the one with the least hash, so neighbouring windows
-mostly have the same anchor and travel as one slice of text.  Anchors of one document
-only are dropped before any text moves.  The slices of an anchor are a group; a group
-within the memory bound becomes one subtree: its suffixes, one per window, are put in
-order, neighbours with a common prefix of at least ``length`` words form a deep
+mostly have the same anchor and make one slice.  Anchors of one document only are
+dropped before any text moves.  Slices with equal words (by anchor and a second 64-bit
+hash of all their words) are one: the smallest document that has the slice stands for
+it, and every other document loses it whole, by counts with map-side combining.  Only
+the standing slices of an anchor with several different ones send their words.  They
+are the group of that prefix and become one subtree: the suffixes, one per window, are
+put in order, neighbours with a common prefix of at least ``length`` words form a deep
 internal node, and the node's smallest document keeps its copy.  Runs of such windows
 are the maximal repeats.  A group above the bound is split by the longest prefix there
-is, the window itself: its nodes are counted with map-side combining and joined back,
-so a passage shared by a third of all documents never meets in one task.
+is, the window itself, and its nodes are read in order of the documents without being
+held.
 
 Defined cases: a null text has no words; a text shorter than a window keeps all of
 them; a null id counts as larger than every id; windows of rows with one id are never
@@ -73,10 +76,11 @@ def _window_minimum(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchored_runs(hashes: np.ndarray, length: int, anchor: int) -> tuple:
-    """``(anchor, start, n)`` of the runs of windows that share their anchor."""
+    """``(anchor, content, start, n)`` of the runs of windows that share their anchor;
+    ``content`` is a hash of all words of the run."""
     if len(hashes) < length:
         none = np.empty(0, dtype=np.int64)
-        return none, none, none
+        return none, none, none, none
     gram = np.zeros(len(hashes) - anchor + 1, dtype=np.uint64)
     for j in range(anchor):
         gram = gram * np.uint64(0x9E3779B97F4A7C15) + hashes[j:len(hashes) - anchor + 1 + j]
@@ -88,72 +92,90 @@ def anchored_runs(hashes: np.ndarray, length: int, anchor: int) -> tuple:
     first = np.maximum.accumulate(np.where(new, place, 0))
     starts = np.flatnonzero(new | ((place - first) % MOST_IN_RUN == 0))
     n = np.diff(np.concatenate([starts, [len(low)]]))
-    return low[starts].view(np.int64), starts, n
+    own = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    content = n.astype(np.uint64)
+    for j in range(int(n.max()) + length - 1):
+        inside = j < n + length - 1
+        at = starts[inside] + j
+        content[inside] = (content[inside] ^ own[at]) * np.uint64(0x94D049BB133111EB)
+        content[inside] ^= content[inside] >> np.uint64(31)
+    return low[starts].view(np.int64), content.view(np.int64), starts, n
 
 
 def _runs(length: int, anchor: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for batch in batches:
-            ids, marks, anchors, starts, counts = [], [], [], [], []
+            ids, marks, anchors, contents, starts, counts = [], [], [], [], [], []
             for key, mark, text in zip(batch["_id"], batch["_mark"], batch["_text"]):
-                a, s, n = anchored_runs(hashes.of(WORD.findall(text)), length, anchor)
+                a, c, s, n = anchored_runs(hashes.of(WORD.findall(text)), length, anchor)
                 ids.append(np.full(len(a), key, dtype=np.int64))
                 marks.append(np.full(len(a), mark, dtype=np.int64))
                 anchors.append(a)
+                contents.append(c)
                 starts.append(s)
                 counts.append(n)
             if ids:
                 place = (np.concatenate(marks) << 40) | (np.concatenate(starts) << 8) | np.concatenate(counts)
-                yield pd.DataFrame({"anchor": np.concatenate(anchors), "_id": np.concatenate(ids), "place": place})
+                yield pd.DataFrame({"anchor": np.concatenate(anchors), "content": np.concatenate(contents),
+                                    "_id": np.concatenate(ids), "place": place})
 
     return run
 
 
 def _slices(length: int):
-    """Text slices of the candidate runs of every text."""
+    """Words of the standing slices of every text; windows one by one where the group is hot."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for key, mark, text, runs in zip(batch["_id"], batch["_mark"], batch["_text"], batch["runs"]):
+            for key, text, runs in zip(batch["_id"], batch["_text"], batch["runs"]):
                 words = WORD.findall(text)
                 for r in runs:
-                    start, n = r["start"], r["n"]
-                    part = words[start:start + n + length - 1]
-                    if len(part) >= length:
-                        out.append((r["anchor"], r["hot"], key, mark, start, " ".join(part)))
-            yield pd.DataFrame(out, columns=["anchor", "hot", "_id", "_mark", "start", "words"])
+                    part = words[r["start"]:r["start"] + r["n"] + length - 1]
+                    if not r["hot"]:
+                        out.append((r["anchor"], "", r["content"], key, 0, " ".join(part)))
+                        continue
+                    for i in range(len(part) - length + 1):
+                        window = " ".join(part[i:i + length])
+                        out.append((r["anchor"], window, r["content"], key, i, ""))
+            yield pd.DataFrame(out, columns=["anchor", "prefix", "content", "_id", "offset", "words"])
 
     return run
 
 
 def _subtrees(length: int):
-    """Windows with an earlier document in the subtree of their anchor."""
-    def later_copies(suffixes: list[tuple[str, int, int, int]]) -> list[tuple[int, int, int]]:
+    """Windows of standing slices that an earlier document has as well."""
+    def earlier(suffixes: list[tuple[str, int, int, int]]) -> list[tuple[int, int]]:
         # in order, the suffixes below one deep node are neighbours and its smallest id leads
         suffixes.sort()
         found, node, least = [], None, 0
-        for suffix, key, mark, start in suffixes:
+        for suffix, key, content, offset in suffixes:
             if suffix != node:
                 node, least = suffix, key
             elif key > least:
-                found.append((key, mark, start))
+                found.append((content, offset))
         return found
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        anchor, suffixes = None, []
+        group, suffixes, least = None, [], 0
         for batch in batches:
             out = []
-            for a, key, mark, start, text in zip(batch["anchor"], batch["_id"], batch["_mark"],
-                                                 batch["start"], batch["words"]):
-                if a != anchor:
-                    out += later_copies(suffixes)
-                    anchor, suffixes = a, []
+            for a, prefix, content, key, offset, text in zip(*[batch[c] for c in (
+                    "anchor", "prefix", "content", "_id", "offset", "words")]):
+                if (a, prefix) != group:
+                    out += [(group[0], c, o) for c, o in earlier(suffixes)] if suffixes else []
+                    group, suffixes, least = (a, prefix), [], key
+                if prefix:  # a hot group: rows come in order of their documents
+                    if key > least:
+                        out.append((a, content, offset))
+                    continue
                 words = text.split(" ")
-                suffixes += [(" ".join(words[i:i + length]), key, mark, start + i)
+                suffixes += [(" ".join(words[i:i + length]), key, content, i)
                              for i in range(len(words) - length + 1)]
-            yield pd.DataFrame(out, columns=["_id", "_mark", "start"])
-        yield pd.DataFrame(later_copies(suffixes), columns=["_id", "_mark", "start"])
+            yield pd.DataFrame(out, columns=["anchor", "content", "offset"])
+        if suffixes:
+            yield pd.DataFrame([(group[0], c, o) for c, o in earlier(suffixes)],
+                               columns=["anchor", "content", "offset"])
 
     return run
 
@@ -166,9 +188,9 @@ def _cut(length: int):
                 words = WORD.findall(text)
                 gone = np.zeros(len(words) + 1, dtype=np.int32)
                 if starts is not None:
-                    at = np.asarray(starts, dtype=np.int64)
-                    np.add.at(gone, at, 1)
-                    np.add.at(gone, at + length, -1)
+                    at = np.array([(r["start"], r["n"]) for r in starts], dtype=np.int64)
+                    np.add.at(gone, at[:, 0], 1)
+                    np.add.at(gone, at[:, 0] + at[:, 1] + length - 1, -1)
                 stay = np.cumsum(gone[:-1]) == 0
                 totals.append(len(words))
                 removed.append(len(words) - int(stay.sum()))
@@ -181,35 +203,36 @@ def _cut(length: int):
 
 def later_windows(rows: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
                   group_windows: int = GROUP_WINDOWS) -> DataFrame:
-    """``(_id, _mark, start)`` of the windows to remove; ``rows`` is ``(_id, _mark, _text)``.
+    """``(_id, _mark, start, n)``: runs of windows to remove; ``rows`` is ``(_id, _mark, _text)``.
 
-    ``_mark`` tells rows of one id with different texts apart (24 bits of a hash).
+    ``_mark`` tells rows of one id with different texts apart (23 bits of a hash).
     """
-    runs = rows.mapInPandas(_runs(length, anchor), "anchor bigint, _id bigint, place bigint")
-    n = F.col("place").bitwiseAND(255)
-    shared = (runs.groupBy("anchor")
-              .agg(F.min("_id").alias("_low"), F.max("_id").alias("_high"), F.sum(n).alias("_n"))
-              .where("_low < _high").select("anchor", (F.col("_n") > group_windows).alias("hot")))
-    wanted = (runs.join(shared, "anchor")
-              .groupBy("_id", F.shiftrightunsigned("place", 40).alias("_mark"))
-              .agg(F.collect_list(F.struct(
-                  "anchor", "hot",
-                  F.shiftrightunsigned("place", 8).bitwiseAND((1 << 32) - 1).alias("start"),
-                  n.alias("n"))).alias("runs")))
-    wanted = cut_lineage(wanted)  # lists are bounded by the text they belong to
+    runs = rows.mapInPandas(_runs(length, anchor), "anchor bigint, content bigint, _id bigint, place bigint")
+    shared = (runs.groupBy("anchor").agg(F.min("_id").alias("_low"), F.max("_id").alias("_high"))
+              .where("_low < _high").select("anchor"))
+    found = cut_lineage(runs.join(shared, "anchor", "left_semi").select(
+        "anchor", "content", "_id", F.shiftrightunsigned("place", 40).alias("_mark"),
+        F.shiftrightunsigned("place", 8).bitwiseAND((1 << 32) - 1).alias("start"),
+        F.col("place").bitwiseAND(255).alias("n")))
+    standing = (found.groupBy("anchor", "content")
+                .agg(F.min(F.struct("_id", "_mark", "start", "n")).alias("_s"))
+                .select("anchor", "content", F.col("_s._id").alias("_least"), "_s._mark", "_s.start", "_s.n"))
+    standing = cut_lineage(standing)
+    judged = cut_lineage(found.join(standing.select("anchor", "content", "_least"), ["anchor", "content"]))
+    copies = judged.where("_id > _least").select("_id", "_mark", "start", "n")
+
+    several = (standing.groupBy("anchor").agg(F.count(F.lit(1)).alias("_slices"), F.sum("n").alias("_windows"))
+               .where("_slices > 1").select("anchor", (F.col("_windows") > group_windows).alias("hot")))
+    wanted = (standing.join(several, "anchor").groupBy(F.col("_least").alias("_id"), "_mark")
+              .agg(F.collect_list(F.struct("anchor", "content", "hot", "start", "n")).alias("runs")))
     slices = rows.join(wanted, ["_id", "_mark"]).mapInPandas(
-        _slices(length), "anchor bigint, hot boolean, _id bigint, _mark bigint, start bigint, words string")
-    slices = cut_lineage(slices)
-    cold = (slices.where("not hot").repartition("anchor").sortWithinPartitions("anchor")
-            .mapInPandas(_subtrees(length), "_id bigint, _mark bigint, start bigint"))
-    words = slices.where("hot").withColumn("words", F.split("words", " "))
-    windows = words.select("_id", "_mark", "start", F.posexplode(F.transform(
-        F.sequence(F.lit(1), F.size("words") - (length - 1)),
-        lambda i: F.array_join(F.slice("words", i, length), " "))).alias("_at", "window"))
-    nodes = windows.groupBy("window").agg(F.min("_id").alias("_least"))
-    hot = (windows.join(nodes, "window").where("_id > _least")
-           .select("_id", "_mark", (F.col("start") + F.col("_at")).alias("start")))
-    return cold.union(hot)
+        _slices(length),
+        "anchor bigint, prefix string, content bigint, _id bigint, offset bigint, words string")
+    inner = (slices.repartition("anchor", "prefix").sortWithinPartitions("anchor", "prefix", "_id")
+             .mapInPandas(_subtrees(length), "anchor bigint, content bigint, offset bigint"))
+    own = (judged.where("_id = _least").join(inner, ["anchor", "content"])
+           .select("_id", "_mark", (F.col("start") + F.col("offset")).alias("start"), F.lit(1).cast("long").alias("n")))
+    return copies.union(own)
 
 
 def _row_key(id_col: str, text_col: str) -> tuple[Column, Column, Column]:
@@ -223,7 +246,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
     """``(id, n_words, n_removed, kept_text)`` for every row."""
     rows = docs.select(*_row_key(id_col, text_col))
     starts = (later_windows(rows, length, **options).groupBy("_id", "_mark")
-              .agg(F.collect_set("start").alias("_starts")))
+              .agg(F.collect_list(F.struct("start", "n")).alias("_starts")))
     named = docs.select(F.col(id_col), *_row_key(id_col, text_col))
     kind = docs.schema[id_col].dataType.simpleString()
     return (named.join(starts, ["_id", "_mark"], "left").select(id_col, "_text", "_starts")
