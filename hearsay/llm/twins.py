@@ -1,5 +1,178 @@
-"""The same queries in SQL, where SQL can say them."""
+"""The same queries in SQL, where SQL can say them.
+
+Without a twin are the fingerprints (XXH64), the trained networks and fields, and the
+edit-distance search over whole tables; tests hold them against plain versions.
+"""
 
 from __future__ import annotations
 
-TWINS: dict[str, str] = {}
+from hearsay.llm import chat, mixing, quality, shards, urls
+
+_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+
+def _quality() -> str:
+    n = len(quality.RULES)
+    votes = ", ".join(f"CASE WHEN n_words = 0 THEN 0 WHEN {r.against} THEN -1 WHEN {r.favour} THEN 1 ELSE 0 END"
+                      for r in quality.RULES)
+    odds = "ln(s / (1 - s)) + " + " + ".join(
+        f"ln(g[{j * 3 + 1} + votes[{j + 1}] + 1] / b[{j * 3 + 1} + votes[{j + 1}] + 1])" for j in range(n))
+    start = lambda t: "[" + ", ".join(str(x) + "::DOUBLE" for _ in range(n) for x in (t[0], t[2], t[1])) + "]"
+    models = [f"m0 AS MATERIALIZED (SELECT {start(quality.START_GOOD)} AS g, {start(quality.START_BAD)} AS b, "
+              f"{quality.PRIOR_GOOD}::DOUBLE AS s)"]
+    w = f"({quality.PRIOR_WEIGHT} * sum(n))"
+    for k in range(quality.ROUNDS):
+        rate = lambda part, mass, t: "[" + ", ".join(
+            f"(coalesce(sum({part}) FILTER (votes[{j + 1}] = {v}), 0) + {w} * {t[(v + 1) * 2 % 3]}) / ({mass} + {w})"
+            for j in range(n) for v in (-1, 0, 1)) + "]"
+        models.append(
+            f"m{k + 1} AS MATERIALIZED (SELECT {rate('h', 'sum(h)', quality.START_GOOD)} AS g, "
+            f"{rate('n - h', '(sum(n) - sum(h))', quality.START_BAD)} AS b, "
+            f"(sum(h) + {w} * {quality.PRIOR_GOOD}) / (sum(n) + {w}) AS s FROM (SELECT votes, n::DOUBLE AS n, "
+            f"n / (1 + exp(-({odds}))) AS h FROM patterns, m{k}))")
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM documents),
+t AS (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+c AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS n FROM t),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM c, range(0, 3) x(k) WHERE n > 1 GROUP BY doc_id),
+a AS (SELECT d.doc_id, len(w) AS n_words, array_to_string(w, '') AS j, len(l) AS n_lines,
+    len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
+    len(list_distinct(w)) AS n_distinct,
+    len(list_filter(l, lambda x: regexp_matches(x, '[.!?][\x20\x09-\x0D]*$'))) AS n_ended
+  FROM d LEFT JOIN r USING (doc_id)),
+f AS (SELECT *, length(j) AS word_chars, length(j) - length(regexp_replace(j, '{quality.SYMBOLS}', '', 'g')) AS n_symbols,
+    length(j) - length(regexp_replace(j, '\p{{Lu}}', '', 'g')) AS n_upper,
+    length(j) - length(regexp_replace(j, '[!-/:-@\[-`{{-~]', '', 'g')) AS n_marks FROM a),
+v AS MATERIALIZED (SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, [{votes}] AS votes FROM f),
+patterns AS MATERIALIZED (SELECT votes, count(*) AS n FROM v GROUP BY votes),
+{', '.join(models)}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  (n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words) AS base_failed,
+  (NOT (n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words)
+   AND 1 / (1 + exp(-({odds}))) >= {quality.THRESHOLD}) AS kept
+FROM v, m{quality.ROUNDS}"""
+
+
+def _chat() -> str:
+    b, h = chat.BUDGET, chat.HISTORY
+    esc = r"replace(replace({}, '\', '\b'), '<', '\l')"
+    extra = len(chat.OPEN) + 1 + len(chat.CLOSE)
+    return rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+k AS (SELECT *, len(regexp_extract_all(text, '{chat.TOKEN}')) + {chat.TURN_TOKENS} AS tokens FROM c),
+p AS (SELECT *, row_number() OVER o AS seq, sum(tokens) OVER o AS fin,
+    length(replace({esc.format('role')}, chr(10), '\n')) + length({esc.format('text')}) + {extra} AS chars
+  FROM k WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)),
+q AS (SELECT *, fin - tokens AS start FROM p),
+s AS (SELECT conv_id, min(seq) AS sys_seq, arg_min(tokens, seq) AS sys_tokens, arg_min(fin, seq) AS sys_end,
+    arg_min(chars, seq) AS sys_chars FROM q WHERE role = 'system' GROUP BY conv_id),
+w AS (SELECT q.*, sys_seq, sys_end, sys_chars, greatest({chat.LEAST_ROOM}, {b - h} - coalesce(sys_tokens, 0)) AS room
+  FROM q LEFT JOIN s ON q.conv_id IS NOT DISTINCT FROM s.conv_id),
+x AS (SELECT *, 2 * (start // room) + CASE WHEN (fin - 1) // room > start // room THEN 1 ELSE 0 END AS win FROM w),
+sp AS (SELECT conv_id, win, min(start) AS st, any_value(sys_seq) AS sys_seq, any_value(sys_end) AS sys_end,
+    any_value(sys_chars) AS sys_chars FROM x GROUP BY conv_id, win),
+hist AS (SELECT sp.conv_id, sp.win, q.seq, q.chars FROM sp JOIN q ON q.conv_id = sp.conv_id
+  AND q.fin <= sp.st AND sp.st - q.start <= {h}),
+head AS (SELECT conv_id, win, sys_seq AS seq, sys_chars AS chars FROM sp WHERE sys_end <= st),
+extra AS (SELECT conv_id, sum(chars) AS n FROM (SELECT * FROM hist UNION SELECT * FROM head) GROUP BY conv_id)
+SELECT q.conv_id, count(*) AS n_turns,
+  sha256(coalesce(string_agg(role || chr(10) || text || chr(10), '' ORDER BY seq), '')) AS turns_sha256,
+  length(coalesce(string_agg(text, '' ORDER BY seq) FILTER (role = 'assistant'), '')) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY seq) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (sum(q.chars) + coalesce(any_value(extra.n), 0))::BIGINT AS formatted_chars
+FROM q LEFT JOIN extra ON q.conv_id = extra.conv_id GROUP BY q.conv_id"""
+
+
+def _shards() -> str:
+    def tree(t, name):
+        rows = [(g, r, s, w) for g, rs in t.items() for r, ss in rs.items() for s, w in ss.items()]
+        return f"{name}(region, rack, shard, weight) AS (VALUES {', '.join(f'({g}, {r}, {s}, {w}::DOUBLE)' for g, r, s, w in rows)})"
+
+    def pick(level, name, ids, above, out):
+        on = f"{ids}.{above} = k.{above}" if above else "true"
+        keys = f"{above}, {level}" if above else level
+        return (f"{out} AS MATERIALIZED (SELECT {ids}.id, arg_min(k.{level}, -ln((('0x' || substr(md5({ids}.id || '|{level}|' || k.{level}), 1, 13))::BIGINT::DOUBLE"
+                f" + 0.5) / {float(16 ** 13)!r}::DOUBLE) / k.weight) AS {level} FROM {ids} JOIN (SELECT {keys}, sum(weight) AS weight FROM {name} GROUP BY {keys}) k"
+                f" ON {on} GROUP BY {ids}.id)")
+
+    small = shards.even_tree(40)
+    parts = [tree(small, "tree"), tree(shards.in_new_region(small, 40), "grown"),
+             "ids AS (SELECT DISTINCT coalesce(doc_id::VARCHAR, '') AS id FROM documents)"]
+    for name, n in (("tree", "a"), ("grown", "b")):
+        parts += [pick("region", name, "ids", "", f"{n}1"), pick("rack", name, f"{n}1", "region", f"{n}2"),
+                  pick("shard", name, f"{n}2", "rack", f"{n}3")]
+    crc = ("tab AS MATERIALIZED (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN (c & 1) = 1 "
+           "THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) ORDER BY i) AS t FROM range(0, 256) r(i))")
+    return f"""
+WITH {', '.join(parts)}, {crc},
+d AS (SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS id, octet_length(encode(coalesce(text, ''))) + {shards.ROW_BYTES} AS size,
+  xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'),
+    lambda x: ('0x' || x)::BIGINT)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295::BIGINT) AS text_crc32
+  FROM documents, tab)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'key' AS law, a3.shard::INTEGER AS shard,
+  row_number() OVER (PARTITION BY a3.shard ORDER BY md5(d.id), doc_id, size, text_crc32) - 1 AS slot,
+  b3.shard::INTEGER AS grown_shard
+FROM d JOIN a3 USING (id) JOIN b3 USING (id)"""
+
+
+_REPEATS = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+least AS (SELECT s, min(doc_id) AS least FROM win GROUP BY s),
+gone AS (SELECT DISTINCT doc_id, i + k AS pos FROM win JOIN least USING (s), range(0, 13) r(k) WHERE least < doc_id),
+g AS (SELECT doc_id, list(pos) AS ps FROM gone GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(len(ps), 0) AS n_removed,
+  sha256(array_to_string(list_filter(w, lambda x, i: ps IS NULL OR NOT list_contains(ps, i)), ' ')) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)"""
+
+
+def _urls() -> str:
+    fits = [(r, f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')")
+            for r in sorted(urls.HOST_RULES, key=lambda r: (-len(r.name), r.name))]
+    rule = " ".join(f"WHEN {c} THEN '{r.name}'" for r, c in fits)
+    verdict = " ".join(f"WHEN {c} THEN '{r.verdict}'" for r, c in fits)
+    found = " OR ".join(f"regexp_matches(low, '{p.pattern}')" for p in urls.PATTERN_RULES)
+    return f"""
+WITH u AS (SELECT page_id, translate(url, '{urls.UPPER}', '{urls.LOWER}') AS low,
+    CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT *, regexp_extract(rest, '^[^/?#]*') AS raw FROM u),
+x AS (SELECT *, translate(raw, '{urls.UPPER}', '{urls.LOWER}') AS host,
+    regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h)
+SELECT page_id, host, path, CASE {rule} END AS rule,
+  CASE {verdict} WHEN {found} THEN 'block' ELSE 'allow' END AS verdict FROM x"""
+
+
+def _mixing() -> str:
+    w = ", ".join(map(str, mixing.WEIGHTS))
+    return f"""
+WITH d AS (SELECT doc_id, source, len({_WORDS}) AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS ss FROM d GROUP BY source),
+r AS (SELECT *, [{w}][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)} + 1] AS weight FROM s),
+l AS (SELECT *, ss * {mixing.MOST_EPOCHS}::DOUBLE / weight AS ratio,
+    (sum(ss) OVER () - coalesce(sum({mixing.MOST_EPOCHS} * ss) OVER (ORDER BY ss * {mixing.MOST_EPOCHS}::DOUBLE / weight, source NULLS LAST
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+    / sum(weight) OVER (ORDER BY ss * {mixing.MOST_EPOCHS}::DOUBLE / weight, source NULLS LAST
+      ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
+t AS (SELECT source, ss, least(({mixing.MOST_EPOCHS} * ss)::DOUBLE, coalesce(
+    (SELECT level FROM l WHERE level * weight <= {mixing.MOST_EPOCHS} * ss ORDER BY ratio, level LIMIT 1) * weight,
+    ({mixing.MOST_EPOCHS} * ss)::DOUBLE)) AS target FROM l),
+p AS (SELECT d.*, ss, target, round(target)::BIGINT AS budget,
+    sum(size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, ss AS source_size, target, CASE WHEN ss = 0 THEN 0 ELSE
+  (size * (budget // ss) + greatest(0, least(size, budget % ss - start)))::BIGINT END AS taken FROM p"""
+
+
+TWINS: dict[str, str] = {
+    "op1_quality_rules": _quality(),
+    "op2_chat_windows": _chat(),
+    "op4_hash_tree_shards": _shards(),
+    "op5_substring_dedup": _REPEATS,
+    "op8_url_filters": _urls(),
+    "op9_source_mix": _mixing(),
+}
