@@ -179,13 +179,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS,
-             id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+             id_col: str = "doc_id", text_col: str = "text",
+             tree_size: int = TREE_SIZE) -> DataFrame:
     """The rows of ``docs`` that name their component: one document of each group.
 
     Where several rows share the id that stays, one of them does.
     """
     rows = docs.withColumn("_row", F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))))
-    found = near_duplicates(rows.select(id_col, text_col), shingle, radius, id_col, text_col)
+    found = near_duplicates(rows.select(id_col, text_col), shingle, radius, id_col, text_col, tree_size)
     ids = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("_n"))
     same_id = rows.groupBy(id_col).agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_times"))
     kept = same_id.join(ids.select(F.col("component_id").alias("_id")),

@@ -100,10 +100,10 @@ class Network:
         """States (position, window, hidden); ``rows`` are rows of ``gates``, -1 past the end."""
         count, size = rows.shape
         u = self.p[f"U{side}"]
-        h = np.zeros((count, HIDDEN), dtype=np.float32)
-        states = np.zeros((size, count, HIDDEN), dtype=np.float32)
+        h = np.zeros((count, HIDDEN), dtype=u.dtype)
+        states = np.zeros((size, count, HIDDEN), dtype=u.dtype)
         for t in (range(size) if side == "f" else range(size - 1, -1, -1)):
-            x, here = gates[rows[:, t]], (rows[:, t] >= 0).astype(np.float32)[:, None]
+            x, here = gates[rows[:, t]], (rows[:, t] >= 0).astype(u.dtype)[:, None]
             hu = h @ u
             zr = _sigmoid(x[:, :2 * HIDDEN] + hu[:, :2 * HIDDEN])
             z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
@@ -138,8 +138,9 @@ class Network:
     def gradients(self, x: np.ndarray, rows: np.ndarray, labels: np.ndarray) -> tuple:
         keep: dict = {}
         logits = self.forward(x, rows, keep)
-        err = ((_sigmoid(logits) - labels) / len(labels)).astype(np.float32)
-        grad = {"out": keep["pooled"].T @ err, "bias": np.array([err.sum()], dtype=np.float32)}
+        kind = self.p["bias"].dtype
+        err = ((_sigmoid(logits) - labels) / len(labels)).astype(kind)
+        grad = {"out": keep["pooled"].T @ err, "bias": np.array([err.sum()], dtype=kind)}
         d_pooled = err[:, None] * self.p["out"]
         states, weight = keep["states"], keep["weight"]
         d_weight = (states * d_pooled).sum(axis=2)
@@ -149,8 +150,8 @@ class Network:
         dx = np.zeros_like(x)
         for s, side in enumerate(("f", "b")):
             u, own = self.p[f"U{side}"], d_states[:, :, s * HIDDEN:(s + 1) * HIDDEN]
-            du, d_gates = np.zeros_like(u), np.zeros((len(x) + 1, 3 * HIDDEN), dtype=np.float32)
-            dh = np.zeros((len(rows), HIDDEN), dtype=np.float32)
+            du, d_gates = np.zeros_like(u), np.zeros((len(x) + 1, 3 * HIDDEN), dtype=kind)
+            dh = np.zeros((len(rows), HIDDEN), dtype=kind)
             for t, h, z, r, n, hn, here in reversed(keep[side]):
                 dh = dh + own[t]
                 dn = dh * here * (1 - z) * (1 - n * n)
