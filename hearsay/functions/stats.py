@@ -43,17 +43,19 @@ def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     d = 1 - (a + b) * x / (a + 1)
     d = 1 / np.where(np.abs(d) < tiny, tiny, d)
     h = d.copy()
-    for m in range(1, 20_000):
+    live = np.ones(x.shape, dtype=bool)  # elements that have not settled
+    for m in range(1, 1_000_000):
         for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
                     -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
             d = 1 + num * d
             d = 1 / np.where(np.abs(d) < tiny, tiny, d)
             c = 1 + num / c
             c = np.where(np.abs(c) < tiny, tiny, c)
-            h = h * d * c
-        if np.all(np.abs(d * c - 1) < 1e-15):
-            break
-    return h
+            h = np.where(live, h * d * c, h)
+        live &= np.abs(d * c - 1) >= 1e-15
+        if not live.any():
+            return h
+    raise ArithmeticError("the continued fraction did not settle")
 
 
 def binomial_cdf_array(k, n, p) -> np.ndarray:

@@ -8,9 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearsay.functions.scalar import WINDOW_SECONDS, is_profile, strip_id_prefix
+from hearsay.functions.scalar import is_profile, strip_id_prefix
+from hearsay.operators.ordered import top_n_per_group
 from hearsay.session import cut_lineage
-from hearsay.sources.posts import latest_per_community, lookup_urls
+from hearsay.sources.posts import lookup_urls
 
 EDGE_COLUMNS = ("subreddit", "crosspost_parent", "subreddit_subscribers",
                 "crosspost_parent_subs", "count", "crosspost_parent_num", "total")
@@ -101,18 +102,20 @@ def frontier(edges: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def scan_windows(posts: DataFrame, communities: DataFrame, start: int, end: int,
-                 limit: int, repeat: int = 1) -> DataFrame:
-    """Capped scans of consecutive windows; each starts at the last post of the one before."""
-    scanned = None
-    for _ in range(repeat):
-        part = latest_per_community(posts, start, end, limit, communities)
-        scanned = part if scanned is None else scanned.unionByName(part)
-        if repeat > 1:
-            last = part.agg(F.max("created_utc")).first()[0]
-            if last is None:
-                break
-            start, end = int(last), int(last) + WINDOW_SECONDS
-    return scanned
+                 limit: int | None = None, repeat: int = 1) -> DataFrame:
+    """Posts of the communities in a window, each row once.
+
+    Without a limit that is one uncapped scan.  With one, ``repeat`` pages of ``limit``
+    posts follow each other, oldest first, with a cursor per community: the next page
+    starts strictly after the last (time, id) of the one before, so the pages together
+    are the first ``limit * repeat`` posts of each community.
+    """
+    asked = communities.select("subreddit").distinct()
+    inside = posts.where(F.col("created_utc").between(start, end)).join(asked, "subreddit", "left_semi")
+    if limit is None:
+        return inside
+    order = [F.col(c) for c in ("created_utc", "id", "url") if c in posts.columns]
+    return top_n_per_group(inside, ["subreddit"], order, limit * repeat)
 
 
 @dataclass
@@ -121,7 +124,7 @@ class Expansion:
     communities: DataFrame
 
 
-def expand(posts: DataFrame, seeds: DataFrame, start: int, end: int, limit: int = 1000,
+def expand(posts: DataFrame, seeds: DataFrame, start: int, end: int, limit: int | None = None,
            repeat: int = 1, depth: int = 3, exclude: str = "visited") -> Expansion:
     """Follow cross-posts from seed communities for ``depth - 1`` rounds.
 
@@ -134,7 +137,7 @@ def expand(posts: DataFrame, seeds: DataFrame, start: int, end: int, limit: int
     visited = current
     edges = None
     for step in range(1, depth):
-        # at most limit x repeat posts per community: written once, read by every branch
+        # written once, read by every branch
         seen = cut_lineage(scan_windows(posts, current, start, end, limit, repeat))
         found = parents(seen).unionByName(children(seen, posts)).withColumn("round", F.lit(step))
         edges = cut_lineage(found if edges is None else edges.unionByName(found))

@@ -123,7 +123,7 @@ def _roots(pointers: DataFrame, max_rounds: int = 50) -> DataFrame:
     raise RuntimeError(f"pointers did not settle in {max_rounds} rounds")
 
 
-def max_spanning_forest(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def max_spanning_forest(edges: DataFrame) -> DataFrame:
     """Maximum spanning forest ``(lo, hi, nij)`` by Boruvka rounds.
 
     Edges are totally ordered by (weight, lo, hi), so the forest is unique.
@@ -132,9 +132,7 @@ def max_spanning_forest(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     live = cut_lineage(base.select(F.col("lo").alias("ca"), F.col("hi").alias("cb"),
                                    F.struct("nij", "lo", "hi").alias("e")))
     chosen = None
-    for _ in range(max_rounds):
-        if live.isEmpty():
-            break
+    while not live.isEmpty():  # every round at least halves the components that still grow
         ends = live.select(F.explode(F.array("ca", "cb")).alias("c"),
                            F.struct("e", "ca", "cb").alias("s"))
         best = cut_lineage(ends.groupBy("c").agg(F.max("s").alias("s")).select(
@@ -154,11 +152,12 @@ def max_spanning_forest(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     return chosen
 
 
-def propagate_labels(edges: DataFrame, max_rounds: int = 20) -> DataFrame:
+def propagate_labels(edges: DataFrame, max_rounds: int = 500) -> DataFrame:
     """Communities by weighted label propagation ``(node, label)``.
 
     Every node takes the label with the greatest weight among its neighbours; a
-    node keeps its label when it is among the best, else the smallest one wins.
+    node keeps its label when it is among the best, else the smallest one wins.  Labels
+    that have not settled after ``max_rounds`` are an error, never a result.
     """
     pair = as_undirected(edges, "sum").where("lo <> hi")
     both = cut_lineage(
@@ -182,8 +181,8 @@ def propagate_labels(edges: DataFrame, max_rounds: int = 20) -> DataFrame:
         pending = moved.agg(F.count_if("wants")).first()[0]
         labels = moved.select("node", "label")
         if not pending:
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"labels did not settle in {max_rounds} rounds")
 
 
 def modularity(edges: DataFrame, partition: DataFrame) -> DataFrame:

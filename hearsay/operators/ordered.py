@@ -12,6 +12,7 @@ to sums inside the range.  The bounds only steer the spread, never the result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -138,7 +139,7 @@ def with_range(df: DataFrame, col: str, out_col: str = "_range",
     if count > 1:
         probs = [i / count for i in range(1, count)]
         found = df.agg(F.percentile_approx(F.col(col).cast("double"), probs, 10_000)).first()[0]
-        bounds = sorted({float(b) for b in (found or []) if b is not None and b == b})
+        bounds = sorted({float(b) for b in (found or []) if b is not None and math.isfinite(b)})
     splits = [-float("inf"), *bounds, float("inf")]
     if len(splits) < 3:
         return df.withColumn(out_col, F.lit(0))

@@ -13,7 +13,6 @@ from hearsay.plans.registry import query
 
 SEEDS = [f"n{i}" for i in range(8)]
 WINDOW = (800_000_000, 1_000_000_000)
-LIMIT = 200
 
 PARENT_ROWS = """SELECT subreddit, parent_subreddit AS crosspost_parent, subreddit_subscribers,
     parent_subscribers AS crosspost_parent_subs, author, parent_num AS crosspost_parent_num
@@ -89,10 +88,8 @@ def next_frontier(spark, d):
 
 
 def _seen(name, source):
-    return f"""{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY subreddit
-        ORDER BY created_utc DESC, id, url, subreddit_subscribers, score) AS rn FROM discovery
-        WHERE created_utc BETWEEN {WINDOW[0]} AND {WINDOW[1]} AND subreddit IN {source})
-        WHERE rn <= {LIMIT})"""
+    return f"""{name} AS (SELECT * FROM discovery
+        WHERE created_utc BETWEEN {WINDOW[0]} AND {WINDOW[1]} AND subreddit IN {source})"""
 
 
 EXPAND = f"""{_seen('seen1', tuple(SEEDS))},
@@ -105,11 +102,11 @@ EXPAND = f"""{_seen('seen1', tuple(SEEDS))},
       UNION ALL SELECT *, 2 AS round FROM ({PAIRS.format(rows=CHILD_ROWS.format(seen='seen2'))}))"""
 
 
-@query("expand_network", "N03 S03 U01 U14", "discovery",
+@query("expand_network", "N03 U01 U14", "discovery",
        "SELECT * FROM found1 UNION ALL SELECT * FROM found2", EXPAND)
 def expand_network(spark, d):
     seeds = spark.createDataFrame([(s,) for s in SEEDS], "subreddit string")
-    found = C.expand(V.discovery(spark, d), seeds, *WINDOW, limit=LIMIT, depth=3)
+    found = C.expand(V.discovery(spark, d), seeds, *WINDOW, depth=3)
     return _pairs(found.edges)
 
 
@@ -135,24 +132,25 @@ DF = """df0 AS (SELECT e.*, sum(nij) OVER (PARTITION BY src) AS s,
     df AS (SELECT src, trg, nij, 1 - pow(1 - nij / s, k - 1) AS score,
       k * k * ((20 + 4 * k) / ((k + 1) * (k + 2) * (k + 3)) - 4 / ((k + 1) * (k + 1))) AS variance
       FROM df0 WHERE src <> trg)"""
-DFS = DF.format(edges="edges_sparse")
+DFS = DF.format(edges="edges_wide")
+DFE = DF.format(edges="edges")
 DFB = DF.format(edges="edges_big")
-ONE_WAY = "arg_min({col}, src * 1000 + trg)"
+ONE_WAY = "arg_min({col}, src * 1000000000 + trg)"
 
 
-@query("edge_prepare", "N04 S12", "edges_sparse",
+@query("edge_prepare", "N04 S12", "edges_wide",
        "SELECT src, trg, nij FROM (SELECT *, row_number() OVER (PARTITION BY src, trg ORDER BY g, nij) "
-       "AS rn FROM (SELECT src, trg, nij, 0 AS g FROM edges_sparse WHERE src <> trg UNION ALL "
-       "SELECT trg, src, nij, 1 FROM edges_sparse WHERE src <> trg)) WHERE rn = 1")
+       "AS rn FROM (SELECT src, trg, nij, 0 AS g FROM edges_wide WHERE src <> trg UNION ALL "
+       "SELECT trg, src, nij, 1 FROM edges_wide WHERE src <> trg)) WHERE rn = 1")
 def edge_prepare(spark, d):
-    return B.prepare(V.edges_sparse(spark, d), self_loops=False, triangular=True)
+    return B.prepare(V.edges_wide(spark, d), self_loops=False, triangular=True)
 
 
-@query("edge_counts", "N20 S12", "edges_sparse",
-       "SELECT (SELECT count(DISTINCT n) FROM (SELECT src AS n FROM edges_sparse UNION SELECT trg "
-       "FROM edges_sparse)) AS n_nodes, CAST(count(*) AS DOUBLE) AS n_edges FROM edges_sparse")
+@query("edge_counts", "N20 S12", "edges_wide",
+       "SELECT (SELECT count(DISTINCT n) FROM (SELECT src AS n FROM edges_wide UNION SELECT trg "
+       "FROM edges_wide)) AS n_nodes, CAST(count(*) AS DOUBLE) AS n_edges FROM edges_wide")
 def edge_counts(spark, d):
-    return G.size(V.edges_sparse(spark, d))
+    return G.size(V.edges_wide(spark, d))
 
 
 @query("nc_score", "N09 J03 W01 W02 F22", "edges",
@@ -180,10 +178,10 @@ def nc_pvalue(spark, d):
     return r9(B.noise_corrected(V.edges(spark, d), p_value=True), "score")
 
 
-@query("disparity_table", "N12 J04", "edges_sparse",
+@query("disparity_table", "N12 J04", "edges_wide",
        "SELECT src, trg, nij, round(score, 9) AS score, round(variance, 9) AS variance FROM df", DFS)
 def disparity_table(spark, d):
-    return r9(B.disparity(V.edges_sparse(spark, d)), "score", "variance")
+    return r9(B.disparity(V.edges_wide(spark, d)), "score", "variance")
 
 
 @query("disparity_big", "N12", "edges_big",
@@ -192,30 +190,30 @@ def disparity_big(spark, d):
     return r9(B.disparity(V.edges_big(spark, d)), "score", "variance")
 
 
-@query("disparity_table_undirected", "N12 F28 D04 W06", "edges_sparse",
+@query("disparity_table_undirected", "N12 F28 D04 W06", "edges_wide",
        f"SELECT {ONE_WAY.format(col='src')} AS src, {ONE_WAY.format(col='trg')} AS trg, "
        f"{ONE_WAY.format(col='nij')} AS nij, round(max(score), 9) AS score, "
        "round(min(variance), 9) AS variance FROM df GROUP BY least(src, trg), greatest(src, trg)", DFS)
 def disparity_table_undirected(spark, d):
-    return r9(B.disparity(V.edges_sparse(spark, d), undirected=True), "score", "variance")
+    return r9(B.disparity(V.edges_wide(spark, d), undirected=True), "score", "variance")
 
 
-@query("naive_directed", "N14", "edges_sparse",
-       "SELECT src, trg, nij, nij AS score FROM edges_sparse WHERE src <> trg")
+@query("naive_directed", "N14", "edges_wide",
+       "SELECT src, trg, nij, nij AS score FROM edges_wide WHERE src <> trg")
 def naive_directed(spark, d):
-    return B.naive(V.edges_sparse(spark, d))
+    return B.naive(V.edges_wide(spark, d))
 
 
-@query("naive_undirected", "N14 W06", "edges_sparse",
+@query("naive_undirected", "N14 W06", "edges_wide",
        f"SELECT {ONE_WAY.format(col='src')} AS src, {ONE_WAY.format(col='trg')} AS trg, "
-       f"{ONE_WAY.format(col='nij')} AS nij, sum(nij) / 2 AS score FROM edges_sparse "
+       f"{ONE_WAY.format(col='nij')} AS nij, sum(nij) / 2 AS score FROM edges_wide "
        "WHERE src <> trg GROUP BY least(src, trg), greatest(src, trg)")
 def naive_undirected(spark, d):
-    return B.naive(V.edges_sparse(spark, d), undirected=True)
+    return B.naive(V.edges_wide(spark, d), undirected=True)
 
 
 UND = """pair AS (SELECT least(src, trg) AS lo, greatest(src, trg) AS hi, max(nij) AS nij
-      FROM edges_sparse GROUP BY 1, 2),
+      FROM edges_wide GROUP BY 1, 2),
     loc AS (SELECT node, sum(nij) AS s, count(*) AS k FROM (SELECT lo AS node, nij FROM pair
       UNION ALL SELECT hi, nij FROM pair WHERE lo <> hi) GROUP BY 1),
     au AS (SELECT lo AS src, hi AS trg, nij,
@@ -224,46 +222,46 @@ UND = """pair AS (SELECT least(src, trg) AS lo, greatest(src, trg) AS hi, max(ni
       FROM pair JOIN loc a ON lo = a.node JOIN loc b ON hi = b.node)"""
 DIR = """ad0 AS (SELECT e.*, sum(nij) OVER (PARTITION BY src) AS so, count(*) OVER (PARTITION BY src) AS ko,
       sum(nij) OVER (PARTITION BY trg) AS si, count(*) OVER (PARTITION BY trg) AS ki
-      FROM edges_sparse e),
+      FROM edges_wide e),
     ad AS (SELECT src, trg, nij, CASE WHEN ko = 1 AND ki = 1 THEN 0.0::DOUBLE WHEN ko > 1 THEN
       round(pow(1 - nij / so, ko - 1), 4) END AS alpha_out, CASE WHEN ko = 1 AND ki = 1 THEN 0.0::DOUBLE
       WHEN ki > 1 THEN round(pow(1 - nij / si, ki - 1), 4) END AS alpha_in FROM ad0)"""
 
 
-@query("alpha_undirected", "N17", "edges_sparse", "SELECT * FROM au WHERE alpha IS NOT NULL", UND)
+@query("alpha_undirected", "N17", "edges_wide", "SELECT * FROM au WHERE alpha IS NOT NULL", UND)
 def alpha_undirected(spark, d):
-    return B.alpha_undirected(V.edges_sparse(spark, d))
+    return B.alpha_undirected(V.edges_wide(spark, d))
 
 
-@query("alpha_directed", "N18", "edges_sparse", "SELECT * FROM ad", DIR)
+@query("alpha_directed", "N18", "edges_wide", "SELECT * FROM ad", DIR)
 def alpha_directed(spark, d):
-    return B.alpha_directed(V.edges_sparse(spark, d))
+    return B.alpha_directed(V.edges_wide(spark, d))
 
 
-@query("alpha_cut_undirected", "N19", "edges_sparse",
+@query("alpha_cut_undirected", "N19", "edges_wide",
        "SELECT src, trg, nij FROM au WHERE coalesce(alpha, 1) < 0.4", UND)
 def alpha_cut_undirected(spark, d):
-    return B.alpha_cut(B.alpha_undirected(V.edges_sparse(spark, d)), 0.4)
+    return B.alpha_cut(B.alpha_undirected(V.edges_wide(spark, d)), 0.4)
 
 
-@query("alpha_cut_or", "N19", "edges_sparse",
+@query("alpha_cut_or", "N19", "edges_wide",
        "SELECT src, trg, nij FROM ad WHERE coalesce(alpha_in, 1) < 0.4 OR coalesce(alpha_out, 1) < 0.4",
        DIR)
 def alpha_cut_or(spark, d):
-    return B.alpha_cut(B.alpha_directed(V.edges_sparse(spark, d)), 0.4, "or")
+    return B.alpha_cut(B.alpha_directed(V.edges_wide(spark, d)), 0.4, "or")
 
 
-@query("alpha_cut_and", "N19", "edges_sparse",
+@query("alpha_cut_and", "N19", "edges_wide",
        "SELECT src, trg, nij FROM ad WHERE coalesce(alpha_in, 1) < 0.4 AND coalesce(alpha_out, 1) < 0.4",
        DIR)
 def alpha_cut_and(spark, d):
-    return B.alpha_cut(B.alpha_directed(V.edges_sparse(spark, d)), 0.4, "and")
+    return B.alpha_cut(B.alpha_directed(V.edges_wide(spark, d)), 0.4, "and")
 
 
-@query("threshold_score", "N05 L08", "edges_sparse",
+@query("threshold_score", "N05 L08", "edges_wide",
        "SELECT src, trg, nij, round(score, 9) AS score FROM df WHERE score > 0.5", DFS)
 def threshold_score(spark, d):
-    kept = B.threshold(B.disparity(V.edges_sparse(spark, d)), 0.5)
+    kept = B.threshold(B.disparity(V.edges_wide(spark, d)), 0.5)
     return r9(kept, "score").orderBy(F.desc("score"), "src", "trg")
 
 
@@ -273,7 +271,7 @@ def threshold_sdev(spark, d):
     return r9(B.threshold(B.noise_corrected(V.edges(spark, d)), 1.0), "score")
 
 
-@query("density_sweep", "N08 D07", "edges_sparse",
+@query("density_sweep", "N08 D07", "edges_wide",
        """SELECT threshold, nodes, round(100.0 * nodes / onodes, 6) AS pct_nodes, edges,
           round(100.0 * edges / oedges, 6) AS pct_edges,
           round(2.0 * edges / nullif(nodes, 0), 6) AS avg_degree,
@@ -285,21 +283,21 @@ def threshold_sdev(spark, d):
             (SELECT src AS n FROM df UNION ALL SELECT trg FROM df))""",
        DFS + ", steps AS (SELECT unnest([0.0, 0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875, 1.0]::DOUBLE[]) AS t)")
 def density_sweep(spark, d):
-    out = B.density_sweep(B.disparity(V.edges_sparse(spark, d)), 0.0, 1.0, 0.125)
+    out = B.density_sweep(B.disparity(V.edges_wide(spark, d)), 0.0, 1.0, 0.125)
     six = ("pct_nodes", "pct_edges", "avg_degree", "rel_degree")
     return out.select(*[F.round(c, 6).alias(c) if c in six else F.col(c) for c in out.columns])
 
 
-TWO = NC + ", " + DFS + """, one AS (SELECT src, trg, nij, score FROM nc WHERE score - sdev_cij > 0),
+TWO = NC + ", " + DFE + """, one AS (SELECT src, trg, nij, score FROM nc WHERE score - sdev_cij > 0),
     two AS (SELECT src, trg, nij, score FROM df WHERE score > 0.5)"""
 
 
 def _two(spark, d):
     return (B.threshold(B.noise_corrected(V.edges(spark, d)), 1.0),
-            B.threshold(B.disparity(V.edges_sparse(spark, d)), 0.5))
+            B.threshold(B.disparity(V.edges(spark, d)), 0.5))
 
 
-@query("stability_jaccard", "N06 U05", "edges edges_sparse",
+@query("stability_jaccard", "N06 U05", "edges",
        "SELECT round((SELECT count(*) FROM (SELECT src, trg FROM one INTERSECT SELECT src, trg FROM two)) "
        "/ CAST((SELECT count(*) FROM (SELECT src, trg FROM one UNION SELECT src, trg FROM two)) "
        "AS DOUBLE), 9) AS jaccard", TWO)
@@ -312,11 +310,11 @@ RANKS = """SELECT round(corr(rx, ry), 9) AS correlation FROM (SELECT
     rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM {pairs})"""
 
 
-@query("stability_spearman", "N07 J05 J06", "edges edges_sparse",
+@query("stability_spearman", "N07 J05 J06", "edges",
        RANKS.format(pairs="(SELECT a.score AS x, b.score AS y FROM nc a JOIN df b USING (src, trg))"), TWO)
 def stability_spearman(spark, d):
     return r9(B.stability_corr(B.noise_corrected(V.edges(spark, d)),
-                               B.disparity(V.edges_sparse(spark, d)), what="score"), "correlation")
+                               B.disparity(V.edges(spark, d)), what="score"), "correlation")
 
 
 @query("stability_spearman_big", "N07", "edges_big",
@@ -327,20 +325,20 @@ def stability_spearman_big(spark, d):
     return r9(B.stability_corr(edges, scored), "correlation")
 
 
-@query("stability_pearson_log", "N07 F22", "edges edges_sparse",
+@query("stability_pearson_log", "N07 F22", "edges",
        "SELECT round(corr(ln(a.nij), ln(b.nij + b.src)), 9) AS correlation FROM nc a JOIN df b USING (src, trg)",
        TWO)
 def stability_pearson_log(spark, d):
-    other = B.disparity(V.edges_sparse(spark, d)).withColumn("nij", F.col("nij") + F.col("src"))
+    other = B.disparity(V.edges(spark, d)).withColumn("nij", F.col("nij") + F.col("src"))
     return r9(B.stability_corr(B.noise_corrected(V.edges(spark, d)), other, "pearson", log=True),
               "correlation")
 
 
-@query("weighted_degree", "N23", "edges_sparse",
+@query("weighted_degree", "N23", "edges_wide",
        "SELECT node, sum(nij) AS weighted_degree, count(*) AS degree FROM (SELECT src AS node, nij "
-       "FROM edges_sparse UNION ALL SELECT trg, nij FROM edges_sparse) GROUP BY 1")
+       "FROM edges_wide UNION ALL SELECT trg, nij FROM edges_wide) GROUP BY 1")
 def weighted_degree(spark, d):
-    return G.weighted_degree(V.edges_sparse(spark, d))
+    return G.weighted_degree(V.edges_wide(spark, d))
 
 
 @query("subgraph_top", "N22", "edges_big",
@@ -353,18 +351,18 @@ def subgraph_top(spark, d):
     return G.subgraph(edges, G.top_nodes(edges, 300))
 
 
-@query("modularity", "N21", "edges_sparse",
+@query("modularity", "N21", "edges",
        """SELECT round(sum(coalesce(w_in, 0) / m - pow(deg / (2 * m), 2)), 9) AS modularity FROM
           (SELECT lab, sum(nij) AS deg FROM (SELECT l1 AS lab, nij FROM lp UNION ALL
             SELECT l2, nij FROM lp) GROUP BY 1) LEFT JOIN
           (SELECT l1 AS lab, sum(nij) AS w_in FROM lp WHERE l1 = l2 GROUP BY 1) USING (lab),
           (SELECT sum(nij) AS m FROM lp)""",
-       """lp AS (SELECT a.n_regionkey AS l1, b.n_regionkey AS l2, nij FROM edges_sparse
+       """lp AS (SELECT a.n_regionkey AS l1, b.n_regionkey AS l2, nij FROM edges
           JOIN nation a ON src = a.n_nationkey JOIN nation b ON trg = b.n_nationkey)""")
 def modularity(spark, d):
     parts = V.table(spark, d, "nation").select(F.col("n_nationkey").alias("node"),
                                                F.col("n_regionkey").alias("label"))
-    return r9(G.modularity(V.edges_sparse(spark, d), parts), "modularity")
+    return r9(G.modularity(V.edges(spark, d), parts), "modularity")
 
 
 # ---------------------------------------------------------------- iterative
@@ -418,4 +416,4 @@ def dst(spark, d):
 
 @query("label_propagation", "N21")
 def label_propagation(spark, d):
-    return G.propagate_labels(V.edges_sparse(spark, d))
+    return G.propagate_labels(V.edges(spark, d))

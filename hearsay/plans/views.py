@@ -21,15 +21,6 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan over the cores when its files give fewer tasks than cores.
-
-    A large table has far more splits than cores and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def posts(spark: SparkSession, d: str) -> DataFrame:
     """``events`` as scored posts."""
     k = F.get_json_object("props", "$.k").cast("int")
@@ -52,7 +43,7 @@ def posts(spark: SparkSession, d: str) -> DataFrame:
 
 def texts(spark: SparkSession, d: str) -> DataFrame:
     """``documents`` as posts with a title and a body, labelled where ``labels`` knows them."""
-    return spread(table(spark, d, "documents")).select(
+    return table(spark, d, "documents").select(
         F.col("doc_id").alias("id"), F.col("source").alias("subreddit"),
         F.substring("text", 1, 80).alias("title"),
         F.when(F.col("doc_id") % 10 != 0, F.col("text")).alias("selftext"),
@@ -85,10 +76,13 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def edges_sparse(spark: SparkSession, d: str) -> DataFrame:
-    """Edges of at least average weight, so that degrees vary."""
-    full = edges(spark, d)
-    return full.where(F.col("nij") >= full.agg(F.avg("nij")).scalar())
+def edges_wide(spark: SparkSession, d: str) -> DataFrame:
+    """Shipments from suppliers to customers, whole: degrees vary, ids overlap, so there
+    are self loops and edges of both directions."""
+    line = table(spark, d, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("src"), "l_quantity")
+    order = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("trg"))
+    return (line.join(order, line.l_orderkey == order.o_orderkey)
+            .groupBy("src", "trg").agg(F.sum("l_quantity").alias("nij")))
 
 
 def edges_big(spark: SparkSession, d: str) -> DataFrame:
@@ -177,7 +171,6 @@ def labelled_posts(spark: SparkSession, d: str) -> DataFrame:
 
 
 SQL_NEEDS = {
-    "edges_sparse": ("edges",),
 }
 
 SQL_VIEWS = {
@@ -207,8 +200,9 @@ SQL_VIEWS = {
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey
         JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
         GROUP BY 1, 2""",
-    "edges_sparse": """
-        SELECT * FROM edges WHERE nij >= (SELECT avg(nij) FROM edges)""",
+    "edges_wide": """
+        SELECT l_suppkey AS src, o_custkey AS trg, sum(l_quantity) AS nij
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2""",
     "edges_big": """
         SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS trg, sum(l_quantity) AS nij
         FROM lineitem GROUP BY 1, 2""",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -48,9 +47,11 @@ def read_edges(spark: SparkSession, path: str, weight: str, triangular: bool = F
 
 
 def write_edges(df: DataFrame, path: str, sep: str = "\t", mode: str = "overwrite") -> bool:
-    """Write an edge table; an empty or foreign one is refused with a warning."""
-    if "src" not in df.columns or df.isEmpty():
-        warnings.warn("empty or incorrect edge table, nothing written", RuntimeWarning, stacklevel=2)
+    """Write an edge table; ``False`` if it holds no edge, an error if it is no edge table."""
+    missing = {"src", "trg"} - set(df.columns)
+    if missing:
+        raise ValueError(f"an edge table needs the columns {sorted(missing)}")
+    if df.isEmpty():
         return False
     df.write.mode(mode).option("sep", sep).option("header", True).csv(path)
     return True

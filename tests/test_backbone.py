@@ -256,3 +256,10 @@ def test_thresholds_shrink(g1):
     sizes = [B.threshold(scored, t).count() for t in (0.0, 1.0, 2.0, 50.0)]
     assert sizes == sorted(sizes, reverse=True)
     assert B.threshold(scored, 1.0).columns == ["src", "trg", "nij", "score"]
+
+
+def test_zero_weights_have_no_score(spark):
+    edges = spark.createDataFrame([("a", "b", 0.0), ("b", "c", 2.0), ("c", "a", 1.0)], "src string, trg string, nij double")
+    for scored in (B.noise_corrected(edges), B.disparity(edges)):
+        rows = {(r["src"], r["trg"]): r["score"] for r in scored.collect()}
+        assert len(rows) == 3 and rows["a", "b"] is None and rows["b", "c"] is not None

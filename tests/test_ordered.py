@@ -125,3 +125,9 @@ def test_vocabulary_and_encoding(spark):
 def test_unflatten(spark):
     flat = spark.createDataFrame([(i, float(i)) for i in range(6)], "pos long, value double")
     assert sorted(tuple(r) for r in FE.unflatten(flat, 3).collect()) == [(0, 0.0, 1.0, 2.0), (1, 3.0, 4.0, 5.0)]
+
+
+def test_infinite_values(spark):
+    rows = [(float("inf"),), (float("-inf"),), (1.0,), (2.0,), (float("inf"),)]
+    df = spark.createDataFrame(rows, "v double")
+    assert O.order_statistic(df, "v", 0.5).first()[0] == 2.0

@@ -2,7 +2,6 @@
 
 import datetime
 import json
-import warnings
 
 import pytest
 from pyspark.sql import functions as F
@@ -176,6 +175,9 @@ def test_expand(spark, found):
     assert {r["subreddit"] for r in two.communities.collect()} == {"A", "B", "C", "D", "F"}
     assert {(r["subreddit"], r["crosspost_parent"], r["round"]) for r in two.edges.collect()} == {
         ("A", "B", 1), ("C", "A", 1), ("D", "A", 1), ("B", "F", 2)}
+    pages = CP.scan_windows(found, seeds, 0, 1000, limit=2, repeat=50)
+    whole = CP.scan_windows(found, seeds, 0, 1000)
+    assert sorted(r["id"] for r in pages.collect()) == sorted(r["id"] for r in whole.collect())
     latest = P.latest_per_community(found, 0, 95, 2).where("subreddit = 'A'")
     assert sorted(r["id"] for r in latest.collect()) == ["p2", "p3"]
 
@@ -200,10 +202,9 @@ def test_edge_source(spark, tmp_path):
     assert edges.count() == 3 and tuple(size.first()) == (2, 3.0)
     assert TB.write_edges(edges, f"{tmp_path}/out")
     assert TB.read_edges(spark, f"{tmp_path}/out", "nij")[0].count() == 3
-    with warnings.catch_warnings(record=True) as seen:
-        warnings.simplefilter("always")
-        assert not TB.write_edges(edges.limit(0), f"{tmp_path}/none")
-    assert seen and not (tmp_path / "none").exists()
+    assert not TB.write_edges(edges.limit(0), f"{tmp_path}/none") and not (tmp_path / "none").exists()
+    with pytest.raises(ValueError):
+        TB.write_edges(edges.select("src"), f"{tmp_path}/none")
 
 
 def test_flat_numbers_and_lines(spark, tmp_path):
