@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from hearsay.plans import (  # noqa: F401
     aggregate_queries, coverage_queries, evaluation_queries, model_queries, network_queries,
-    text_queries)
+    source_queries, text_queries)
 from hearsay.plans.registry import ORACLES, QUERIES, ROWS
 
 

@@ -65,12 +65,15 @@ def lookup_urls(df: DataFrame, urls: DataFrame) -> DataFrame:
 
 
 def write_partitioned(df: DataFrame, path: str, key: str = "subreddit",
-                      mode: str = "overwrite", files_per_key: int = 1) -> None:
+                      mode: str = "overwrite", files_per_key: int | None = None) -> None:
     """One partition folder per community.
 
-    Rows go to ``files_per_key`` writers per community, so raise it when one
-    community holds a large share of all rows.
+    Adaptive execution splits the partitions of large communities over several
+    writers; ``files_per_key`` fixes their number instead.
     """
+    if files_per_key is None:
+        df.hint("rebalance", key).write.mode(mode).partitionBy(key).parquet(path)
+        return
     salt = F.pmod(F.xxhash64(*[c for c in df.columns if c != key]), F.lit(files_per_key))
     df.repartition(F.col(key), salt).write.mode(mode).partitionBy(key).parquet(path)
 

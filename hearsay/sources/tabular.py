@@ -12,9 +12,13 @@ from hearsay.operators import backbone, graph
 
 
 def read_separated(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-                   sep: str = "|") -> DataFrame:
-    """Separated text with a header; quoted values may hold line breaks."""
-    reader = (spark.read.option("sep", sep).option("header", True).option("multiLine", True)
+                   sep: str = "|", multi_line: bool = True) -> DataFrame:
+    """Separated text with a header; quoted values may hold line breaks.
+
+    A file whose values may hold line breaks is read by one task; ``multi_line=False``
+    lets Spark split files that hold none.
+    """
+    reader = (spark.read.option("sep", sep).option("header", True).option("multiLine", multi_line)
               .option("quote", '"').option("escape", '"'))
     if schema is not None:
         return reader.schema(schema).csv(path)
@@ -22,8 +26,10 @@ def read_separated(spark: SparkSession, path: str, schema: T.StructType | str |
 
 
 def write_separated(df: DataFrame, path: str, sep: str = "|", mode: str = "overwrite") -> None:
+    """Every value is quoted, so blanks, line breaks, separators and empty texts come back."""
     (df.write.mode(mode).option("sep", sep).option("header", True).option("quote", '"')
-     .option("escape", '"').csv(path))
+     .option("escape", '"').option("quoteAll", True).option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def read_names(spark: SparkSession, path: str, col: str = "subreddit") -> DataFrame:
