@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearsay.operators.ordered import order_statistic
+from hearsay.session import cut_lineage
 
 # Ids of the padding and the unknown word, first id of a known
 # word, padded length of the published scorer, order statistic of the length.
@@ -16,20 +17,20 @@ UNKNOWN_ID = 1
 FIRST_ID = 2
 PADDED_LENGTH = 78
 LENGTH_FRACTION = 0.95
-_PREFIX = 3
 
 
 def vocabulary(df: DataFrame, token_col: str = "tokens") -> DataFrame:
     """Sorted distinct words ``(word, word_id)``, ids from 2.
 
-    Words are numbered inside their first characters and shifted by the number of
-    words with smaller ones: the order of all words without one global sort.
+    Words are dealt over ranges of equal size, numbered inside their range and shifted
+    by the words of earlier ranges, so no prefix that many words share is hot.  The
+    ranges are written once, as every pass has to see the same ones.
     """
-    words = df.select(F.explode(token_col).alias("word")).distinct().withColumn(
-        "_p", F.substring("word", 1, _PREFIX))
+    ranged = df.select(F.explode(token_col).alias("word")).distinct().repartitionByRange("word")
+    words = cut_lineage(ranged.select("word", F.spark_partition_id().alias("_p")))
     sizes = words.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
     before = Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(
-        Window.unboundedPreceding, -1)  # one row per prefix
+        Window.unboundedPreceding, -1)  # one row per range
     starts = sizes.select("_p", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_s"))
     local = F.row_number().over(Window.partitionBy("_p").orderBy("word"))
     return (words.withColumn("_r", local).join(starts, "_p")
@@ -47,15 +48,20 @@ def label_index(*frames: DataFrame, col: str = "label") -> DataFrame:
 
 
 def encode(df: DataFrame, vocab: DataFrame, id_cols: Sequence[str] = ("id",),
-           token_col: str = "tokens", out_col: str = "ids") -> DataFrame:
+           token_col: str = "tokens", out_col: str = "ids", last: int | None = None) -> DataFrame:
     """Words -> ids in text order; unknown words become 1.
 
+    With ``last`` only that many words at the end of a text are looked up.
+
     Spark broadcasts a vocabulary it knows to be small, so a text is put together
     before the only shuffle; a larger one is joined by word, where adaptive skew
     splitting handles frequent words.
     """
     keys = list(id_cols)
-    words = df.select(*keys, F.posexplode_outer(token_col).alias("_pos", "word"))
+    looked_up = F.col(token_col)
+    if last is not None:
+        looked_up = F.slice(looked_up, F.greatest(F.size(looked_up) - last + 1, F.lit(1)), F.lit(last))
+    words = df.select(*keys, F.posexplode_outer(looked_up).alias("_pos", "word"))
     known = words.join(vocab, "word", "left")
     cell = F.when(F.col("word").isNotNull(), F.struct(
         "_pos", F.coalesce("word_id", F.lit(UNKNOWN_ID)).cast("long").alias("i")))

@@ -36,7 +36,7 @@ TREE_GRID = {
 def with_features(df: DataFrame, vocab: DataFrame, length: int = FE.PADDED_LENGTH,
                   id_cols: Sequence[str] = ("id",), token_col: str = "tokens") -> DataFrame:
     """Words -> ids -> padded ids -> vector; the same vocabulary at fit and score time."""
-    coded = FE.encode(df, vocab, id_cols, token_col, "_ids")
+    coded = FE.encode(df, vocab, id_cols, token_col, "_ids", last=length)
     padded = FE.pad(F.col("_ids"), length).cast("array<double>")
     return coded.withColumn("features", array_to_vector(padded)).drop("_ids")
 
@@ -116,7 +116,7 @@ def boosting_curve(df: DataFrame, n_classes: int, rounds: Sequence[int], label:
 
 
 def grid_search(train: DataFrame, n_classes: int, grid: Mapping[str, Sequence] = TREE_GRID,
-                label: str = "label", n_folds: int = 3, parallelism: int = 4,
+                label: str = "label", n_folds: int = 5, parallelism: int = 4,
                 seed: int = 42) -> CrossValidatorModel:
     """Cross-validated search scored by the one-vs-one area; folds by hash."""
     base = tree_estimator(n_classes, label, seed)

@@ -15,6 +15,7 @@ from hearsay.plans import views as V
 from hearsay.plans.network_queries import r9
 from hearsay.plans.registry import query
 from hearsay.plans.text_queries import LABELS, STOPS, split
+from hearsay.session import cut_lineage
 
 SMALL_GRID = {"maxDepth": [2, 4], "maxIter": [3]}
 TOPICS = 4
@@ -32,7 +33,7 @@ def _featured(spark, d):
     """Train and test vectors; the vocabulary comes from the training part only."""
     rows = _labelled(spark, d)
     vocab = FE.vocabulary(rows.where("split = 'train'"))
-    return M.with_features(rows, vocab).persist(), vocab
+    return cut_lineage(M.with_features(rows.drop("text"), vocab)), vocab
 
 
 def stance_model():
@@ -93,7 +94,7 @@ def boosting_curve(spark, d):
 @query("train_trees_cv", "M10 M11 W07 D06")
 def train_trees_cv(spark, d):
     rows, _ = _featured(spark, d)
-    found = M.grid_search(rows.where("split = 'train'"), 2, SMALL_GRID, n_folds=2)
+    found = M.grid_search(rows.where("split = 'train'"), 2, SMALL_GRID, n_folds=5)
     return M.grid_results(spark, found)
 
 
@@ -124,8 +125,8 @@ def _tokens(spark, d):
 
 def _vectors(spark, d):
     words = _tokens(spark, d)
-    vocab = TP.vocabulary(words, 1000, 3.0, 0.3).persist()
-    return TP.vectorizer(vocab).transform(words).persist(), vocab
+    vocab = cut_lineage(TP.vocabulary(words, 1000, 3.0, 0.3))
+    return cut_lineage(TP.vectorizer(vocab).transform(words)), vocab
 
 
 def _model(spark, d):

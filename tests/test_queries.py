@@ -17,7 +17,7 @@ def test_entry(spark):
 
 def test_registry():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert all(catalog.rows()[name] for name in entry.queries())
+    assert all(catalog.rows()[name] for name in catalog.queries())
 
 
 @pytest.mark.parametrize("name", ["author_class_db", "eda_stats_c2", "crosspost_parents", "nc_score",
@@ -33,3 +33,9 @@ def test_pruning_and_pushdown(spark, data_dir):
     assert "l_tax" not in text and "l_returnflag" not in text
     scored = plan(entry.queries()["score_batches"](spark, data_dir))
     assert "ArrowEvalPython" in scored
+
+
+def test_landed_slices_prune_partitions_and_row_groups(spark, data_dir):
+    text = plan(entry.queries()["partitioned_slice"](spark, data_dir))
+    assert "PartitionFilters: [isnotnull(subreddit" in text and "(subreddit" in text
+    assert "GreaterThanOrEqual(created_utc" in text and "LessThanOrEqual(created_utc" in text
