@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearsay.llm import chat, html, leaks, mixing, quality, repeats, shards, simhash, toxicity, urls
+from hearsay.llm import (
+    chat, dialogues, fim, html, langid, leaks, mixing, quality, repeats, shards, simhash, toxicity, urls)
 
 SHARDS = 40
 
@@ -66,9 +67,27 @@ def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return html.extract(_table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op11_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text", "lang")
+    found = langid.identify(docs.select("doc_id", "text"), langid.learn(docs))
+    return found.withColumn("held_out", langid.is_held_out("doc_id")).select(
+        "doc_id", "held_out", "lang_pred", "score", "accepted")
+
+
+def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    made = fim.digests(fim.transform(_table(spark, folder, "documents").select("doc_id", "text")))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    turns = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return dialogues.report(turns, dialogues.damaged(turns))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_chat_windows, op3_simhash_near_dedup, op4_hash_tree_shards,
-    op5_substring_dedup, op6_toxicity, op7_benchmark_leaks, op8_url_filters, op9_source_mix, op10_html_extraction)}
+    op5_substring_dedup, op6_toxicity, op7_benchmark_leaks, op8_url_filters, op9_source_mix, op10_html_extraction,
+    op11_language_id, op12_fill_in_middle, op13_conversation_repair)}
 
 
 def queries():
