@@ -6,7 +6,7 @@ edit-distance search over whole tables; tests hold them against plain versions.
 
 from __future__ import annotations
 
-from hearsay.llm import chat, mixing, quality, shards, urls
+from hearsay.llm import chat, dialogues, fim, mixing, quality, shards, urls
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -87,6 +87,17 @@ SELECT q.conv_id, count(*) AS n_turns,
 FROM q LEFT JOIN extra ON q.conv_id = extra.conv_id GROUP BY q.conv_id"""
 
 
+_CRC_TABLE = (
+    "tab AS MATERIALIZED (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN (c & 1) = 1 "
+    "THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) ORDER BY i) AS t FROM range(0, 256) r(i))")
+
+
+def _crc(text: str) -> str:
+    """CRC-32 of the UTF-8 bytes; ``t`` of ``_CRC_TABLE`` has to be in scope."""
+    return (f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode({text})), '..'), "
+            "lambda x: ('0x' || x)::BIGINT)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295::BIGINT)")
+
+
 def _shards() -> str:
     def tree(t, name):
         rows = [(g, r, s, w) for g, rs in t.items() for r, ss in rs.items() for s, w in ss.items()]
@@ -105,14 +116,10 @@ def _shards() -> str:
     for name, n in (("tree", "a"), ("grown", "b")):
         parts += [pick("region", name, "ids", "", f"{n}1"), pick("rack", name, f"{n}1", "region", f"{n}2"),
                   pick("shard", name, f"{n}2", "rack", f"{n}3")]
-    crc = ("tab AS MATERIALIZED (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN (c & 1) = 1 "
-           "THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) ORDER BY i) AS t FROM range(0, 256) r(i))")
     return f"""
-WITH {', '.join(parts)}, {crc},
+WITH {', '.join(parts)}, {_CRC_TABLE},
 d AS (SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS id, octet_length(encode(coalesce(text, ''))) + {shards.ROW_BYTES} AS size,
-  xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'),
-    lambda x: ('0x' || x)::BIGINT)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295::BIGINT) AS text_crc32
-  FROM documents, tab)
+  {_crc("coalesce(text, '')")} AS text_crc32 FROM documents, tab)
 SELECT doc_id, size::BIGINT AS size, text_crc32, 'key' AS law, a3.shard::INTEGER AS shard,
   row_number() OVER (PARTITION BY a3.shard ORDER BY md5(d.id), doc_id, size, text_crc32) - 1 AS slot,
   b3.shard::INTEGER AS grown_shard
@@ -168,6 +175,73 @@ SELECT doc_id, size, ss AS source_size, target, CASE WHEN ss = 0 THEN 0 ELSE
   (size * (budget // ss) + greatest(0, least(size, budget % ss - start)))::BIGINT END AS taken FROM p"""
 
 
+def _fim() -> str:
+    h = [f"('0x' || substr(sha256('1:' || coalesce(doc_id::VARCHAR, '')), {8 * k + 1}, 8))::BIGINT" for k in range(4)]
+    marks = " OR ".join(f"contains(t, '{m}')" for m in (fim.PREFIX, fim.SUFFIX, fim.MIDDLE))
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n,
+    {', '.join(f'{x} AS h{k + 1}' for k, x in enumerate(h))} FROM documents),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN t = '' OR {marks} OR h3 % 100 >= {fim.PLAIN_FROM} THEN 'plain'
+      WHEN h4 % 100 < {fim.SPM_BELOW} THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, '{fim.PREFIX}' || substring(t, 1, a) AS pre, '{fim.MIDDLE}' || substring(t, a + 1, b - a) AS mid,
+    '{fim.SUFFIX}' || substring(t, b + 1) AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN suf || pre || mid ELSE pre || suf || mid END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM p"""
+
+
+def _dialogues() -> str:
+    d = dialogues
+    first_fault = rf"""CASE WHEN NOT regexp_matches(text, '{d.VISIBLE}') THEN 'blank' WHEN seen > 1 THEN 'duplicate'
+      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END"""
+    # states 1 to 4: nothing, s, u, a read; ``nx`` is the state after the one user or assistant that fits
+    insert = "list_transform([1, 2, 3, 4], lambda s: list_min([{b}[s], {{'c': {b}[nx[s]].c + 2, 'a': 'I' || {b}[nx[s]].a}}, " \
+             "{{'c': {b}[nx[nx[s]]].c + 4, 'a': 'II' || {b}[nx[nx[s]]].a}}]))"
+    none = "{'c': 1000000000::BIGINT, 'a': ''}"
+    step = f"""list_transform([1, 2, 3, 4], lambda s: list_min([
+      {{'c': v[s].c + {d.DELETE}, 'a': 'D' || v[s].a}},
+      CASE WHEN g[i] THEN {none} ELSE {{'c': v[nx[s]].c + {d.REROLE} + x[i], 'a': 'R' || v[nx[s]].a}} END,
+      CASE WHEN g[i] THEN {none} WHEN s = 1 AND m[i] = 's' THEN {{'c': v[2].c + x[i], 'a': 'K' || v[2].a}}
+        WHEN s <> 3 AND m[i] = 'u' THEN {{'c': v[3].c + x[i], 'a': 'K' || v[3].a}}
+        WHEN s = 3 AND m[i] = 'a' THEN {{'c': v[4].c + x[i], 'a': 'K' || v[4].a}} ELSE {none} END]))"""
+    end = f"[{{'c': 0::BIGINT, 'a': ''}}, {none}, {none}, {{'c': 0::BIGINT, 'a': ''}}]"
+    return rf"""
+WITH RECURSIVE {_CRC_TABLE},
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_crc("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS kind FROM conversations, tab),
+e AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '{d.ENDS}', '', 'g') ELSE text END AS text
+  FROM k, range(0, 2) r(copy) WHERE kind <> 0 AND (copy = 0 OR kind = 3)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS i FROM e),
+q AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS seen,
+    left(role, 1) AS mark, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS last_mark FROM o),
+f AS (SELECT *, {first_fault} AS fault FROM q),
+c AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (i > 1 AND last_mark || mark NOT IN ('su', 'ua', 'au')) AS illegal,
+    list(mark ORDER BY i) AS m, list(fault IN ('blank', 'duplicate') ORDER BY i) AS g,
+    list(CASE WHEN fault = 'truncated' THEN {d.TRUNCATED} ELSE 0 END ORDER BY i) AS x,
+    list(role ORDER BY i) AS roles, list(text ORDER BY i) AS texts, [3, 3, 4, 3] AS nx FROM f GROUP BY conv_id),
+dp AS (SELECT *, n AS i, {insert.format(b=end)} AS v FROM c
+  UNION ALL SELECT * EXCLUDE (i, v, w), i - 1 AS i, {insert.format(b="w")} AS v
+    FROM (SELECT *, {step} AS w FROM dp WHERE i > 0)),
+best AS (SELECT *, v[1].c AS cost, v[1].a AS audit FROM dp WHERE i = 0),
+letters AS (SELECT conv_id, roles, texts, j, audit[j] AS l, length(replace(audit[:j], 'I', '')) AS row_no,
+    length(replace(audit[:j], 'D', '')) - 1 AS place FROM (SELECT *, unnest(range(1, length(audit) + 1)) AS j FROM best)),
+said AS (SELECT *, max(CASE WHEN place = 0 AND l = 'K' AND left(roles[row_no], 1) = 's' THEN 1 ELSE 0 END)
+    OVER (PARTITION BY conv_id) AS lead FROM letters WHERE l <> 'D'),
+text AS (SELECT conv_id, string_agg(CASE WHEN l = 'K' THEN roles[row_no] WHEN (place - lead) % 2 = 0 THEN 'user' ELSE 'assistant' END
+    || ':' || CASE WHEN l = 'I' THEN '' ELSE texts[row_no] END, chr(10) ORDER BY j) AS said FROM said GROUP BY conv_id)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost,
+  coalesce(audit, '') AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN best ON a.conv_id IS NOT DISTINCT FROM best.conv_id
+  LEFT JOIN text ON a.conv_id IS NOT DISTINCT FROM text.conv_id"""
+
+
 TWINS: dict[str, str] = {
     "op1_quality_rules": _quality(),
     "op2_chat_windows": _chat(),
@@ -175,4 +249,6 @@ TWINS: dict[str, str] = {
     "op5_substring_dedup": _REPEATS,
     "op8_url_filters": _urls(),
     "op9_source_mix": _mixing(),
+    "op12_fill_in_middle": _fim(),
+    "op13_conversation_repair": _dialogues(),
 }
