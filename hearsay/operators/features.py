@@ -37,6 +37,11 @@ def vocabulary(df: DataFrame, token_col: str = "tokens") -> DataFrame:
             .select("word", (F.col("_s") + F.col("_r") + (FIRST_ID - 1)).cast("long").alias("word_id")))
 
 
+def stored_vocabulary(df: DataFrame, token_col: str = "tokens") -> DataFrame:
+    """``vocabulary``, written once so that its size is known and no reader repeats the count."""
+    return cut_lineage(vocabulary(df, token_col))
+
+
 def label_index(*frames: DataFrame, col: str = "label") -> DataFrame:
     """Sorted distinct labels of all given frames ``(label, label_id)``, ids from 0."""
     labels = frames[0].select(F.col(col).alias("label"))

@@ -3,22 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from itertools import product
 
+import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier)
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hearsay.functions.scalar import argmax, label_from_name
+from hearsay.operators import boosting as B
 from hearsay.operators import evaluation as E
 from hearsay.operators import features as FE
+from hearsay.operators.bundle import BoostedTrees
 from hearsay.operators.ordered import hash_fraction
+from hearsay.session import cut_lineage
 
 SCORING_BATCH = 128  # fixed value: rows per model call of the published scorer
 
@@ -27,7 +31,7 @@ TREE_GRID = {
     "maxDepth": [3, 5, 6, 8, 10],
     "stepSize": [0.01, 0.05, 0.1],
     "maxIter": [100, 500, 1000],
-    "featureSubsetStrategy": ["0.5", "0.7", "1.0"],
+    "featureSubsetStrategy": ["0.5", "0.7", "1.0"],  # share of the features per tree
 }
 
 
@@ -41,6 +45,17 @@ def with_features(df: DataFrame, vocab: DataFrame, length: int = FE.PADDED_LENGT
     return coded.withColumn("features", array_to_vector(padded)).drop("_ids")
 
 
+def fitted_features(df: DataFrame, is_train: Column, id_cols: Sequence[str] = ("id",),
+                    token_col: str = "tokens") -> tuple[DataFrame, int]:
+    """All rows as vectors, by vocabulary and padded length (95 % statistic) of the training
+    rows alone, written once; and the number of word ids in use."""
+    train = df.where(is_train)
+    vocab = FE.stored_vocabulary(train, token_col)
+    length = FE.max_length(train.select(F.size(token_col).cast("long").alias("n")), "n").first()[0]
+    rows = cut_lineage(with_features(df, vocab, int(length or 1), id_cols, token_col).drop(token_col))
+    return rows, FE.FIRST_ID + vocab.count()
+
+
 def class_columns(df: DataFrame, n_classes: int, prefix: str = "label_",
                   probability: str = "probability") -> DataFrame:
     """Probability vector -> one column per class."""
@@ -56,12 +71,9 @@ def train_logreg(train: DataFrame, label: str = "label", max_iter: int = 100) ->
     return Pipeline(stages=[stage]).fit(train)
 
 
-def tree_estimator(n_classes: int, label: str = "label", seed: int = 42, **params):
-    """Boosted trees for two classes; a forest (soft votes) for more."""
-    if n_classes == 2:
-        return GBTClassifier(labelCol=label, featuresCol="features", seed=seed, **params)
-    forest = {"numTrees" if k == "maxIter" else k: v for k, v in params.items() if k != "stepSize"}
-    return RandomForestClassifier(labelCol=label, featuresCol="features", seed=seed, **forest)
+def tree_estimator(n_classes: int, label: str = "label", seed: int = 42, **params) -> BoostedTrees:
+    """Boosted trees with class probabilities for any number of classes."""
+    return BoostedTrees(nClasses=n_classes, labelCol=label, seed=seed, **params)
 
 
 def train_trees(train: DataFrame, n_classes: int, label: str = "label", seed: int = 42,
@@ -98,21 +110,71 @@ class AucOvoEvaluator(Evaluator):
         return True
 
 
-def boosting_curve(df: DataFrame, n_classes: int, rounds: Sequence[int], label: str = "label",
-                   n_folds: int = 5, **params) -> DataFrame:
-    """Mean and deviation over folds of the one-vs-one area by number of rounds."""
-    folded = with_folds(df, n_folds).persist()
-    evaluator = AucOvoEvaluator(n_classes, label)
-    rows = []
-    for fold in range(n_folds):
-        train, test = folded.where(F.col("fold") != fold), folded.where(F.col("fold") == fold)
-        for n in rounds:
-            model = train_trees(train, n_classes, label, maxIter=n, **params)
-            rows.append((fold, n, evaluator.evaluate(model.transform(test))))
-    folded.unpersist()
-    table = df.sparkSession.createDataFrame(rows, "fold int, rounds int, auc double")
-    return table.groupBy("rounds").agg(F.avg("auc").alias("auc_mean"),
-                                       F.stddev_samp("auc").alias("auc_std"))
+def _staged_scores(df: DataFrame, base: BoostedTrees, settings: Sequence[B.Setting], label: str,
+                   n_folds: int, seed: int) -> DataFrame:
+    """Rows ``(model, rounds, y, s_0, ...)``: every row scored by the models that left its fold
+    out, after every round, to nine digits; one fit for all settings."""
+    n = base.getOrDefault(base.nClasses)
+    cuts = base.cuts(df)
+    bins = B.binned(vector_to_array(base.getFeaturesCol()), cuts).alias("bins")
+    rows = cut_lineage(with_folds(df, n_folds, seed=seed).select(bins, F.col(label).cast("int").alias("label"), "fold"))
+    forest = B.fit(rows, n, settings, base.getOrDefault(base.maxBins))
+    scored = B.staged(rows, forest, settings)
+    return cut_lineage(scored.select("model", "rounds", "fold", F.col("label").alias("y"),
+                                     *[F.round(F.col("p")[i], 9).alias(f"s_{i}") for i in range(n)]))
+
+
+def boosting_curve(df: DataFrame, n_classes: int, rounds: int, label: str = "label",
+                   n_folds: int = 5, seed: int = 42, **params) -> DataFrame:
+    """Mean and deviation over folds of the one-vs-one area after every round.
+
+    All folds are fitted in lock-step, once; the areas of all rounds come from the running
+    sums of the trees' outputs.
+    """
+    base = tree_estimator(n_classes, label, seed, maxIter=rounds, **params)
+    settings = [base.setting(fold, fold) for fold in range(n_folds)]
+    scored = _staged_scores(df, base, settings, label, n_folds, seed)
+    areas = E.auc_ovo(scored, [f"s_{i}" for i in range(n_classes)], group_cols=["fold", "rounds"])
+    return areas.groupBy("rounds").agg(F.avg("auc").alias("auc_mean"), F.stddev_samp("auc").alias("auc_std"))
+
+
+def combinations(grid: Mapping[str, Sequence]) -> list[dict]:
+    """All settings of a grid but the numbers of rounds, which one fit answers together."""
+    names = [n for n in grid if n != "maxIter"]
+    return [dict(zip(names, values)) for values in product(*[grid[n] for n in names])]
+
+
+def setting_name(values: Mapping) -> str:
+    return ", ".join(f"{k}={v}" for k, v in sorted(values.items()))
+
+
+def grid_settings(base: BoostedTrees, grid: Mapping[str, Sequence], n_folds: int) -> tuple[list[dict], list[B.Setting]]:
+    """Combinations, and for each of them one model per fold that is left out."""
+    found, settings = combinations(grid), []
+    for i, values in enumerate(found):
+        own = base.copy({base.getParam(k): v for k, v in values.items()})
+        settings += [own.setting(i * n_folds + fold, fold) for fold in range(n_folds)]
+    return found, settings
+
+
+def search_trees(df: DataFrame, n_classes: int, grid: Mapping[str, Sequence] = TREE_GRID, label: str = "label",
+                 n_folds: int = 5, seed: int = 42, **params) -> DataFrame:
+    """One row per combination: its parameters, mean area over folds and rank.
+
+    Combinations and folds grow in lock-step; numbers of rounds cost nothing extra, as the
+    largest is fitted and the others are read from it.
+    """
+    stops = sorted(grid.get("maxIter", [100]))
+    base = tree_estimator(n_classes, label, seed, maxIter=stops[-1], **params)
+    found, settings = grid_settings(base, grid, n_folds)
+    scored = (_staged_scores(df, base, settings, label, n_folds, seed).where(F.col("rounds").isin(stops))
+              .withColumn("c", F.floor(F.col("model") / n_folds).cast("int")))
+    areas = E.auc_ovo(scored, [f"s_{i}" for i in range(n_classes)], group_cols=["c", "rounds", "fold"])
+    told = F.element_at(F.array(*[F.lit(setting_name(c)) for c in found]), F.col("c") + 1)
+    best_first = Window.partitionBy(F.lit(0)).orderBy(F.desc("mean_metric"))  # one row per setting
+    return (areas.groupBy("c", "rounds").agg(F.round(F.avg("auc"), 6).alias("mean_metric"))
+            .select(told.alias("params"), F.col("rounds").alias("maxIter"), "mean_metric")
+            .withColumn("rank", F.rank().over(best_first)))
 
 
 def grid_search(train: DataFrame, n_classes: int, grid: Mapping[str, Sequence] = TREE_GRID,
@@ -121,11 +183,8 @@ def grid_search(train: DataFrame, n_classes: int, grid: Mapping[str, Sequence] =
     """Cross-validated search scored by the one-vs-one area; folds by hash."""
     base = tree_estimator(n_classes, label, seed)
     builder = ParamGridBuilder()
-    names = {"maxIter": "numTrees"} if n_classes > 2 else {}
     for name, values in grid.items():
-        name = names.get(name, name)
-        if base.hasParam(name):
-            builder = builder.addGrid(base.getParam(name), list(values))
+        builder = builder.addGrid(base.getParam(name), list(values))
     search = CrossValidator(estimator=base, estimatorParamMaps=builder.build(),
                             evaluator=AucOvoEvaluator(n_classes, label), numFolds=n_folds,
                             parallelism=parallelism, foldCol="fold", seed=seed)
@@ -163,7 +222,7 @@ def score_batches(df: DataFrame, text_col: str, load_model: ModelFactory, n_clas
             values = texts.tolist()
             out: list = []
             for i in range(0, len(values), batch_size):
-                out.extend([float(p) for p in row] for row in model(values[i:i + batch_size]))
+                out.extend(np.asarray(model(values[i:i + batch_size]), dtype=float))
             yield pd.Series(out)
 
     scored = df.withColumn("_p", score(F.col(text_col)))

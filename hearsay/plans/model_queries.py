@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -17,7 +18,6 @@ from hearsay.plans.registry import query
 from hearsay.plans.text_queries import LABELS, STOPS, split
 from hearsay.session import cut_lineage
 
-SMALL_GRID = {"maxDepth": [2, 4], "maxIter": [3]}
 TOPICS = 4
 
 
@@ -30,21 +30,20 @@ def _labelled(spark, d):
 
 
 def _featured(spark, d):
-    """Train and test vectors; the vocabulary comes from the training part only."""
+    """Train and test vectors; vocabulary and padded length come from the training part only."""
     rows = _labelled(spark, d)
-    vocab = FE.vocabulary(rows.where("split = 'train'"))
-    return cut_lineage(M.with_features(rows.drop("text"), vocab)), vocab
+    train = rows.where("split = 'train'")
+    vocab = FE.stored_vocabulary(train)
+    length = FE.max_length(train.select(F.size("tokens").cast("long").alias("n")), "n").first()[0]
+    return cut_lineage(M.with_features(rows.drop("text"), vocab, length)), vocab, length
 
 
 def stance_model():
     """A stand-in for a loaded model: class scores from character counts."""
     def score(texts):
-        out = []
-        for t in texts:
-            n = len(t or "")
-            a, b, c = n % 7 + 1, n % 5 + 1, n % 3 + 1
-            out.append([a / (a + b + c), b / (a + b + c), c / (a + b + c)])
-        return out
+        n = np.fromiter((len(t or "") for t in texts), dtype=np.int64, count=len(texts))
+        parts = np.stack([n % 7 + 1, n % 5 + 1, n % 3 + 1], axis=1)
+        return parts / parts.sum(axis=1, keepdims=True)
     return score
 
 
@@ -70,40 +69,19 @@ def score_top_label(spark, d):
 
 @query("train_logreg", "M07 M12 M06")
 def train_logreg(spark, d):
-    rows, _ = _featured(spark, d)
+    rows, _, _ = _featured(spark, d)
     model = M.train_logreg(rows.where("split = 'train'"), max_iter=30)
     scored = M.class_columns(model.transform(rows.where("split = 'test'")), 2, "s_")
     named = E.with_prediction(scored.withColumn("y", F.col("label")), ["s_0", "s_1"])
     return E.accuracy_f1(named, 2)
 
 
-@query("train_trees", "M08 M12")
-def train_trees(spark, d):
-    rows, _ = _featured(spark, d)
-    model = M.train_trees(rows.where("split = 'train'"), 2, maxIter=5, maxDepth=3)
-    scored = M.class_columns(model.transform(rows.where("split = 'test'")), 2, "s_")
-    return scored.select("id", "label", "s_0", "s_1")
-
-
-@query("boosting_curve", "M09")
-def boosting_curve(spark, d):
-    rows, _ = _featured(spark, d)
-    return M.boosting_curve(rows, 2, [2, 4], n_folds=2, maxDepth=2)
-
-
-@query("train_trees_cv", "M10 M11 W07 D06")
-def train_trees_cv(spark, d):
-    rows, _ = _featured(spark, d)
-    found = M.grid_search(rows.where("split = 'train'"), 2, SMALL_GRID, n_folds=5)
-    return M.grid_results(spark, found)
-
-
 @query("score_cascade", "M15 M16 M17 F13")
 def score_cascade(spark, d):
-    rows, vocab = _featured(spark, d)
+    rows, vocab, length = _featured(spark, d)
     model = M.train_logreg(rows.where("split = 'train'"), max_iter=20)
     posts = V.texts(spark, d).select("id", "subreddit", "text", X.tokens(F.col("text")).alias("tokens"))
-    scored = M.cascade(posts, vocab, model, "text", stance_model)
+    scored = M.cascade(posts, vocab, model, "text", stance_model, length=length)
     return scored.select("id", "subreddit", "class_I", "conf_I", "class_II", "conf_II")
 
 

@@ -44,10 +44,10 @@ def test_grid_search(spark):
     assert rows[0]["mean_metric"] >= rows[1]["mean_metric"] > 0.5
 
 
-def test_one_vs_rest_and_forest(spark):
+def test_one_vs_rest_and_three_classes(spark):
     data = toy(spark).withColumn("label", (F.col("id") % 3).cast("double"))
     assert "prediction" in M.train_one_vs_rest(data, maxIter=2, maxDepth=2).transform(data).columns
-    forest = M.train_trees(data, 3, maxIter=3, maxDepth=2)
-    total = M.class_columns(forest.transform(data), 3, "s_").select(
+    trees = M.train_trees(data, 3, maxIter=3, maxDepth=2)
+    total = M.class_columns(trees.transform(data), 3, "s_").select(
         (F.col("s_0") + F.col("s_1") + F.col("s_2")).alias("t"))
     assert total.where(F.abs(F.col("t") - 1) > 1e-9).count() == 0
