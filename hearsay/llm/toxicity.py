@@ -8,15 +8,18 @@ A text is cut into overlapping windows that cover all of it; its score is the
 highest window score.
 
 Training (numpy, on the driver) uses a bounded, documented sample of labelled texts:
-at most ``TRAIN_ROWS`` of each class, in order of a hash of the id, texts up to
-``TRAIN_CHARS``, rows with crc32(id) mod 3 = 1 held out.  Labels are those of whole
-texts, so from the third epoch on a toxic text is represented by its highest-scoring
-window.  Scoring runs over every whole text in tasks; the fitted tables have a fixed
-size and travel with them.
+at most ``TRAIN_ROWS`` of each class, in order of a hash of the id (of rows with one id
+the text of least hash), rows with crc32(id) mod 3 = 1 or a null id left out, and of
+each text at most ``TRAIN_WINDOWS`` windows, in order of a hash of their place.  Ids are
+chosen before any text moves, and only the windows of the chosen texts reach the driver.
+Labels are those of whole texts, so from the third epoch on a toxic text is represented
+by its highest-scoring window.  Scoring runs over every whole text in tasks; the fitted
+tables have a fixed size and travel with them.
 
 Defined cases: a null or wordless text scores 0; labels that are null or for unknown
 ids are not used; repeated label rows count once; without both classes in the sample
-every text with words scores 0; columns named like the added ones are replaced.
+every text with words scores 0; a null id is not held out; columns named like the added
+ones (``score``, ``predicted``, in the query ``held_out``) are replaced.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -34,7 +38,7 @@ from pyspark.sql.types import DoubleType
 from hearsay.llm.words import hash_order
 
 TRAIN_ROWS = 1_200
-TRAIN_CHARS = 20_000
+TRAIN_WINDOWS = 160
 WINDOW, STRIDE = 48, 24
 WORD_ROWS, GRAM_ROWS = 1 << 13, 1 << 14
 GRAMS = (3, 4, 5)
@@ -43,7 +47,8 @@ EPOCHS, BATCH, RATE = 6, 64, 0.01
 SEED = 17
 THRESHOLD = 0.7
 KNOWN_WORDS = 200_000     # word inputs that a task remembers
-WINDOWS_AT_ONCE = 2_048
+WINDOWS_AT_ONCE = 2_048   # windows whose words are looked up together
+WINDOWS_A_STEP = 384      # windows of one pass through the layers
 TOKEN = re.compile(r"\w+")
 
 
@@ -51,13 +56,49 @@ def tokens(text: str | None) -> list[str]:
     return TOKEN.findall(text.lower()) if text else []
 
 
-def word_features(word: str) -> tuple[int, list[int]]:
-    """Row of the word table and rows of the character table; long words are capped in
-    number of characters seen by the n-grams of both ends, never in the text."""
-    shown = f"<{word}>" if len(word) <= 40 else f"<{word[:20]}\x00{word[-20:]}>"
-    grams = [zlib.crc32(shown[i:i + n].encode("utf-8", "replace")) % GRAM_ROWS
-             for n in GRAMS for i in range(len(shown) - n + 1)] or [0]
-    return zlib.crc32(b"w" + word.encode("utf-8", "replace")) % WORD_ROWS, grams
+@dataclass
+class WordTable:
+    """Rows of the word table, and rows of the character table one word after another."""
+    words: np.ndarray
+    grams: np.ndarray
+    starts: np.ndarray      # where each word's grams start, and their number at the end
+
+    def take(self, some: np.ndarray) -> "WordTable":
+        sizes = self.sizes[some]
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        at = np.arange(starts[-1]) + np.repeat(self.starts[some] - starts[:-1], sizes)
+        return WordTable(self.words[some], self.grams[at], starts)
+
+    @property
+    def sizes(self) -> np.ndarray:
+        return np.diff(self.starts)
+
+
+def word_features(words: list[str]) -> WordTable:
+    """Table rows of whole words and of all their character n-grams, ends marked by < and >."""
+    if not words:
+        return WordTable(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64))
+    own = np.array([zlib.crc32(w.encode("utf-8", "replace")) % WORD_ROWS for w in words], dtype=np.int64)
+    codes = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"),
+                          dtype=np.uint32).astype(np.uint64)
+    sizes = np.array([len(w) + 2 for w in words])
+    owner = np.repeat(np.arange(len(words)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))    # characters to the end of the word
+    rows, owners = [], []
+    for n in GRAMS:
+        if len(codes) < n:
+            continue
+        h = np.full(len(codes) - n + 1, n, dtype=np.uint64)
+        for k in range(n):
+            h = (h ^ codes[k:len(codes) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        inside = left[:len(h)] >= n
+        rows.append((h[inside] % np.uint64(GRAM_ROWS)).astype(np.int64))
+        owners.append(owner[:len(h)][inside])
+    owners = np.concatenate(owners)
+    order = np.argsort(owners, kind="stable")
+    counts = np.bincount(owners, minlength=len(words))       # at least one, as <a> has three characters
+    return WordTable(own, np.concatenate(rows)[order], np.concatenate([[0], np.cumsum(counts)]))
 
 
 def cut_windows(n: int) -> list[tuple[int, int]]:
@@ -87,14 +128,12 @@ class Network:
         self.p["out"] = draw(2 * HIDDEN, scale=0.3)
         self.p["bias"] = np.zeros(1, dtype=np.float32)
 
-    def inputs(self, features: list[tuple[int, list[int]]]) -> np.ndarray:
-        if not features:
+    def inputs(self, table: WordTable) -> np.ndarray:
+        if not len(table.words):
             return np.zeros((0, INPUT), dtype=np.float32)
-        sizes = np.array([len(g) for _, g in features])
-        flat = np.concatenate([np.asarray(g) for _, g in features])
-        ends = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        return (self.p["words"][[w for w, _ in features]]
-                + np.add.reduceat(self.p["grams"][flat], ends, axis=0) / sizes[:, None].astype(np.float32))
+        kind = self.p["grams"].dtype
+        return (self.p["words"][table.words] + np.add.reduceat(self.p["grams"][table.grams], table.starts[:-1], axis=0)
+                / table.sizes[:, None].astype(kind))
 
     def _read(self, side: str, gates: np.ndarray, rows: np.ndarray, keep: list | None) -> np.ndarray:
         """States (position, window, hidden); ``rows`` are rows of ``gates``, -1 past the end."""
@@ -114,14 +153,12 @@ class Network:
             states[t] = h = new
         return states
 
-    def forward(self, x: np.ndarray, rows: np.ndarray, keep: dict | None = None,
-                gates: dict | None = None) -> np.ndarray:
+    def forward(self, x: np.ndarray, rows: np.ndarray, keep: dict | None = None) -> np.ndarray:
         """Log odds of windows; ``x`` are word inputs, ``rows`` their place per window."""
         both = []
         for side in ("f", "b"):
             # one spare row at the end is what -1 points at
-            g = gates[side] if gates else np.concatenate(
-                [x @ self.p[f"W{side}"] + self.p[f"c{side}"], np.zeros((1, 3 * HIDDEN), np.float32)])
+            g = np.concatenate([x @ self.p[f"W{side}"] + self.p[f"c{side}"], np.zeros((1, 3 * HIDDEN), np.float32)])
             steps = [] if keep is not None else None
             both.append(self._read(side, g, rows, steps))
             if keep is not None:
@@ -180,17 +217,26 @@ class Adam:
                           / (np.sqrt(v / (1 - 0.999 ** self.t)) + 1e-6)).astype(np.float32)
 
 
+def windows_of(text: str | None) -> list[list[str]]:
+    words = tokens(text)
+    return [words[a:b] for a, b in cut_windows(len(words))]
+
+
 def fit(texts: list[str], labels: list[int], seed: int = SEED, epochs: int = EPOCHS) -> Network | None:
     """A network fitted to whole-text labels; None unless both classes are there."""
+    return fit_windows([windows_of(t) for t in texts], labels, seed, epochs)
+
+
+def fit_windows(texts: list[list[list[str]]], labels: list[int], seed: int = SEED,
+                epochs: int = EPOCHS) -> Network | None:
+    """``fit`` for texts that are given as their windows."""
     words: dict[str, int] = {}
-    cut = []
-    for text in texts:
-        rows = np.array([words.setdefault(w, len(words)) for w in tokens(text)], dtype=np.int64)
-        cut.append([rows[a:b] for a, b in cut_windows(len(rows))])
+    cut = [[np.array([words.setdefault(w, len(words)) for w in window], dtype=np.int64) for window in windows]
+           for windows in texts]
     usable = [i for i, c in enumerate(cut) if c]
     if len({labels[i] for i in usable}) < 2:
         return None
-    features = [word_features(w) for w in words]
+    features = word_features(list(words))
     rng, net, adam = np.random.default_rng(seed), Network(seed), Adam(RATE)
 
     def padded(windows: list[np.ndarray]) -> np.ndarray:
@@ -199,112 +245,188 @@ def fit(texts: list[str], labels: list[int], seed: int = SEED, epochs: int = EPO
             out[i, :len(w)] = w
         return out
 
+    def local(windows: list[np.ndarray]) -> tuple[WordTable, np.ndarray]:
+        """The words of some windows, and the windows as places among them."""
+        rows = padded(windows)
+        used, at = np.unique(rows, return_inverse=True)
+        gap = int(used[0] < 0)
+        return features.take(used[gap:]), at.reshape(rows.shape) - gap
+
     for epoch in range(epochs):
         chosen = []
         for i in usable:
             c = cut[i]
             if labels[i] and epoch >= 2:
-                rows = padded(c)
-                used, local = np.unique(rows, return_inverse=True)
-                x = net.inputs([features[u] for u in used if u >= 0])
-                local = local.reshape(rows.shape) - int(used[0] < 0)
-                chosen.append((c[int(net.forward(x, local).argmax())], 1))
+                own, rows = local(c)
+                chosen.append((c[int(net.forward(net.inputs(own), rows).argmax())], 1))
             else:
                 few = 3 if labels[i] else 2
                 chosen += [(c[k], labels[i]) for k in rng.permutation(len(c))[:few]]
         order = rng.permutation(len(chosen))
         for at in range(0, len(order), BATCH):
             some = [chosen[k] for k in order[at:at + BATCH]]
-            rows = padded([w for w, _ in some])
-            used, local = np.unique(rows, return_inverse=True)
-            local = local.reshape(rows.shape)
-            if used[0] < 0:
-                used, local = used[1:], local - 1
-            own = [features[u] for u in used]
-            grad, dx, _ = net.gradients(net.inputs(own), local, np.array([y for _, y in some], np.float32))
+            own, rows = local([w for w, _ in some])
+            grad, dx, _ = net.gradients(net.inputs(own), rows, np.array([y for _, y in some], np.float32))
             grad["words"], grad["grams"] = np.zeros_like(net.p["words"]), np.zeros_like(net.p["grams"])
-            np.add.at(grad["words"], [w for w, _ in own], dx)
-            sizes = np.array([len(g) for _, g in own])
-            np.add.at(grad["grams"], np.concatenate([g for _, g in own]),
-                      np.repeat(dx / sizes[:, None].astype(np.float32), sizes, axis=0))
+            np.add.at(grad["words"], own.words, dx)
+            np.add.at(grad["grams"], own.grams, np.repeat(dx / own.sizes[:, None].astype(np.float32), own.sizes, axis=0))
             adam.step(net.p, grad)
     return net
 
 
 class Scorer:
-    """Scores whole texts; gate inputs of words are remembered up to a bound."""
+    """Scores whole texts; gate inputs of words are remembered up to a bound.
+
+    Gates are kept with the factors of the logistic function folded in, and a step works on
+    arrays of (hidden, window), so that every gate is one block of memory.
+    """
 
     def __init__(self, net: Network) -> None:
         self.net = net
+        half = np.ones(3 * HIDDEN, dtype=np.float32)
+        half[:2 * HIDDEN] = 0.5          # logistic(x) = tanh(x / 2) / 2 + 1 / 2
+        self.inner = {s: np.ascontiguousarray((net.p[f"U{s}"] * half).T.astype(np.float32)) for s in ("f", "b")}
+        self.outer = {s: ((net.p[f"W{s}"] * half).astype(np.float32), (net.p[f"c{s}"] * half).astype(np.float32))
+                      for s in ("f", "b")}
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.gates = {s: np.zeros((1, 3 * HIDDEN), dtype=np.float32) for s in ("f", "b")}
+        self.gates = {s: np.zeros((1 << 12, 3 * HIDDEN), dtype=np.float32) for s in ("f", "b")}
 
     def _learn(self, fresh: list[str]) -> None:
-        x = self.net.inputs([word_features(w) for w in fresh])
-        for side, old in self.gates.items():
-            new = x @ self.net.p[f"W{side}"] + self.net.p[f"c{side}"]
-            self.gates[side] = np.concatenate([old[:-1], new.astype(np.float32), old[-1:]])
+        start = len(self.known)
+        self.known.update(zip(fresh, range(start, start + len(fresh))))
+        x = self.net.inputs(word_features(fresh)).astype(np.float32)
+        for side, (weight, bias) in self.outer.items():
+            held = self.gates[side]
+            if len(held) < len(self.known):
+                bigger = np.zeros((max(2 * len(held), len(self.known)), 3 * HIDDEN), dtype=np.float32)
+                bigger[:start] = held[:start]
+                held = self.gates[side] = bigger
+            held[start:len(self.known)] = x @ weight + bias
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        out = np.zeros(len(texts))
+        """The highest window score of every text; equal texts are scored once."""
+        place: dict[str | None, int] = {}
+        back = [place.setdefault(t, len(place)) for t in texts]
+        out = np.zeros(len(place))
         at, group, held = [], [], 0
-        for i, text in enumerate(texts):
+        for i, text in enumerate(place):
             at.append(i)
             group.append(tokens(text))
             held += len(group[-1])
-            if held >= WINDOWS_AT_ONCE * STRIDE or i == len(texts) - 1:
+            if held >= WINDOWS_AT_ONCE * STRIDE:
                 out[at] = self._score(group)
                 at, group, held = [], [], 0
-        return out
+        if at:
+            out[at] = self._score(group)
+        return out[back] if len(texts) else out
 
     def _score(self, group: list[list[str]]) -> np.ndarray:
         if len(self.known) > KNOWN_WORDS:
             self._forget()
-        fresh = list(dict.fromkeys(w for g in group for w in g if w not in self.known))
+        known = self.known
+        fresh = list(dict.fromkeys(w for g in group for w in g if w not in known))
         if fresh:
-            for w in fresh:
-                self.known[w] = len(self.known)
             self._learn(fresh)
-        rows, owner = [], []
-        for i, g in enumerate(group):
-            code = np.array([self.known[w] for w in g], dtype=np.int64)
-            for a, b in cut_windows(len(g)):
-                row = np.full(WINDOW, -1, dtype=np.int64)
-                row[:b - a] = code[a:b]
-                rows.append(row)
-                owner.append(i)
         best = np.zeros(len(group))
-        for start in range(0, len(rows), WINDOWS_AT_ONCE):
-            logits = self.net.forward(None, np.stack(rows[start:start + WINDOWS_AT_ONCE]), gates=self.gates)
-            odds = 1 / (1 + np.exp(-np.clip(logits.astype(float), -30, 30)))
-            np.maximum.at(best, owner[start:start + WINDOWS_AT_ONCE], odds)
+        whole, owner = [], []
+        for i, g in enumerate(group):
+            code = np.fromiter(map(known.__getitem__, g), dtype=np.int64, count=len(g))
+            starts = np.array([a for a, _ in cut_windows(len(g))], dtype=np.int64)
+            if len(g) >= WINDOW:
+                whole.append(code[starts[:, None] + np.arange(WINDOW)])
+                owner.append(np.full(len(starts), i))
+            elif len(g):
+                best[i] = self._odds(code[None, :])[0]       # a short text is one window
+        if whole:
+            np.maximum.at(best, np.concatenate(owner), self._odds(np.concatenate(whole)))
         return best
 
+    def _odds(self, rows: np.ndarray) -> np.ndarray:
+        logits = np.concatenate([self.logits(rows[k:k + WINDOWS_A_STEP]) for k in range(0, len(rows), WINDOWS_A_STEP)])
+        return 1 / (1 + np.exp(-np.clip(logits.astype(float), -30, 30)))
+
+    def logits(self, rows: np.ndarray) -> np.ndarray:
+        """``Network.forward`` for windows of one size without gaps."""
+        count, size = rows.shape
+        states = np.empty((size, 2 * HIDDEN, count), dtype=np.float32)
+        hu = np.empty((3 * HIDDEN, count), dtype=np.float32)
+        for i, side in enumerate(("f", "b")):
+            gates = np.ascontiguousarray(self.gates[side][rows].transpose(1, 2, 0))
+            h = np.zeros((HIDDEN, count), dtype=np.float32)
+            for t in (range(size) if side == "f" else range(size - 1, -1, -1)):
+                x = gates[t]
+                np.matmul(self.inner[side], h, out=hu)
+                zr, n = x[:2 * HIDDEN], hu[2 * HIDDEN:]
+                zr += hu[:2 * HIDDEN]
+                np.tanh(zr, out=zr)
+                zr *= np.float32(0.5)
+                zr += np.float32(0.5)
+                n *= zr[HIDDEN:]
+                n += x[2 * HIDDEN:]
+                np.tanh(n, out=n)
+                h -= n                   # n + z (h - n)
+                h *= zr[:HIDDEN]
+                h += n
+                states[t, i * HIDDEN:(i + 1) * HIDDEN] = h
+        look = np.tensordot(self.net.p["look"].astype(np.float32), states, axes=(0, 1))
+        weight = np.exp(look - look.max(axis=0))
+        weight /= weight.sum(axis=0)
+        value = np.tensordot(self.net.p["out"].astype(np.float32), states, axes=(0, 1))
+        return (value * weight).sum(axis=0) + self.net.p["bias"][0]
+
 
 def is_held_out(id_col: str):
-    return F.crc32(F.col(id_col).cast("string")) % 3 == 1
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
+
+
+def _sampled_windows(most: int):
+    """Windows of a text, words joined by blanks: all, or ``most`` in order of a hash."""
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            out = []
+            for text in texts:
+                words = tokens(text)
+                spans = cut_windows(len(words))
+                if len(spans) > most:
+                    keep = sorted(range(len(spans)), key=lambda i: (zlib.crc32(str(i).encode()), i))[:most]
+                    spans = [spans[i] for i in sorted(keep)]
+                out.append([" ".join(words[a:b]) for a, b in spans])
+            yield pd.Series(out)
+
+    cut.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(cut, "array<string>")
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  rows: int = TRAIN_ROWS) -> list:
-    """At most ``rows`` labelled texts of each class, held-out ids left out."""
+                  rows: int = TRAIN_ROWS, windows: int = TRAIN_WINDOWS) -> list:
+    """``(toxic, windows)`` of at most ``rows`` labelled texts of each class."""
     known = (labels.where(F.col("toxic").isin(0, 1) & F.col(id_col).isNotNull())
              .where(~is_held_out(id_col)).groupBy(id_col).agg(F.max("toxic").alias("toxic")))
-    texts = (docs.select(id_col, text_col).where(F.length(text_col) <= TRAIN_CHARS)
-             .join(known, id_col).withColumn("_key", hash_order(F.col(id_col))))
-    found = []
+    there = docs.select(id_col).where(F.col(id_col).isNotNull() & ~is_held_out(id_col)).distinct()
+    labelled = known.join(there, id_col, "left_semi").withColumn("_key", hash_order(F.col(id_col)))
+    chosen = {}
     for toxic in (0, 1):
-        found += (texts.where(F.col("toxic") == toxic).orderBy("_key", F.crc32(text_col))
-                  .limit(rows).select("toxic", F.col(text_col).alias("text")).collect())
-    return found
+        for r in (labelled.where(F.col("toxic") == toxic).orderBy("_key").limit(rows)
+                  .select(F.col(id_col).alias("id"), "toxic", "_key").collect()):
+            chosen[r["id"]] = (r["toxic"], r["_key"])
+    if not chosen:
+        return []
+    ids = docs.sparkSession.createDataFrame([(i, *v) for i, v in chosen.items()], known.select(
+        F.col(id_col).alias("_id"), "toxic", F.lit("").alias("_key")).schema)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    # at most 2 * rows ids; of rows with one id the text of least hash stands for it
+    found = (docs.select(F.col(id_col).alias("_id"), text.alias("_text")).join(F.broadcast(ids), "_id")
+             .withColumn("_w", _sampled_windows(windows)("_text"))
+             .groupBy("_id", "toxic", "_key").agg(F.min_by("_w", F.xxhash64("_text")).alias("windows")))
+    return found.orderBy("toxic", "_key").select("toxic", "windows").collect()
 
 
 def train(docs: DataFrame, labels: DataFrame, **options) -> Network | None:
     rows = training_rows(docs, labels, **options)
-    return fit([r["text"] for r in rows], [int(r["toxic"]) for r in rows])
+    return fit_windows([[w.split(" ") for w in r["windows"]] for r in rows], [int(r["toxic"]) for r in rows])
 
 
 def _scoring(net: Network):
