@@ -9,6 +9,12 @@ before the span whose tokens fit into the history, then the new turns.  The loss
 mask covers the texts of new assistant turns only, so a repeated target is masked
 out and each target is learned once.
 
+Tokens are counted on the formatted line of a turn, template and escapes included, so a
+window never holds more than the budget, with one exception: turns are not divided, and
+one that is longer than the budget makes a window of its own.  The history shrinks to
+what the new turns leave, and a system turn that does not fit beside them is left out of
+that window.
+
 Template: ``<turn>`` role, line feed, text, ``</turn>``, line feed.  Inside roles and
 texts a backslash becomes ``\\b`` and ``<`` becomes ``\\l``, inside roles a line feed
 becomes ``\\n``; no control string can appear in a text and every step can be undone.
@@ -29,12 +35,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hearsay.llm.words import bucket_offsets, same
+from hearsay.session import cut_lineage
 
 OPEN, CLOSE = "<turn>", "</turn>\n"
 BUDGET = 512
 HISTORY = 96
 LEAST_ROOM = 64
-TURN_TOKENS = 4       # what the template adds to a turn
 TURNS_PER_BLOCK = 1024
 TOKEN = r"[0-9A-Za-z_]+|[^0-9A-Za-z_\x20\x09-\x0D]"
 
@@ -55,8 +61,13 @@ def unescape_role(role: Column) -> Column:
     return unescape(F.replace(role, F.lit("\\n"), F.lit("\n")))
 
 
-def tokens(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(TOKEN)) + TURN_TOKENS
+def line(role: Column, text: Column) -> Column:
+    return F.concat(F.lit(OPEN), escape_role(role), F.lit("\n"), escape(text), F.lit(CLOSE))
+
+
+def tokens(role: Column, text: Column) -> Column:
+    """Tokens of a formatted turn; lines end in a break, so those of a window add up."""
+    return F.regexp_count(line(role, text), F.lit(TOKEN))
 
 
 def _numbered(turns: DataFrame) -> DataFrame:
@@ -65,7 +76,7 @@ def _numbered(turns: DataFrame) -> DataFrame:
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    counted = (clean.withColumn("tokens", tokens(F.col("text")).cast("long"))
+    counted = (clean.withColumn("tokens", tokens(F.col("role"), F.col("text")).cast("long"))
                .withColumn("_block", F.floor(F.col("turn") / TURNS_PER_BLOCK)))
     totals = counted.groupBy("conv_id", "_block").agg(
         F.sum("tokens").alias("_tokens"), F.count(F.lit(1)).alias("_turns"))
@@ -87,7 +98,7 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> D
     ``n_context`` turns at the head of the text are repeated ones; ``loss`` lists the
     code-point ranges ``[start, end)`` of ``text`` that are learned.
     """
-    placed = _numbered(turns)
+    placed = cut_lineage(_numbered(turns))     # read by every part below
     system = (placed.where("role = 'system'").groupBy("conv_id")
               .agg(F.min(F.struct("seq", "text", "tokens", "end")).alias("_s"))
               .select("conv_id", F.col("_s.seq").alias("sys_seq"), F.col("_s.text").alias("sys_text"),
@@ -97,24 +108,27 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> D
     spanned = (same(placed, system, ["conv_id"], "left").withColumn("_room", room)
                .withColumn("window", first * 2 + (last > first).cast("long")))
     spans = spanned.groupBy("conv_id", "window").agg(
-        F.min("start").alias("span_start"), F.first("sys_seq").alias("sys_seq"),
-        F.first("sys_text").alias("sys_text"), F.first("sys_end").alias("sys_end"))
+        F.min("start").alias("span_start"), F.sum("tokens").alias("_own"), F.first("sys_seq").alias("sys_seq"),
+        F.first("sys_text").alias("sys_text"), F.first("sys_end").alias("sys_end"),
+        F.first("sys_tokens").alias("sys_tokens"))
+    fits = (F.col("sys_end") <= F.col("span_start")) & (F.col("sys_tokens") + F.col("_own") <= budget)
+    spans = (spans.withColumn("_head", F.when(fits, F.col("sys_tokens")).otherwise(0))
+             .withColumn("_left", F.least(F.lit(history), F.lit(budget) - F.col("_own") - F.col("_head"))))
 
     new = spanned.select("conv_id", "window", "seq", F.lit(True).alias("new"), "role", "text")
-    head = (spans.where("sys_end <= span_start")
+    head = (spans.where("_head > 0")
             .select("conv_id", "window", F.col("sys_seq").alias("seq"), F.lit(False).alias("new"),
                     F.lit("system").alias("role"), F.col("sys_text").alias("text")))
     reach = placed.where(F.col("tokens") <= history).withColumn("_near", F.explode(F.sequence(
         F.floor(F.col("end") / history), F.floor((F.col("start") + history) / history))))
-    near = spans.select("conv_id", "window", "span_start",
-                        F.floor(F.col("span_start") / history).alias("_near"))
+    near = spans.where("_left > 0").select("conv_id", "window", "span_start", "_left",
+                                           F.floor(F.col("span_start") / history).alias("_near"))
     repeated = (same(reach, near, ["conv_id", "_near"])
                 .where((F.col("span_start") >= F.col("end"))
-                       & (F.col("span_start") - F.col("start") <= history))
+                       & (F.col("span_start") - F.col("start") <= F.col("_left")))
                 .select("conv_id", "window", "seq", F.lit(False).alias("new"), "role", "text"))
 
-    lines = F.transform("_turns", lambda t: F.concat(
-        F.lit(OPEN), escape_role(t["role"]), F.lit("\n"), escape(t["text"]), F.lit(CLOSE)))
+    lines = F.transform("_turns", lambda t: line(t["role"], t["text"]))
     gathered = (new.union(head).union(repeated)
                 .groupBy("conv_id", "window")
                 .agg(F.sort_array(F.collect_set(F.struct("seq", "new", "role", "text"))).alias("_turns"))

@@ -63,21 +63,23 @@ def _chat() -> str:
     return rf"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
-k AS (SELECT *, len(regexp_extract_all(text, '{chat.TOKEN}')) + {chat.TURN_TOKENS} AS tokens FROM c),
+k AS (SELECT *, len(regexp_extract_all('{chat.OPEN}' || replace({esc.format('role')}, chr(10), '\n') || chr(10) || {esc.format('text')}
+    || '{chat.CLOSE}', '{chat.TOKEN}')) AS tokens FROM c),
 p AS (SELECT *, row_number() OVER o AS seq, sum(tokens) OVER o AS fin,
     length(replace({esc.format('role')}, chr(10), '\n')) + length({esc.format('text')}) + {extra} AS chars
   FROM k WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)),
 q AS (SELECT *, fin - tokens AS start FROM p),
 s AS (SELECT conv_id, min(seq) AS sys_seq, arg_min(tokens, seq) AS sys_tokens, arg_min(fin, seq) AS sys_end,
     arg_min(chars, seq) AS sys_chars FROM q WHERE role = 'system' GROUP BY conv_id),
-w AS (SELECT q.*, sys_seq, sys_end, sys_chars, greatest({chat.LEAST_ROOM}, {b - h} - coalesce(sys_tokens, 0)) AS room
+w AS (SELECT q.*, sys_seq, sys_end, sys_chars, sys_tokens, greatest({chat.LEAST_ROOM}, {b - h} - coalesce(sys_tokens, 0)) AS room
   FROM q LEFT JOIN s ON q.conv_id IS NOT DISTINCT FROM s.conv_id),
 x AS (SELECT *, 2 * (start // room) + CASE WHEN (fin - 1) // room > start // room THEN 1 ELSE 0 END AS win FROM w),
-sp AS (SELECT conv_id, win, min(start) AS st, any_value(sys_seq) AS sys_seq, any_value(sys_end) AS sys_end,
-    any_value(sys_chars) AS sys_chars FROM x GROUP BY conv_id, win),
+sg AS (SELECT conv_id, win, min(start) AS st, sum(tokens) AS own, any_value(sys_seq) AS sys_seq, any_value(sys_end) AS sys_end,
+    any_value(sys_chars) AS sys_chars, any_value(sys_tokens) AS sys_tokens FROM x GROUP BY conv_id, win),
+sp AS (SELECT *, CASE WHEN sys_end <= st AND sys_tokens + own <= {b} THEN sys_tokens ELSE 0 END AS headed FROM sg),
 hist AS (SELECT sp.conv_id, sp.win, q.seq, q.chars FROM sp JOIN q ON q.conv_id = sp.conv_id
-  AND q.fin <= sp.st AND sp.st - q.start <= {h}),
-head AS (SELECT conv_id, win, sys_seq AS seq, sys_chars AS chars FROM sp WHERE sys_end <= st),
+  AND q.fin <= sp.st AND sp.st - q.start <= least({h}, {b} - own - headed)),
+head AS (SELECT conv_id, win, sys_seq AS seq, sys_chars AS chars FROM sp WHERE headed > 0),
 extra AS (SELECT conv_id, sum(chars) AS n FROM (SELECT * FROM hist UNION SELECT * FROM head) GROUP BY conv_id)
 SELECT q.conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(role || chr(10) || text || chr(10), '' ORDER BY seq), '')) AS turns_sha256,
