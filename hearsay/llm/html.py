@@ -9,7 +9,7 @@ for features, for neighbouring labels and for both ends; it is trained by maximu
 likelihood (forward-backward, numpy, on the driver) and decoded by Viterbi in tasks.
 
 Training pages are labelled pages laid out over paragraphs taken from a bounded
-sample of the table (``SAMPLE_PAGES``): many layouts and names for the article, the
+sample of the table (``SAMPLE_PAGES``, ``SAMPLE_LINES``, ``SAMPLE_WORDS``): many layouts and names for the article, the
 menus, headers, footers, sidebars, notices, adverts, forms and reader comments, in and
 around the article.
 
@@ -21,8 +21,10 @@ columns named like the added ones are replaced.
 from __future__ import annotations
 
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from html import escape, unescape
 
 import numpy as np
@@ -34,6 +36,7 @@ from pyspark.sql.types import StringType
 from hearsay.llm.words import hash_order
 
 SAMPLE_PAGES = 80
+SAMPLE_LINES, SAMPLE_WORDS = 200, 400     # paragraphs of a sampled page, words of a paragraph
 TRAIN_PAGES = 260
 EPOCHS = 12
 RATE = 0.05
@@ -50,88 +53,201 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
                    "pre section summary table tbody td tfoot th thead tr ul".split())
 SECTIONS = frozenset("article main aside nav header footer form section table ul ol dl blockquote figure "
                      "dialog details menu address".split())
-CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
-          "td": {"td", "th"}, "th": {"td", "th"}}
 KEEPS_OPEN = frozenset("ul ol dl table td th body html article section main div".split())
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)"
-                 r"([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>", re.S)
+#: what a new element closes: the nearest open one of the first names, unless one of the second comes before it
+_CELLS = frozenset(("td", "th"))
+IMPLIED = {"p": ({"p"}, KEEPS_OPEN), "li": ({"li"}, KEEPS_OPEN), "dt": ({"dt", "dd"}, KEEPS_OPEN),
+           "tr": ({"tr", "td", "th"}, KEEPS_OPEN - _CELLS), "td": ({"td", "th"}, KEEPS_OPEN - _CELLS)}
+CLOSER = {"li": "li", "dt": "dt", "dd": "dt", "tr": "tr", "td": "td", "th": "td"}
+
+TAG_NAME = re.compile(r"<(/?)([A-Za-z][^\s/>\"']*)")
+STOP = re.compile(r"[>\"']")
 NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 NAME_WORD = re.compile(r"[a-z]+")
 
 
+class Element:
+    """An open element.  What a block needs to know of its ancestors is carried down, so that
+    neither reading nor describing a block walks up: ``has`` is shared with the parent unless
+    the element adds to it."""
+
+    __slots__ = ("tag", "names", "parent", "silent", "linked", "inner", "own", "near", "has", "closes")
+
+    def __init__(self, tag: str, names: list[str], parent: "Element | None", known) -> None:
+        self.tag, self.names, self.parent = tag, names, parent
+        up = parent or ROOT
+        self.silent = up.silent or tag in SILENT
+        self.linked = up.linked or tag == "a"
+        self.inner = tag if tag in SECTIONS else up.inner
+        self.own = tag if tag in BLOCKS else up.own
+        self.near = names or up.near
+        new = {f"name:{w}" for w in names}
+        if tag not in ("html", "body"):
+            new.add(f"in:{tag}")
+        if known is not None:
+            new = {f for f in new if f in known}
+        self.has = up.has if new <= up.has else up.has | new
+        self.closes = {kind: self if tag in gone or tag in stop else up.closes.get(kind)
+                       for kind, (gone, stop) in IMPLIED.items()}
+
+
+class _Root:
+    silent = linked = False
+    inner = own = "none"
+    near: list[str] = []
+    has: frozenset[str] = frozenset()
+    closes: dict = {}
+
+
+ROOT = _Root()
+
+
 @dataclass
 class Block:
     text: str
-    tags: list[str]                 # from the outside in
-    names: list[list[str]]          # class, id and role words, same order
+    element: Element | None
     linked: int                     # characters inside links
 
-
-@dataclass
-class _Open:
-    parts: list[str] = field(default_factory=list)
-    linked: int = 0
-
-
-def leaf_blocks(html: str | None) -> list[Block]:
+    def _path(self) -> list[Element]:
+        path, e = [], self.element
+        while e:
+            path.append(e)
+            e = e.parent
+        return path[::-1]
+
+    @property
+    def tags(self) -> list[str]:
+        """From the outside in."""
+        return [e.tag for e in self._path()]
+
+
+class _Tags:
+    """Ends of tags: the first ``>`` outside quotes.  Every quote is followed once, however
+    many broken tags lie before it."""
+
+    def __init__(self, html: str) -> None:
+        self.html, self.hopeless = html, set()
+        self.stop = -1                 # first > or quote at or after the last asked place
+        self.last = html.rfind(">")
+
+    def end(self, at: int) -> int:
+        """Place after the tag that is open at ``at``, or -1 where it never ends."""
+        if at > self.last:
+            return -1
+        if self.stop < at:
+            found = STOP.search(self.html, at)
+            self.stop = found.start() if found else len(self.html)
+        seen, place = [], self.stop
+        while place < len(self.html) and place not in self.hopeless:
+            sign = self.html[place]
+            if sign == ">":
+                return place + 1
+            seen.append(place)
+            back = self.html.find(sign, place + 1)
+            found = STOP.search(self.html, back + 1) if back >= 0 else None
+            if not found:
+                break
+            place = found.start()
+        self.hopeless.update(seen)
+        return -1
+
+
+def leaf_blocks(html: str | None, known=None) -> list[Block]:
+    """Blocks of a page; time and memory grow with its length.  ``known`` limits the ancestor
+    features that are collected to those that a model has."""
+    html = html or ""
     blocks: list[Block] = []
-    stack: list[tuple[str, list[str]]] = []
-    now = _Open()
+    open_now: Counter[str] = Counter()
+    top: Element | None = None
+    parts: list[str] = []
+    linked = 0
 
     def flush() -> None:
-        nonlocal now
-        text = " ".join("".join(now.parts).split())
+        nonlocal parts, linked
+        text = " ".join("".join(parts).split())
         if text:
-            blocks.append(Block(text, [t for t, _ in stack], [n for _, n in stack], now.linked))
-        now = _Open()
+            blocks.append(Block(text, top, linked))
+        parts, linked = [], 0
 
     def say(raw: str) -> None:
-        if raw and not any(t in SILENT for t, _ in stack):
+        nonlocal linked
+        if raw and not (top and top.silent):
             text = unescape(raw)
-            now.parts.append(text)
-            if any(t == "a" for t, _ in stack):
-                now.linked += len(text.strip())
-
-    def close(names, stop=frozenset()) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in names:
-                del stack[i:]
-                return
-            if stack[i][0] in stop:
+            parts.append(text)
+            if top and top.linked:
+                linked += len(text.strip())
+
+    def leave(element: Element) -> None:
+        """Close an open element and all inside it."""
+        nonlocal top
+        while True:
+            gone, top = top, top.parent
+            open_now[gone.tag] -= 1
+            if gone is element:
                 return
 
-    html, at = html or "", 0
+    def implied(kind: str) -> None:
+        element = top.closes[kind] if top else None
+        if element and element.tag in IMPLIED[kind][0]:
+            leave(element)
+
+    tags, at, look, ends = _Tags(html), 0, 0, {}
     while True:
-        found = TAG.search(html, at)
-        if not found:
+        start = html.find("<", look)
+        if start < 0:
             say(html[at:])
             break
-        say(html[at:found.start()])
-        at = found.end()
-        if not found[2]:
+        look = start + 1
+        if html.startswith("<!--", start):
+            end = html.find("-->", start + 4)
+            end = len(html) if end < 0 else end + 3
+            say(html[at:start])
+            at = look = end
             continue
-        tag = found[2].lower()
+        if html.startswith(("<!", "<?"), start):
+            end = html.find(">", start) + 1 if start < tags.last else 0
+            if end:
+                say(html[at:start])
+                at = look = end
+            continue
+        name_at = start + 2 if html.startswith("</", start) else start + 1
+        if not (name_at < len(html) and html[name_at].isascii() and html[name_at].isalpha()):
+            continue
+        end = tags.end(start)
+        if end < 0:
+            continue
+        say(html[at:start])
+        at = look = end
+        found = TAG_NAME.match(html, start, end)
+        tag, rest = found[2].lower(), html[found.end():end - 1]
         if found[1]:
             if tag in BLOCKS:
                 flush()
-            close({tag})
+            if open_now[tag]:
+                element = top
+                while element.tag != tag:
+                    element = element.parent
+                leave(element)
             continue
         if tag in BLOCKS:
             flush()
-            close({"p"}, KEEPS_OPEN)
-            if tag in CLOSES:
-                close(CLOSES[tag], KEEPS_OPEN - {"td", "th"} if tag in ("td", "th", "tr") else KEEPS_OPEN)
+            implied("p")
+            if tag in CLOSER:
+                implied(CLOSER[tag])
         if tag == "br":
-            now.parts.append(" ")
-        if tag in VOID or found[3].endswith("/"):
+            parts.append(" ")
+        if tag in VOID or rest.endswith("/"):
             continue
-        names = [w for m in NAMED.finditer(found[3]) for w in NAME_WORD.findall(
-            (m[1] or m[2] or m[3] or "").lower())] if found[3] else []
-        stack.append((tag, names))
+        names = [w for m in NAMED.finditer(rest) for w in NAME_WORD.findall(
+            (m[1] or m[2] or m[3] or "").lower())] if rest else []
+        top = Element(tag, names, top, known)
+        open_now[tag] += 1
         if tag in RAW:
-            end = re.compile(rf"</{tag}", re.I).search(html, at)
-            at = end.start() if end else len(html)
+            if tag not in ends or 0 <= ends[tag] < at:
+                closing = re.compile(rf"</{tag}", re.I).search(html, at)
+                ends[tag] = closing.start() if closing else -1
+            at = look = ends[tag] if ends[tag] >= 0 else len(html)
     flush()
     return blocks
 
@@ -139,12 +255,9 @@ def leaf_blocks(html: str | None) -> list[Block]:
 def features(blocks: list[Block]) -> list[list[str]]:
     out = []
     for i, b in enumerate(blocks):
-        has = {f"in:{t}" for t in b.tags if t not in ("html", "body")}
-        has |= {f"name:{w}" for ws in b.names for w in ws}
-        inner = next((t for t in reversed(b.tags) if t in SECTIONS), "none")
-        own = next((t for t in reversed(b.tags) if t in BLOCKS), "none")
-        near = next((ws for ws in reversed(b.names) if ws), [])
-        has |= {"bias", f"inner:{inner}", f"own:{own}", f"both:{inner}/{own}"} | {f"near:{w}" for w in near}
+        e = b.element or ROOT
+        has = {"bias", f"inner:{e.inner}", f"own:{e.own}", f"both:{e.inner}/{e.own}", *e.has,
+               *(f"near:{w}" for w in e.near)}
         n, words = len(b.text), b.text.count(" ") + 1
         has.add(f"words:{min(words.bit_length(), 7)}")
         share = b.linked / n
@@ -367,13 +480,32 @@ def labelled_pages(lines: list[str], count: int = TRAIN_PAGES, seed: int = SEED)
     return pages, labels
 
 
-def sample_lines(pages: DataFrame, html_col: str = "html", rows: int = SAMPLE_PAGES) -> list[str]:
-    """Lines of prose for the training pages: paragraphs of a bounded sample of the table."""
-    found = (pages.select(F.substring(html_col, 1, 20_000).alias("html")).where(F.length("html") > 0)
-             .orderBy(hash_order(F.col("html"))).limit(rows).collect())
-    lines = sorted({b.text.replace(MARK, " ") for r in found for b in leaf_blocks(r["html"])
-                    if b.tags and b.tags[-1] in ("p", "b", "li", "a", "div")})
-    return [x for x in lines if x.strip()] or ["Nothing was said here, and nothing more."]
+def _prose(lines: int, words: int):
+    """Paragraphs of a page for the training layouts, in order of a hash."""
+    def read(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for pages in batches:
+            out = []
+            for page in pages:
+                found = {" ".join(b.text.replace(MARK, " ").split(" ", words)[:words]) for b in leaf_blocks(page, ())
+                         if b.element and b.element.tag in ("p", "b", "li", "a", "div")}
+                out.append(sorted(found, key=lambda x: (zlib.crc32(x.encode("utf-8", "replace")), x))[:lines])
+            yield pd.Series(out)
+
+    read.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(read, "array<string>")
+
+
+def sample_lines(pages: DataFrame, html_col: str = "html", rows: int = SAMPLE_PAGES, lines: int = SAMPLE_LINES,
+                 words: int = SAMPLE_WORDS) -> list[str]:
+    """Lines of prose for the training pages: at most ``lines`` paragraphs, of each at most
+    ``words`` words, of at most ``rows`` different pages.  Pages are chosen by the hash of
+    all of their text before any of it moves."""
+    keyed = pages.where(F.length(html_col) > 0).select(hash_order(F.col(html_col)).alias("_k"), F.col(html_col).alias("_h"))
+    keys = [r["_k"] for r in keyed.select("_k").distinct().orderBy("_k").limit(rows).collect()]
+    found = (keyed.where(F.col("_k").isin(keys)).withColumn("_l", _prose(lines, words)("_h"))
+             .groupBy("_k").agg(F.first("_l").alias("_l")).collect()) if keys else []
+    said = sorted({x for r in found for x in r["_l"]})
+    return [x for x in said if x.strip()] or ["Nothing was said here, and nothing more."]
 
 
 def train(pages: DataFrame, html_col: str = "html") -> Field:
@@ -381,7 +513,7 @@ def train(pages: DataFrame, html_col: str = "html") -> Field:
 
 
 def main_text(model: Field, html: str | None) -> str:
-    blocks = leaf_blocks(html)
+    blocks = leaf_blocks(html, model.index)
     return "\n".join(b.text for b, y in zip(blocks, model.decode(features(blocks))) if y)
 
 
