@@ -160,9 +160,8 @@ def summary(df: DataFrame, col: str) -> DataFrame:
     base = df.agg(F.count(col).alias("count"), F.avg(col).alias("mean"),
                   F.stddev_samp(col).alias("std"), F.min(col).alias("min"),
                   F.max(col).alias("max"))
-    parts = quantiles(df, col, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
-    row = parts.select(F.struct("q25", "q50", "q75")).scalar()
-    return base.select("*", row.alias("_q")).select(*base.columns, "_q.*")
+    parts = quantiles(df, col, {"q25": 0.25, "q50": 0.5, "q75": 0.75}).first()
+    return base.select("*", *[F.lit(parts[q]).cast("double").alias(q) for q in ("q25", "q50", "q75")])
 
 
 def histogram(df: DataFrame, col: str, bins: int, low: float | None = None,

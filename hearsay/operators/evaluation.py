@@ -238,32 +238,77 @@ def bootstrap(df: DataFrame, n_classes: int, n_resamples: int = 10, id_cols: Seq
                     F.percentile(metric, 1 - tail).alias("high"))
 
 
+def tagged_cells(df: DataFrame, score_cols: Sequence[str], y: str = "y",
+                 group_cols: Sequence[str] = ()) -> DataFrame:
+    """Everything that the metrics of a model need, counted in one pass: rows ``(kind, a, b, s,
+    pos, neg)``, written once.
+
+    ``c`` true class a and predicted class b, ``r`` class a against the rest by score, ``h``
+    the same by hardened score, ``m`` all cells pooled, ``o`` class a against class b.
+    """
+    scores = F.array(*[F.col(c).cast("double") for c in score_cols])
+    flags, label = is_max(scores), F.col(y)
+    cell = lambda kind, a, b, s, pos: F.struct(F.lit(kind).alias("kind"), F.lit(a).cast("int").alias("a") if isinstance(a, int)
+                                               else a.cast("int").alias("a"), (F.lit(b) if isinstance(b, int) else b).cast("int").alias("b"),
+                                               s.alias("s"), pos.alias("pos"))
+    n = len(score_cols)
+    cells = [cell("c", label, argmax(scores), F.lit(0.0), F.lit(True))]
+    for i in range(n):
+        cells += [cell("r", i, -1, scores[i], label == i), cell("m", -1, -1, scores[i], label == i),
+                  cell("h", i, -1, flags[i].cast("double"), label == i)]
+        cells += [F.when(label.isin(i, j), cell("o", i, j, scores[i], label == i)) for j in range(n) if j != i]
+    told = df.select(*group_cols, F.inline(F.filter(F.array(*cells), lambda x: x.isNotNull())))
+    return cut_lineage(_score_counts(told, [*group_cols, "kind", "a", "b"]))
+
+
+def areas(counts: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
+    """``(kind, a, b, auc)`` of all kinds from one running pass; both directions of a class
+    pair are averaged, the smaller class first."""
+    keys = [*group_cols, "kind"]
+    every = auc(counts.where("kind <> 'c'"), [*keys, "a", "b"])
+    pair = F.col("kind") == "o"
+    return (every.groupBy(*keys, F.when(pair, F.least("a", "b")).otherwise(F.col("a")).alias("a"),
+                          F.when(pair, F.greatest("a", "b")).otherwise(F.col("b")).alias("b"))
+            .agg(F.avg("auc").alias("auc")))
+
+
+def _hits(counts: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    return counts.where("kind = 'c'").select(*keep, F.col("a").alias("y"), F.col("b").alias("pred"), F.col("pos").alias("w"))
+
+
 def compare(df: DataFrame, score_cols: Sequence[str], model: str = "model",
             y: str = "y") -> DataFrame:
     """One row per model: accuracy, macro F1, one-vs-one, one-vs-rest and micro areas."""
-    n = len(score_cols)
-    basic = accuracy_f1(with_prediction(df, score_cols), n, y, group_cols=[model])
-    out = basic.select(model, "accuracy", "macro_f1")
-    for name, fn in (("auc_ovo", auc_ovo), ("auc_ovr", auc_ovr), ("auc_micro", auc_micro)):
-        out = out.join(fn(df, score_cols, y, [model]).withColumnRenamed("auc", name), model)
-    return out
+    counts = tagged_cells(df, score_cols, y, [model])
+    basic = accuracy_f1(_hits(counts, [model]), len(score_cols), group_cols=[model], weight=F.col("w"))
+    mean = lambda kind: F.avg(F.when(F.col("kind") == kind, F.col("auc")))
+    wide = areas(counts, [model]).groupBy(model).agg(
+        mean("o").alias("auc_ovo"), mean("r").alias("auc_ovr"), mean("m").alias("auc_micro"))
+    return basic.select(model, "accuracy", "macro_f1").join(wide, model)
 
 
 def report(df: DataFrame, score_cols: Sequence[str], y: str = "y") -> dict[str, DataFrame]:
-    """The tables behind one evaluation page of a 2- or 3-class model."""
+    """The tables behind one evaluation page of a 2- or 3-class model, from one scan."""
     n = len(score_cols)
-    scored = with_prediction(df, score_cols)
-    counts = cut_lineage(one_vs_rest(df, score_cols, y))
-    points = cut_lineage(roc(counts))
+    counts = tagged_cells(df, score_cols, y)
+    hits = _hits(counts)
+    matrix = hits.groupBy("y").pivot("pred", list(range(n))).agg(F.sum("w"))
+    names = [f"pred_{j}" for j in range(n)]
+    full = (df.sparkSession.range(n).select(F.col("id").cast("int").alias("y")).join(matrix, "y", "left")
+            .select("y", *[F.coalesce(str(j), F.lit(0)).alias(f"pred_{j}") for j in range(n)]))
+    total = F.expr(" + ".join(names))
+    points = cut_lineage(roc(counts.where("kind = 'r'").withColumnRenamed("a", "cls").drop("kind", "b")))
     macro = macro_roc(points, n)
+    told = cut_lineage(areas(counts))
+    mean = lambda kind: told.where(F.col("kind") == kind).agg(F.avg("auc").alias("auc"))
     return {
-        "confusion": confusion(scored, n, y),
-        "confusion_norm": confusion_norm(scored, n, y),
-        "scores": accuracy_f1(scored, n, y),
+        "confusion": full,
+        "confusion_norm": full.select("y", *[(F.col(c) / F.nullif(total, F.lit(0))).alias(c) for c in names]),
+        "scores": accuracy_f1(hits, n, weight=F.col("w")),
         "roc": points,
         "roc_macro": macro,
-        "auc": auc(counts, ["cls"]),
-        "auc_micro": auc_micro(df, score_cols, y),
+        "auc": told.where("kind = 'r'").select(F.col("a").alias("cls"), "auc"),
+        "auc_micro": mean("m"),
         "auc_macro": curve_auc(macro),
-        "auc_hardened": auc_hardened(df, score_cols, y),
+        "auc_hardened": mean("h"),
     }

@@ -13,7 +13,7 @@ to sums inside the range.  The bounds only steer the spread, never the result.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -179,10 +179,19 @@ def running_totals(df: DataFrame, order_col: str, sums: Mapping[str, str],
 
 def _spread(df: DataFrame, order_col: str, ranges: int | None) -> DataFrame:
     """Rows with a range number.  The frame is read for the bounds, the sums per range
-    and the rows, so it is written once first: one row per distinct value."""
+    and the rows, so it is written once first (one row per distinct value), unless it is
+    read from such a table already."""
     if "_range" in df.columns:
         return df
-    return with_range(cut_lineage(df), order_col, ranges=ranges)
+    return with_range(df if df.inputFiles() and _is_written(df) else cut_lineage(df), order_col, ranges=ranges)
+
+
+def _is_written(df: DataFrame) -> bool:
+    """Whether the frame is a table of ``cut_lineage``, or rows and columns of one."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() in ("Project", "Filter"):
+        plan = plan.child()
+    return plan.nodeName() == "LogicalRelation" and "/hearsay-" in df.inputFiles()[0]
 
 
 def _join_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -245,31 +254,84 @@ def value_counts(df: DataFrame, col: str, group_cols: Sequence[str] = ()) -> Dat
     return df.groupBy(*group_cols, col).agg(F.count(F.lit(1)).alias("_count"))
 
 
+BRACKET_ROWS = 500_000   # rows around a position that one task may put in order
+SLACK = 0.02             # share of the rows on either side of a position that a bracket keeps
+
+
+def values_at(df: DataFrame, col: str, positions: Callable[[int], Sequence[int]],
+              bracket_rows: int = BRACKET_ROWS) -> tuple[int, dict[int, object]]:
+    """``(n, {position: value})`` of the sorted non-null values; ``positions`` maps n to the
+    zero-based positions that are asked for.
+
+    No table is written and nothing is sorted but the rows near a position: quantile
+    sketches, merged over tasks, bracket each position, exact counts tell where the bracket
+    lies, and while a bracket holds too many rows it is bracketed again (one scan each).  A
+    last scan counts the values inside.  The sketch steers the work; the counts decide.
+    """
+    values = df.where(F.col(col).isNotNull()).select(F.col(col).alias("v"))
+    n = values.count()
+    asked = sorted({p for p in positions(n) if 0 <= p < n}) if n else []
+    # per position: bounds (None is open), rows below the lower bound, rows inside
+    brackets = {p: (None, None, 0, n) for p in asked}
+    x = F.col("v").cast("double")
+
+    def above(low) -> Column:
+        return F.lit(True) if low is None else ~(x < F.lit(low))
+
+    def inside(low, high) -> Column:
+        return above(low) if high is None else above(low) & ~(x > F.lit(high))
+
+    wide = True
+    while wide:
+        wide = [p for p, (low, high, _, held) in brackets.items()
+                if held > bracket_rows and (low is None or low != high)]
+        if not wide:
+            break
+        sketches = values.agg(*[F.kll_sketch_agg_double(F.when(inside(*brackets[p][:2]), x)).alias(f"s{p}")
+                                for p in wide])
+        share = {p: (p - brackets[p][2]) / max(brackets[p][3] - 1, 1) for p in wide}
+        bound = lambda p, q: F.kll_sketch_get_quantile_double(f"s{p}", F.lit(min(max(q, 0.0), 1.0)))
+        found = sketches.select(*[c for p in wide for c in (
+            bound(p, share[p] - SLACK).alias(f"l{p}"), bound(p, share[p] + SLACK).alias(f"h{p}"))]).first()
+        tighter = {p: (found[f"l{p}"], found[f"h{p}"]) for p in wide}
+        counts = values.agg(*[c for p, (low, high) in tighter.items() for c in (
+            F.count_if(~above(low)).alias(f"b{p}"), F.count_if(inside(low, high)).alias(f"i{p}"))]).first()
+        moved = False
+        for p, (low, high) in tighter.items():
+            below, held = counts[f"b{p}"], counts[f"i{p}"]
+            if below <= p < below + held and held < brackets[p][3]:
+                brackets[p] = (low, high, below, held)
+                moved = True
+        if not moved:      # a value that fills the bracket, or a sketch that missed: count what is there
+            break
+    if not asked:
+        return n, {}
+    cells = F.array(*[F.when(inside(low, high), F.lit(p).cast("long")) for p, (low, high, _, _) in brackets.items()])
+    near = (values.select("v", F.explode(F.array_compact(cells)).alias("p")).groupBy("p", "v")
+            .agg(F.count(F.lit(1)).alias("c")))
+    before = F.element_at(F.create_map(*[F.lit(x).cast("long") for p, b in brackets.items() for x in (p, b[2])]), F.col("p"))
+    upto = before + F.sum("c").over(Window.partitionBy("p").orderBy("v"))     # a bracket is bounded
+    hit = near.withColumn("upto", upto).where((F.col("upto") > F.col("p")) & (F.col("upto") - F.col("c") <= F.col("p")))
+    return n, {r["p"]: r["v"] for r in hit.select("p", "v").collect()}
+
+
 def order_statistic(df: DataFrame, col: str, fraction: float,
                     out_col: str = "value") -> DataFrame:
     """``sorted(values)[int(n * fraction)]`` over the non-null values: one row."""
-    counts = cut_lineage(value_counts(df.where(F.col(col).isNotNull()), col))
-    upto = running_totals(counts, col, {"_upto": "_count"})
-    n = counts.agg(F.sum("_count").alias("n")).scalar()
-    position = F.floor(n * F.lit(fraction))
-    hit = upto.where((F.col("_upto") > position)
-                     & (F.col("_upto") - F.col("_count") <= position))
-    return hit.agg(F.min(col).alias(out_col))
+    _, found = values_at(df, col, lambda n: [math.floor(n * fraction)])
+    kind = df.schema[col].dataType.simpleString()
+    return df.sparkSession.createDataFrame([(next(iter(found.values()), None),)], f"{out_col} {kind}")
 
 
 def quantiles(df: DataFrame, col: str, fractions: Mapping[str, float]) -> DataFrame:
     """Exact linearly interpolated quantiles, one output column per fraction."""
-    counts = cut_lineage(value_counts(df.where(F.col(col).isNotNull()), col))
-    upto = running_totals(counts, col, {"_upto": "_count"})
-    n = counts.agg(F.sum("_count").alias("n")).scalar()
-    start = F.col("_upto") - F.col("_count")
-    exprs = []
-    for name, q in fractions.items():
-        h = (n - F.lit(1)) * F.lit(q)
-        lo, hi = F.floor(h), F.ceil(h)
-        at = lambda p: F.max(F.when((start <= p) & (F.col("_upto") > p), F.col(col)))
-        exprs.append((at(lo) + (at(hi) - at(lo)) * F.max(h - lo)).alias(name))
-    return upto.agg(*exprs)
+    places = lambda n: {name: (n - 1) * q for name, q in fractions.items()}
+    n, found = values_at(df, col, lambda n: [p for h in places(n).values() for p in (math.floor(h), math.ceil(h))])
+    row = []
+    for h in places(n).values():
+        low, high = (found.get(p) for p in (math.floor(h), math.ceil(h)))
+        row.append(None if low is None else float(low) + (float(high) - float(low)) * (h - math.floor(h)))
+    return df.sparkSession.createDataFrame([tuple(row)], ", ".join(f"{name} double" for name in fractions))
 
 
 def mean_ranks(counts: DataFrame, col: str, count_col: str, out_col: str) -> DataFrame:

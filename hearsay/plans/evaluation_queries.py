@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from itertools import accumulate
+
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from hearsay.operators import evaluation as E
+from hearsay.operators import models as M
 from hearsay.plans import views as V
 from hearsay.plans.network_queries import r9
 from hearsay.plans.registry import query
@@ -184,19 +189,74 @@ def model_comparison(spark, d):
     return r9(out, "accuracy", "macro_f1", "auc_ovo", "auc_ovr", "auc_micro")
 
 
-@query("evaluation_report", "E09", "preds",
-       "SELECT 'accuracy' AS metric, round(avg(CAST(y = pred AS INTEGER)), 9) AS value FROM p UNION ALL "
-       "SELECT 'auc_' || cls, round(auc, 9) FROM area",
-       PRED + ", " + LONG + ", " + RANKED.format(g="cls", t="cells"))
+REPORT = (PRED + ", " + LONG + ", " + curve("cells", "cls") + ", " + MACRO + ", " + RANKED.format(g="cls", t="cells")
+          + ", pool AS (SELECT 0 AS one, s, pos FROM cells), "
+          + RANKED.format(g="one", t="pool").replace("rk AS", "rk_m AS").replace("FROM rk ", "FROM rk_m ").replace("area AS", "area_m AS")
+          + ", hard AS (" + " UNION ALL ".join(
+              f"SELECT {i} AS cls, CAST(s_{i} = greatest(s_0, s_1, s_2) AS INTEGER) AS s, CAST(y = {i} AS INTEGER) AS pos FROM preds"
+              for i in range(3)) + "), "
+          + RANKED.format(g="cls", t="hard").replace("rk AS", "rk_h AS").replace("FROM rk ", "FROM rk_h ").replace("area AS", "area_h AS")
+          + ", conf AS (SELECT t.c AS y, q.c AS pred, count(p.y) AS n FROM (SELECT unnest(range(3)) AS c) t CROSS JOIN "
+            "(SELECT unnest(range(3)) AS c) q LEFT JOIN p ON p.y = t.c AND p.pred = q.c GROUP BY 1, 2)")
+
+
+@query("evaluation_report", "E09", "preds", """
+    SELECT 'confusion' AS "table", CAST(y AS INTEGER) AS a, CAST(pred AS INTEGER) AS b, NULL::DOUBLE AS x, n::DOUBLE AS value FROM conf
+    UNION ALL SELECT 'confusion_norm', y, pred, NULL, round(n / nullif(sum(n) OVER (PARTITION BY y), 0)::DOUBLE, 9) FROM conf
+    UNION ALL SELECT 'accuracy', NULL, NULL, NULL, round(avg(CAST(y = pred AS INTEGER)), 9) FROM p
+    UNION ALL SELECT 'f1', c, NULL, NULL, round(f, 9) FROM (SELECT c, coalesce(2.0 * (SELECT count(*) FROM p WHERE y = c AND pred = c)
+      / nullif((SELECT count(*) FROM p WHERE y = c) + (SELECT count(*) FROM p WHERE pred = c), 0), 0)::DOUBLE AS f
+      FROM (SELECT unnest(range(3)) AS c))
+    UNION ALL SELECT 'roc', cls, NULL, round(fpr, 9), round(tpr, 9) FROM roc
+    UNION ALL SELECT 'roc_macro', NULL, NULL, round(x, 9), round(y, 9) FROM mean
+    UNION ALL SELECT 'auc', cls, NULL, NULL, round(auc, 9) FROM area
+    UNION ALL SELECT 'auc_micro', NULL, NULL, NULL, round(auc, 9) FROM area_m
+    UNION ALL SELECT 'auc_macro', NULL, NULL, NULL, round(sum((nx - x) * (ny + y) / 2), 9) FROM
+      (SELECT x, y, lead(x) OVER (ORDER BY x) AS nx, lead(y) OVER (ORDER BY x) AS ny FROM mean)
+    UNION ALL SELECT 'auc_hardened', NULL, NULL, NULL, round(avg(auc), 9) FROM area_h""", REPORT)
 def evaluation_report(spark, d):
-    tables = E.report(V.preds(spark, d), SCORES)
-    accuracy = tables["scores"].select(F.lit("accuracy").alias("metric"),
-                                       F.round("accuracy", 9).alias("value"))
-    areas = tables["auc"].select(F.concat(F.lit("auc_"), F.col("cls").cast("string")).alias("metric"),
-                                 F.round("auc", 9).alias("value"))
-    return accuracy.unionByName(areas)
+    """All tables of the report as rows ``(table, a, b, x, value)``."""
+    t = E.report(V.preds(spark, d), SCORES)
+    none = lambda kind: F.lit(None).cast(kind)
+
+    def rows(name, table, value, a=None, b=None, x=None):
+        return table.select(F.lit(name).alias("table"), (a if a is not None else none("long")).cast("long").alias("a"),
+                            (b if b is not None else none("long")).cast("long").alias("b"),
+                            F.round(x, 9).alias("x") if x is not None else none("double").alias("x"),
+                            F.round(value.cast("double"), 9).alias("value"))
+
+    long = lambda table: table.select("y", F.posexplode(F.array(*[F.col(f"pred_{j}").cast("double") for j in range(3)])).alias("pred", "v"))
+    parts = [rows(n, long(t[n]), F.col("v"), F.col("y"), F.col("pred")) for n in ("confusion", "confusion_norm")]
+    parts.append(rows("accuracy", t["scores"], F.col("accuracy")))
+    parts.append(rows("f1", t["scores"].select(F.posexplode(F.array("f1_0", "f1_1", "f1_2")).alias("c", "v")), F.col("v"), F.col("c")))
+    parts.append(rows("roc", t["roc"], F.col("tpr"), F.col("cls"), x=F.col("fpr")))
+    parts.append(rows("roc_macro", t["roc_macro"], F.col("tpr"), x=F.col("fpr")))
+    parts.append(rows("auc", t["auc"], F.col("auc"), F.col("cls")))
+    parts += [rows(n, t[n], F.col("auc")) for n in ("auc_micro", "auc_macro", "auc_hardened")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("metric_callback", "D06 E07", "preds", "SELECT 'auc_ovo' AS metric, round(avg(auc), 9) AS value FROM area",
+       PAIRS + ", " + RANKED.format(g="a, b", t="pairs"))
+def metric_callback(spark, d):
+    """The metric that a search calls, on a probability vector."""
+    scored = V.preds(spark, d).select(F.col("y").alias("label"), array_to_vector(F.array(*SCORES)).alias("probability"))
+    value = M.AucOvoEvaluator(3).evaluate(scored)
+    return spark.createDataFrame([("auc_ovo", round(value, 9))], "metric string, value double")
+
+
+# the first 13 hexadecimal digits of a digest as a number in [0, 1), as the operator draws them
+BOOT = ", ".join(repr(x) + "::DOUBLE" for x in accumulate(math.exp(-1) / math.factorial(k) for k in range(18)))
 
 
-@query("bootstrap_metric", "E10")
+@query("bootstrap_metric", "E10", "preds", f"""
+    SELECT 'accuracy' AS metric, round((SELECT avg(CAST(y = pred AS INTEGER)) FROM p), 9) AS score,
+      round(stddev_samp(v), 9) AS standard_error, round(quantile_cont(v, 0.025), 9) AS low, round(quantile_cont(v, 0.975), 9) AS high
+    FROM (SELECT resample, sum(CASE WHEN y = pred THEN w ELSE 0 END) / sum(w)::DOUBLE AS v FROM
+      (SELECT *, len(list_filter([{BOOT}], lambda t: ('0x' || substr(md5(id || '|' || resample || '|42'), 1, 13))::BIGINT
+        / {float(16 ** 13)!r}::DOUBLE >= t)) AS w FROM p, range(0, 10) r(resample)) GROUP BY resample)""", PRED)
 def bootstrap_metric(spark, d):
-    return E.bootstrap(_preds(spark, d), 3)
+    return r9(E.bootstrap(_preds(spark, d), 3), "score", "standard_error", "low", "high")

@@ -112,7 +112,7 @@ def _model(spark, d):
     return TP.fit(vectors, TOPICS, 10, topic_concentration=0.5, subsampling_rate=0.2), vectors, vocab
 
 
-@query("topic_corpus", "T01 T02 S05", "posts",
+@query("topic_corpus", "T01", "posts",
        "SELECT id, score, author, created_utc, class_II, subreddit FROM posts WHERE class_I = 1")
 def topic_corpus(spark, d):
     return TP.corpus(V.posts(spark, d))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hearsay.functions import text as X
@@ -14,7 +15,7 @@ from hearsay.plans import model_queries as MQ
 from hearsay.plans import text_queries as TQ
 from hearsay.plans import views as V
 from hearsay.plans.registry import query
-from hearsay.session import shared_folder
+from hearsay.session import cut_lineage, shared_folder
 from hearsay.sources import posts as P
 from hearsay.sources import tabular as TB
 
@@ -26,7 +27,7 @@ def fresh_path(spark) -> str:
     return f"{shared_folder(spark)}/hearsay-{uuid.uuid4().hex}"
 
 
-@query("partitioned_slice", "S06 S05 S01 S15", "posts",
+@query("partitioned_slice", "S06 S01 S15", "posts",
        f"SELECT {', '.join(FIELDS)} FROM posts WHERE subreddit = 'click' AND created_utc "
        f"BETWEEN {WINDOW[0]} AND {WINDOW[1]}")
 def partitioned_slice(spark, d):
@@ -85,20 +86,59 @@ def converted_posts(spark, d):
     return P.scan_posts(spark, path)
 
 
-@query("topic_json", "S16", "posts",
-       "SELECT CAST(topic AS INTEGER) AS topic, CAST(term_id AS INTEGER) AS term_id, round(weight, 9) AS weight "
-       "FROM (SELECT row_number() OVER (ORDER BY subreddit) - 1 AS topic, unnest([0, 1, 2]) AS term_id, "
-       "unnest([avg(label_0), avg(label_1), avg(label_2)]) AS weight FROM posts GROUP BY subreddit)")
+@query("named_communities", "S05 S06 S15", "posts",
+       "SELECT id, subreddit, score FROM posts WHERE subreddit LIKE 'c%' AND subreddit LIKE '%k'")
+def named_communities(spark, d):
+    """Folders chosen by prefix and suffix, beside a report in another format."""
+    path = fresh_path(spark)
+    P.write_partitioned(V.posts(spark, d).select("id", "subreddit", "score"), path)
+    V.posts(spark, d).groupBy("subreddit").count().write.mode("append").partitionBy("subreddit").json(path)
+    return P.scan_communities(spark, path, "c", "k").select("id", "subreddit", "score")
+
+
+COMMENTS = ("id", "author", "body", "subreddit", "created_utc", "score")
+SPAN = (1_583_500_000, 1_584_500_000)
+
+
+@query("landed_comments", "S02 S06 P11", "comments",
+       f"SELECT id, author, md5(body) AS body_md5, subreddit, created_utc, score FROM comments WHERE subreddit = 'c3' "
+       f"AND created_utc BETWEEN {SPAN[0]} AND {SPAN[1]}")
+def landed_comments(spark, d):
+    """Comments landed by community; the slice prunes folders, row groups and columns."""
+    path = fresh_path(spark)
+    P.write_partitioned(V.comments(spark, d), path)
+    found = P.slice_scan(P.scan_communities(spark, path, "c3", "c3"), "c3", *SPAN, COMMENTS)
+    return found.select("id", "author", F.md5("body").alias("body_md5"), "subreddit", "created_utc", "score")
+
+
+@query("topic_json", "S16", "posts", """
+    SELECT 'phi' AS part, topic AS i, k AS j, NULL AS term, round(w, 9) AS value FROM m
+    UNION ALL SELECT 'theta', topic, k, NULL, round(w, 9) FROM m
+    UNION ALL SELECT DISTINCT 'doc.length', topic, NULL, NULL, n::DOUBLE FROM m
+    UNION ALL SELECT 'vocab', k, NULL, 'label_' || k, sum(n)::DOUBLE FROM m GROUP BY k""",
+       "m AS (SELECT row_number() OVER (ORDER BY subreddit) - 1 AS topic, unnest([0, 1, 2])::BIGINT AS k, "
+       "unnest([avg(label_0), avg(label_1), avg(label_2)]) AS w, count(*) AS n FROM posts GROUP BY subreddit)")
 def topic_json(spark, d):
-    """One object per model: here one row of weights per community."""
-    weights = (V.posts(spark, d).groupBy("subreddit").agg(
-        F.array(*[F.avg(f"label_{i}") for i in range(3)]).alias("w"), F.count(F.lit(1)).alias("n")))
-    rows = F.array_sort(F.collect_list(F.struct("subreddit", "w", "n")))
-    model = weights.agg(rows.alias("r")).select(
-        F.transform("r", lambda x: x["w"]).alias("phi"), F.transform("r", lambda x: x["n"]).alias("doc.length"))
+    """A stored model with all its parts: one topic and document per community."""
+    rows = V.posts(spark, d).groupBy("subreddit").agg(
+        F.array(*[F.avg(f"label_{i}") for i in range(3)]).alias("w"), F.count(F.lit(1)).alias("n"))
+    numbered = cut_lineage(rows.withColumn("topic", F.row_number().over(
+        Window.partitionBy(F.lit(0)).orderBy("subreddit")) - 1))      # one row per community
+    cells = numbered.select("topic", "n", F.posexplode("w").alias("k", "weight"))
+    words = cells.groupBy("k").agg(F.sum("n").alias("tf")).select(
+        F.col("k").alias("term_id"), F.concat(F.lit("label_"), F.col("k").cast("string")).alias("term"), "tf")
     path = fresh_path(spark)
-    model.write.json(path)
-    return TB.read_topic_json(spark, path)["topic_term"].select("topic", "term_id", F.round("weight", 9).alias("weight"))
+    TB.write_topic_json(spark, path, cells.select("topic", F.col("k").alias("term_id"), "weight"),
+                        cells.select(F.col("topic").alias("doc"), F.col("k").alias("topic"), "weight"),
+                        numbered.select(F.col("topic").alias("doc"), F.col("n").alias("length")), words)
+    t = TB.read_topic_json(spark, path)
+    rows = lambda name, table, i, j, term, value: table.select(
+        F.lit(name).alias("part"), F.col(i).cast("long").alias("i"), (F.col(j) if j else F.lit(None)).cast("long").alias("j"),
+        (F.col(term) if term else F.lit(None)).cast("string").alias("term"), F.round(F.col(value).cast("double"), 9).alias("value"))
+    return (rows("phi", t["topic_term"], "topic", "term_id", None, "weight")
+            .unionByName(rows("theta", t["doc_topic"], "doc", "topic", None, "weight"))
+            .unionByName(rows("doc.length", t["doc_length"], "doc", None, None, "length"))
+            .unionByName(rows("vocab", t["vocabulary"], "term_id", None, "term", "tf")))
 
 
 @query("term_lines", "S17", "texts", "SELECT CAST(term_id AS BIGINT) AS term_id, term FROM voc",
@@ -134,12 +174,22 @@ def annotation_file(spark, d):
     return TB.read_separated(spark, path, rows.schema, sep=",").select(F.md5("text").alias("text_md5"), "label")
 
 
-@query("saved_vocabulary", "S22", "texts", "SELECT word, word_id FROM vocab",
-       f"{TQ.TOKENS}, {TQ.TRAIN}, {TQ.VOCAB}")
+@query("saved_vocabulary", "S22 M02", "texts", """
+    SELECT 'word_ids' AS part, word AS key, word_id AS value, NULL AS label FROM vocab
+    UNION ALL SELECT 'label_ids', label, id, NULL FROM labs UNION ALL SELECT 'id_labels', CAST(id AS VARCHAR), NULL, label FROM labs""",
+       f"{TQ.TOKENS}, {TQ.TRAIN}, {TQ.VOCAB}, labs AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS id FROM "
+       "(SELECT DISTINCT lang AS label FROM texts WHERE lang IS NOT NULL))")
 def saved_vocabulary(spark, d):
+    """The three dictionaries of a classifier, written and read back."""
     path = fresh_path(spark)
-    TB.save_table(FE.vocabulary(TQ._train(spark, d)), path)
-    return spark.read.parquet(path)
+    labels = FE.label_index(V.texts(spark, d).select(F.col("lang").alias("label")))
+    TB.save_dictionaries(FE.vocabulary(TQ._train(spark, d)), labels, path)
+    t = TB.load_dictionaries(spark, path)
+    none = F.lit(None)
+    return (t["word_ids"].select(F.lit("word_ids").alias("part"), F.col("word").alias("key"), F.col("word_id").cast("long").alias("value"),
+                                 none.cast("string").alias("label"))
+            .union(t["label_ids"].select(F.lit("label_ids"), "label", F.col("label_id").cast("long"), none.cast("string")))
+            .union(t["id_labels"].select(F.lit("id_labels"), F.col("id").cast("string"), none.cast("long"), "label")))
 
 
 @query("corpus_by_stance", "T02 S06", "posts",

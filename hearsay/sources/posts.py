@@ -40,6 +40,17 @@ def scan_posts(spark: SparkSession, path: str, name_glob: str | None = None) ->
     return reader.parquet(path)
 
 
+def scan_communities(spark: SparkSession, path: str, prefix: str = "", suffix: str = "",
+                     file_suffix: str = ".parquet", key: str = "subreddit") -> DataFrame:
+    """Communities of a landed table chosen by the beginning and the end of their names.
+
+    Only the folders that match are listed and read; files of the folder that do not end on
+    ``file_suffix`` are left alone.
+    """
+    found = spark.read.option("pathGlobFilter", f"*{file_suffix}").parquet(path)
+    return found.where(F.col(key).startswith(prefix) & F.col(key).endswith(suffix))
+
+
 def slice_scan(df: DataFrame, community: str | None, start: int, end: int,
                fields: Sequence[str]) -> DataFrame:
     """Rows of one community (or all) in a range closed at both ends."""

@@ -131,11 +131,45 @@ def read_topic_json(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     }
 
 
+def write_topic_json(spark: SparkSession, path: str, topic_term: DataFrame, doc_topic: DataFrame,
+                     doc_length: DataFrame, vocabulary: DataFrame, mode: str = "overwrite") -> None:
+    """The four tables of ``read_topic_json`` as one JSON object.
+
+    One object holds a whole model, so this is for the models that a browser shows; larger
+    ones stay in their tables.
+    """
+    def listed(df: DataFrame, order: str, value, name: str) -> DataFrame:
+        rows = F.array_sort(F.collect_list(F.struct(order, value.alias("v"))))
+        return df.agg(F.transform(rows, lambda r: r["v"]).alias(name))
+
+    def matrix(df: DataFrame, row: str, cell: str, name: str) -> DataFrame:
+        cells = F.array_sort(F.collect_list(F.struct(cell, F.col("weight").alias("w"))))
+        return listed(df.groupBy(row).agg(F.transform(cells, lambda c: c["w"]).alias("_w")), row, F.col("_w"), name)
+
+    parts = [matrix(topic_term, "topic", "term_id", "phi"), matrix(doc_topic, "doc", "topic", "theta"),
+             listed(doc_length, "doc", F.col("length"), "doc.length"),
+             listed(vocabulary, "term_id", F.col("term"), "vocab"),
+             listed(vocabulary, "term_id", F.col("tf"), "term.frequency")]
+    model = spark.range(1).select(*[p.select(f"`{p.columns[0]}`").scalar().alias(p.columns[0]) for p in parts])
+    model.write.mode(mode).json(path)
+
+
 def write_report(df: DataFrame, path: str, fmt: str = "json", mode: str = "overwrite") -> None:
     """A metrics table, a few rows, as one file."""
     df.coalesce(1).write.mode(mode).format(fmt).save(path)
 
 
+def save_dictionaries(vocab: DataFrame, labels: DataFrame, path: str) -> None:
+    """Word -> id, label -> id and id -> label as three tables of one folder."""
+    save_table(vocab.select("word", "word_id"), f"{path}/word_ids")
+    save_table(labels.select("label", "label_id"), f"{path}/label_ids")
+    save_table(labels.select(F.col("label_id").alias("id"), "label"), f"{path}/id_labels")
+
+
+def load_dictionaries(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    return {name: spark.read.parquet(f"{path}/{name}") for name in ("word_ids", "label_ids", "id_labels")}
+
+
 def save_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Vocabularies, label maps and other keyed tables."""
     df.write.mode(mode).parquet(path)

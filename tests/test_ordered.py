@@ -80,6 +80,27 @@ def test_order_statistics(rows):
     assert tuple(got) == pytest.approx(tuple(np.quantile(values, [0.25, 0.5, 0.99])))
 
 
+@pytest.mark.parametrize("bracket_rows", [5, 40, 10_000])
+def test_values_at_narrows_to_the_exact_value(rows, bracket_rows):
+    df, data = rows
+    values = sorted(d[2] for d in data)
+    asked = [0, 1, 300, 301, 450, 899, len(values) - 1, len(values), -1]
+    n, found = O.values_at(df.repartition(5), "v", lambda n: asked, bracket_rows)
+    assert n == len(values) and found == {p: values[p] for p in asked if 0 <= p < n}
+
+
+def test_values_at_odd_columns(spark):
+    df = spark.createDataFrame([(1, "b", None), (2, None, None)], "i int, t string, v double")
+    assert O.values_at(df, "v", lambda n: [0]) == (0, {})
+    assert O.order_statistic(df, "v", 0.5).first()[0] is None and O.order_statistic(df, "i", 0.5).first()[0] == 2
+    assert tuple(O.quantiles(df, "v", {"a": 0.5}).first()) == (None,)
+    wild = spark.createDataFrame([(float(x),) for x in ("nan", "inf", "-inf", 0, 1, 1)], "v double")
+    assert O.values_at(wild, "v", lambda n: range(n), 2)[1][0] == float("-inf")
+    big = spark.range(200_000).select((F.col("id") * 7919 % 200_003).alias("v"))
+    want = sorted(i * 7919 % 200_003 for i in range(200_000))
+    assert O.values_at(big, "v", lambda n: [n // 3, n - 1], 1_000)[1] == {66_666: want[66_666], 199_999: want[-1]}
+
+
 def test_splits(rows):
     df, data = rows
     parts = D.stratified_split(df, "g").collect()
