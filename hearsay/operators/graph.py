@@ -7,7 +7,7 @@ adaptive skew splitting, so no window ever holds the edges of one node.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearsay.session import cut_lineage
@@ -103,7 +103,7 @@ def _jump(pointers: DataFrame) -> DataFrame:
     return pointers.join(ahead, "p").select("c", F.col("q").alias("p"))
 
 
-def _roots(pointers: DataFrame, max_rounds: int = 50) -> DataFrame:
+def roots(pointers: DataFrame, max_rounds: int = 50) -> DataFrame:
     """Root of every node of a pointer forest whose roots point at each other.
 
     Of a mutual pair the smaller one is the root; pointers then double their
@@ -140,7 +140,7 @@ def max_spanning_forest(edges: DataFrame) -> DataFrame:
             "s.e"))
         picked = best.select("e.lo", "e.hi", "e.nij").distinct()
         chosen = picked if chosen is None else chosen.unionByName(picked)
-        label = _roots(best.select("c", "p"))
+        label = roots(best.select("c", "p"))
         # the heaviest edge between two contracted components is all that can matter
         a, b = F.least("na", "nb"), F.greatest("na", "nb")
         live = cut_lineage(
@@ -152,37 +152,37 @@ def max_spanning_forest(edges: DataFrame) -> DataFrame:
     return chosen
 
 
-def propagate_labels(edges: DataFrame, max_rounds: int = 500) -> DataFrame:
+def propagate_labels(edges: DataFrame) -> DataFrame:
     """Communities by weighted label propagation ``(node, label)``.
 
-    Every node takes the label with the greatest weight among its neighbours; a
-    node keeps its label when it is among the best, else the smallest one wins.  Labels
-    that have not settled after ``max_rounds`` are an error, never a result.
+    A node wants the label with the greatest weight among its neighbours, the smallest one
+    on a tie, if that weight is greater than the weight of its own label.  Of the nodes that
+    want to move, an independent set does (those that come before all their neighbours that
+    want to, by md5 of the node), so every move raises the total weight inside labels and
+    the loop ends by itself, without a bound.  Weights are compared to nine digits.
     """
     pair = as_undirected(edges, "sum").where("lo <> hi")
     both = cut_lineage(
         pair.select(F.col("lo").alias("node"), F.col("hi").alias("other"), "nij").union(
             pair.select(F.col("hi").alias("node"), F.col("lo").alias("other"), "nij")))
     labels = cut_lineage(nodes(edges).withColumn("label", F.col("node")))
-    for step in range(max_rounds):
+    while True:
         votes = (both.join(labels.select(F.col("node").alias("other"), "label"), "other")
-                 .groupBy("node", "label").agg(F.sum("nij").alias("w")))
-        voted = (votes.join(labels.select("node", F.col("label").alias("own")), "node")
-                 .groupBy("node").agg(F.min_by("label", F.struct(
-                     (-F.round("w", 9)).alias("w"), (F.col("label") != F.col("own")).alias("o"),
-                     "label")).alias("new")))
-        # alternate halves of the nodes, so that two groups cannot swap labels forever
-        turn = F.pmod(F.xxhash64("node"), F.lit(2)) == step % 2
-        moved = labels.join(voted, "node", "left").select(
-            "node", F.when(turn, F.coalesce("new", "label")).otherwise(F.col("label"))
-            .alias("label"), F.col("label").alias("old"),
-            (F.coalesce("new", "label") != F.col("label")).alias("wants"))
-        moved = cut_lineage(moved)
-        pending = moved.agg(F.count_if("wants")).first()[0]
-        labels = moved.select("node", "label")
-        if not pending:
+                 .groupBy("node", "label").agg(F.round(F.sum("nij"), 9).alias("w"))
+                 .join(labels.select("node", F.col("label").alias("own")), "node"))
+        best = votes.groupBy("node").agg(
+            F.max("w").alias("w"), F.min_by("label", F.struct((-F.col("w")).alias("w"), "label")).alias("new"),
+            F.coalesce(F.max(F.when(F.col("label") == F.col("own"), F.col("w"))), F.lit(0.0)).alias("held"))
+        wanting = cut_lineage(best.where("w > held").select(
+            "node", "new", F.struct(F.md5(F.col("node").cast("string")).alias("h"), "node").alias("turn")))
+        if wanting.isEmpty():
             return labels
-    raise RuntimeError(f"labels did not settle in {max_rounds} rounds")
+        ahead = (both.select("node", "other")
+                 .join(wanting.select(F.col("node").alias("other"), F.col("turn").alias("t")), "other")
+                 .groupBy("node").agg(F.min("t").alias("t")))
+        movers = (wanting.join(ahead, "node", "left").where("t IS NULL OR turn < t").select("node", "new"))
+        labels = cut_lineage(labels.join(movers, "node", "left").select(
+            "node", F.coalesce("new", "label").alias("label")))
 
 
 def modularity(edges: DataFrame, partition: DataFrame) -> DataFrame:

@@ -100,6 +100,14 @@ def test_salience(g1):
     assert both[("a", "d")] == 0.5 and both[("a", "c")] == 0.25
 
 
+def test_salience_by_joins_is_the_same(spark):
+    rng = np.random.default_rng(8)
+    rows = [(int(a), int(b), float(w)) for a, b, w in zip(rng.integers(0, 30, 160), rng.integers(0, 30, 160), rng.integers(1, 5, 160))]
+    edges = spark.createDataFrame(rows, "src int, trg int, nij double").groupBy("src", "trg").agg(F.max("nij").alias("nij"))
+    own, joined = (table(B.salience(edges, links_at_once=n), "score") for n in (10_000, 0))
+    assert own == joined and len({v for v in own.values()}) > 3
+
+
 def test_naive_and_names_with_dashes(spark):
     edges = spark.createDataFrame([("a-b", "c", 1.0), ("a", "b-c", 2.0), ("c", "a-b", 5.0)],
                                   "src string, trg string, nij double")
@@ -230,6 +238,72 @@ def test_doubly_stochastic_needs_blank_cells(spark):
     assert set(got) == {(0, 1), (2, 3)}
 
 
+def plain_cut(weights, n, rounds=3000):
+    dense = np.full((n, n), 0.001)
+    for (i, j), w in weights.items():
+        dense[i, j] += w
+    for _ in range(rounds):
+        dense /= dense.sum(axis=1, keepdims=True)
+        dense /= dense.sum(axis=0, keepdims=True)
+    label = list(range(n))
+    for v, i, j in sorted(((dense[i, j], i, j) for i in range(n) for j in range(i + 1, n)), reverse=True):
+        a, b = label[i], label[j]
+        label = [a if x == b else x for x in label]
+        if len(set(label)) == 1:
+            return {(i, j) for i, j in weights if i < j and dense[i, j] >= v * (1 - 1e-9)}
+
+
+def test_doubly_stochastic_blank_cells_by_components(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    for n, keep in ((9, 0.5), (12, 0.25)):
+        weights = {(i, j): float(rng.integers(1, 30)) for i in range(n) for j in range(n) if rng.random() < keep or i == j}
+        edges = spark.createDataFrame([(i, j, w) for (i, j), w in weights.items()], "src int, trg int, nij double")
+        factors = B.sinkhorn(edges)
+        if factors is None:
+            continue
+        assert set(table(B.doubly_stochastic(edges), "nij")) == plain_cut(weights, n)
+
+
+def test_best_blanks_against_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, int(rng.integers(0, 4)), float(rng.random()), float(rng.random())) for i in range(60)]
+    rows += [(60, 9, None, 0.5), (61, 1, 0.5, None)]
+    found = B._best_blanks(spark.createDataFrame(rows, "node int, label int, r double, c double")).collect()
+    got = sorted((r["e"]["lo"], r["e"]["hi"], r["ca"], r["cb"], round(r["e"]["nij"], 12)) for r in found)
+    want = []
+    for i, a, r, c in rows:
+        after = max(((x[3], x[0], x[1]) for x in rows if x[0] > i and x[1] != a and x[3] is not None), default=None)
+        before = max(((x[2], x[0], x[1]) for x in rows if x[0] < i and x[1] != a and x[2] is not None), default=None)
+        want += [(i, after[1], a, after[2], round(r * 0.001 * after[0], 12))] if after and r is not None else []
+        want += [(before[1], i, a, before[2], round(c * 0.001 * before[0], 12))] if before and c is not None else []
+    assert got == sorted(want)
+
+
+def test_two_cliques_of_equal_factors_make_no_pairs(spark, monkeypatch):
+    """40 nodes in two cliques, no edge between: no table beyond edges and nodes."""
+    rows = [(a, b, 5.0) for half in (range(20), range(20, 40)) for a in half for b in half if a != b]
+    edges = spark.createDataFrame(rows, "src int, trg int, nij double")
+    sizes, real = [], B.cut_lineage
+
+    def counted(df):
+        out = real(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(B, "cut_lineage", counted)
+    kept = B.doubly_stochastic(edges)
+    assert kept.count() == 2 * 190 and max(sizes) <= len(rows) + 2 * 40
+
+
+def test_label_propagation_ends_on_a_long_path(spark):
+    edges = spark.range(5_000).select(F.col("id").alias("src"), (F.col("id") + 1).alias("trg"), F.lit(1.0).alias("nij"))
+    labels = {r["node"]: r["label"] for r in G.propagate_labels(edges).collect()}
+    assert len(labels) == 5_001
+    for i in range(1, 5_000):       # nobody would gain by moving
+        own = sum(labels[i] == labels[j] for j in (i - 1, i + 1))
+        assert own >= max(sum(labels[k] == labels[j] for j in (i - 1, i + 1)) for k in (i - 1, i + 1))
+
+
 def test_label_propagation_and_modularity(spark):
     clique = lambda ids: [(a, b, 5.0) for a in ids for b in ids if a < b]
     edges = spark.createDataFrame(clique(range(5)) + clique(range(5, 10)) + [(4, 5, 1.0)],
