@@ -45,15 +45,19 @@ def with_features(df: DataFrame, vocab: DataFrame, length: int = FE.PADDED_LENGT
     return coded.withColumn("features", array_to_vector(padded)).drop("_ids")
 
 
+def fitted_words(train: DataFrame, token_col: str = "tokens") -> tuple[DataFrame, int, int]:
+    """Vocabulary, padded length (95 % statistic) and number of word ids of training rows."""
+    vocab = FE.stored_vocabulary(train, token_col)
+    length = FE.max_length(train.select(F.size(token_col).cast("long").alias("n")), "n").first()[0]
+    return vocab, int(length or 1), FE.FIRST_ID + vocab.count()
+
+
 def fitted_features(df: DataFrame, is_train: Column, id_cols: Sequence[str] = ("id",),
                     token_col: str = "tokens") -> tuple[DataFrame, int]:
     """All rows as vectors, by vocabulary and padded length (95 % statistic) of the training
     rows alone, written once; and the number of word ids in use."""
-    train = df.where(is_train)
-    vocab = FE.stored_vocabulary(train, token_col)
-    length = FE.max_length(train.select(F.size(token_col).cast("long").alias("n")), "n").first()[0]
-    rows = cut_lineage(with_features(df, vocab, int(length or 1), id_cols, token_col).drop(token_col))
-    return rows, FE.FIRST_ID + vocab.count()
+    vocab, length, ids = fitted_words(df.where(is_train), token_col)
+    return cut_lineage(with_features(df, vocab, length, id_cols, token_col).drop(token_col)), ids
 
 
 def class_columns(df: DataFrame, n_classes: int, prefix: str = "label_",

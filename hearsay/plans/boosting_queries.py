@@ -13,6 +13,7 @@ from hearsay.operators import boosting as B
 from hearsay.operators import models as M
 from hearsay.operators.bundle import BoostedTrees, text_bundle
 from hearsay.plans import views as V
+from hearsay.plans.model_queries import SCORED, stance_model
 from hearsay.plans.registry import query
 from hearsay.plans.text_queries import SPLIT
 from hearsay.session import shared_folder
@@ -43,9 +44,12 @@ def _features(spark, d):
 # ---------------------------------------------------------------- the same trees in SQL
 
 SPLIT_SQL = SPLIT.replace("{t}", "text")
-DATA = f"""raw AS (SELECT id, {STANCE} AS y, {SPLIT_SQL} AS tokens,
-    CAST(floor(('0x' || substr(md5(id || '|42'), 1, 13))::BIGINT / {float(16 ** 13)!r}::DOUBLE * {FOLDS}) AS INTEGER) AS fold
-  FROM texts JOIN labels ON doc_id = id),
+FOLD = f"CAST(floor(('0x' || substr(md5(id || '|42'), 1, 13))::BIGINT / {float(16 ** 13)!r}::DOUBLE * {FOLDS}) AS INTEGER)"
+
+
+def _data(raw: str) -> str:
+    """CTEs of the binned features of the rows ``raw`` (id, y, tokens, fold)."""
+    return f"""raw AS ({raw}),
   known AS (SELECT w AS word, row_number() OVER (ORDER BY w) + 1 AS word_id FROM
     (SELECT DISTINCT unnest(tokens) AS w FROM raw WHERE fold < {FOLDS - 1})),
   lim AS (SELECT n AS l, (SELECT count(*) + 2 FROM known) AS top FROM
@@ -59,13 +63,16 @@ DATA = f"""raw AS (SELECT id, {STANCE} AS y, {SPLIT_SQL} AS tokens,
   base AS MATERIALIZED (SELECT id, y, fold FROM raw)"""
 
 
-def grown(settings: Sequence[B.Setting], classes: int = CLASSES) -> str:
+LABELLED = f"SELECT id, {STANCE} AS y, {SPLIT_SQL} AS tokens, {FOLD} AS fold FROM texts JOIN labels ON doc_id = id"
+
+
+def grown(settings: Sequence[B.Setting], classes: int = CLASSES, raw: str = LABELLED) -> str:
     """CTEs up to ``z0 z1 ...``: margins (m, id, k, z) after so many rounds of all models."""
     rounds, depth = max(s.rounds for s in settings), max(s.depth for s in settings)
     models = ", ".join(f"({s.model}, {s.rounds}, {s.depth}, {s.rate}::DOUBLE, {-1 if s.leave is None else s.leave}, "
                        f"{s.columns}::DOUBLE)" for s in settings)
     ridge, least, seed = settings[0].ridge, settings[0].least, settings[0].seed
-    ctes = [DATA, f"models(m, rounds, depth, rate, leave, share) AS (VALUES {models})",
+    ctes = [_data(raw), f"models(m, rounds, depth, rate, leave, share) AS (VALUES {models})",
             f"z0 AS (SELECT m, id, k, 0.0::DOUBLE AS z FROM models, base, range(0, {classes}) r(k))"]
     for r in range(rounds):
         ctes.append(
@@ -96,10 +103,10 @@ def grown(settings: Sequence[B.Setting], classes: int = CLASSES) -> str:
     return ", ".join(ctes)
 
 
-def chances(settings: Sequence[B.Setting], stops: Sequence[int]) -> str:
+def chances(settings: Sequence[B.Setting], stops: Sequence[int], classes: int = CLASSES, raw: str = LABELLED) -> str:
     """CTE ``scores``: (m, rounds, id, k, p) after each of ``stops`` rounds."""
     steps = " UNION ALL ".join(f"SELECT {r} AS rounds, * FROM z{r}" for r in stops)
-    return (f"{grown(settings)}, scores AS MATERIALIZED (SELECT m, rounds, id, k, e / sum(e) OVER (PARTITION BY m, rounds, id) AS p FROM "
+    return (f"{grown(settings, classes, raw)}, scores AS MATERIALIZED (SELECT m, rounds, id, k, e / sum(e) OVER (PARTITION BY m, rounds, id) AS p FROM "
             f"(SELECT *, exp(z - max(z) OVER (PARTITION BY m, rounds, id)) AS e FROM ({steps})))")
 
 
@@ -175,3 +182,40 @@ def saved_bundle(spark, d):
     return told.join(before, "id").select(
         "id", "label", *[F.round(f"s_{k}", 6).alias(f"s_{k}") for k in range(CLASSES)],
         (F.col("probability") == F.col("_before")).alias("same"))
+
+
+# ---------------------------------------------------------------- cascade
+
+TOPIC = {"maxIter": 4, "maxDepth": 3, "stepSize": 0.5}
+#: every text; only labelled ones outside the last fold are learned from
+EVERY = (f"SELECT id, quality AS y, {SPLIT_SQL} AS tokens, CASE WHEN quality IS NULL THEN {FOLDS - 1} ELSE {FOLD} END AS fold "
+         "FROM texts LEFT JOIN labels ON doc_id = id")
+
+
+@query("score_cascade", "M15 M16 M17 F13", "texts",
+       "SELECT id, subreddit, 1 AS class_I, round(p1, 6) AS conf_I, CASE greatest(label_0, label_1, label_2) WHEN label_0 THEN 0 "
+       "WHEN label_1 THEN 1 ELSE 2 END AS class_II, greatest(label_0, label_1, label_2) AS conf_II FROM "
+       "(SELECT id, max(p) FILTER (k = 0) AS p0, max(p) FILTER (k = 1) AS p1 FROM scores GROUP BY id) JOIN sc USING (id) "
+       "JOIN texts USING (id) WHERE p1 > p0",
+       f"{chances([BoostedTrees(nClasses=2, **TOPIC).setting(0, FOLDS - 1)], [TOPIC['maxIter']], 2, EVERY)}, {SCORED}")
+def score_cascade(spark, d):
+    """Stage I by boosted trees over all texts, stage II by a supplied model on what is on topic."""
+    labels = V.table(spark, d, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
+    posts = V.texts(spark, d).select("id", "subreddit", "text", X.tokens(F.col("text")).alias("tokens"))
+    train = M.with_folds(posts.join(labels, "id"), FOLDS).where(F.col("fold") < FOLDS - 1)
+    vocab, length, ids = M.fitted_words(train)
+    model = M.train_trees(M.with_features(train, vocab, length), 2, maxBins=BINS, valuesBelow=ids, **TOPIC)
+    scored = M.cascade(posts, vocab, model, "text", stance_model, length=length)
+    return scored.select("id", "subreddit", "class_I", F.round("conf_I", 6).alias("conf_I"), "class_II", "conf_II")
+
+
+@query("logreg_scores", "M07 M12", "texts",
+       f"SELECT id, y AS label, 1.0::DOUBLE AS total, true AS best FROM raw WHERE fold = {FOLDS - 1}", f"raw AS ({LABELLED})")
+def logreg_scores(spark, d):
+    """Logistic regression on the test fold: probabilities sum to one, the prediction is the best."""
+    rows, _ = _features(spark, d)
+    model = M.train_logreg(rows.where(F.col("fold") < FOLDS - 1), max_iter=15)
+    scored = M.class_columns(model.transform(rows.where(F.col("fold") == FOLDS - 1)), CLASSES, "s_")
+    names = [f"s_{k}" for k in range(CLASSES)]
+    best = F.element_at(F.array(*names), (F.col("prediction") + 1).cast("int")) == F.greatest(*names)
+    return scored.select("id", "label", F.round(F.expr(" + ".join(names)), 9).alias("total"), best.alias("best"))

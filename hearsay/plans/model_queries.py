@@ -32,10 +32,7 @@ def _labelled(spark, d):
 def _featured(spark, d):
     """Train and test vectors; vocabulary and padded length come from the training part only."""
     rows = _labelled(spark, d)
-    train = rows.where("split = 'train'")
-    vocab = FE.stored_vocabulary(train)
-    length = FE.max_length(train.select(F.size("tokens").cast("long").alias("n")), "n").first()[0]
-    return cut_lineage(M.with_features(rows.drop("text"), vocab, length)), vocab, length
+    return M.fitted_features(rows.drop("text"), F.col("split") == "train")
 
 
 def stance_model():
@@ -69,22 +66,13 @@ def score_top_label(spark, d):
 
 @query("train_logreg", "M07 M12 M06")
 def train_logreg(spark, d):
-    rows, _, _ = _featured(spark, d)
+    rows, _ = _featured(spark, d)
     model = M.train_logreg(rows.where("split = 'train'"), max_iter=30)
     scored = M.class_columns(model.transform(rows.where("split = 'test'")), 2, "s_")
     named = E.with_prediction(scored.withColumn("y", F.col("label")), ["s_0", "s_1"])
     return E.accuracy_f1(named, 2)
 
 
-@query("score_cascade", "M15 M16 M17 F13")
-def score_cascade(spark, d):
-    rows, vocab, length = _featured(spark, d)
-    model = M.train_logreg(rows.where("split = 'train'"), max_iter=20)
-    posts = V.texts(spark, d).select("id", "subreddit", "text", X.tokens(F.col("text")).alias("tokens"))
-    scored = M.cascade(posts, vocab, model, "text", stance_model, length=length)
-    return scored.select("id", "subreddit", "class_I", "conf_I", "class_II", "conf_II")
-
-
 # ---------------------------------------------------------------- topics
 
 LETTERS = "list_filter(list_transform({t}, lambda x: regexp_replace(x, '[^\\p{{L}}]', '', 'g')), " \
@@ -102,7 +90,7 @@ def _tokens(spark, d):
 
 
 def _vectors(spark, d):
-    words = _tokens(spark, d)
+    words = cut_lineage(_tokens(spark, d))      # read by the vocabulary and by the vectors
     vocab = cut_lineage(TP.vocabulary(words, 1000, 3.0, 0.3))
     return cut_lineage(TP.vectorizer(vocab).transform(words)), vocab
 
@@ -132,7 +120,7 @@ def topic_vocabulary(spark, d):
 
 @query("term_frequency", "T11 F25 S17", "texts", "SELECT term_id, term, tf FROM voc", f"{TOK}, {VOC}")
 def term_frequency(spark, d):
-    words = _tokens(spark, d)
+    words = cut_lineage(_tokens(spark, d))
     return TP.term_frequency(words, TP.vocabulary(words, 1000, 3.0, 0.3))
 
 
@@ -203,3 +191,44 @@ def top_weights_per_topic(spark, d):
     cells = V.posts(spark, d).select(F.col("subreddit").alias("topic"), F.col("id").alias("term"),
                                      F.col("score").alias("weight"))
     return TP.top_words(cells, 30)
+
+
+# ---------------------------------------------------------------- what is determined about a fitted topic model
+
+HELD = "held AS (SELECT DISTINCT id FROM (SELECT id, unnest(tokens) AS term FROM tok) JOIN voc USING (term))"
+
+
+@query("topic_model_tables", "T05 T07 T08 T09 T12 J15", "texts", f"""
+    SELECT 'topic_words' AS part, CAST(t AS VARCHAR) AS key, 10::BIGINT AS n, 1.0::DOUBLE AS total FROM range(0, {TOPICS}) r(t)
+    UNION ALL SELECT 'topic_term', CAST(t AS VARCHAR), (SELECT count(*) FROM voc), 1.0 FROM range(0, {TOPICS}) r(t)
+    UNION ALL SELECT 'doc_topic', CAST(id AS VARCHAR), {TOPICS}, 1.0 FROM held
+    UNION ALL SELECT 'doc_length', CAST(id AS VARCHAR), len(tokens), 1.0 FROM tok JOIN held USING (id)
+    UNION ALL SELECT 'vocabulary', term, tf, 1.0 FROM voc""", f"{TOK}, {VOC}, {HELD}")
+def topic_model_tables(spark, d):
+    """All tables of a fitted model, as far as the corpus determines them: words per topic
+    (ranks without gaps, words of the vocabulary), weights that sum to one, documents."""
+    model, vectors, vocab = _model(spark, d)
+    t = TP.browser_tables(model, vectors, vocab)
+    words = (TP.describe(model, vocab, 10).groupBy("topic").agg(
+        F.count_distinct("rank", "term").alias("n"), (F.max("rank") - F.min("rank") + 1 - F.count_distinct("rank") + 1.0).alias("total")))
+    terms = t["topic_term"].groupBy("topic").agg(F.count_distinct("term").alias("n"), F.round(F.sum("weight"), 6).alias("total"))
+    docs = t["doc_topic"].select("id", F.lit(TOPICS).alias("n"), F.round(F.expr(" + ".join(
+        f"topic_{i}" for i in range(TOPICS))), 6).alias("total"))
+    rows = lambda name, table, key, n, total: table.select(
+        F.lit(name).alias("part"), F.col(key).cast("string").alias("key"), F.col(n).cast("long").alias("n"), total.cast("double").alias("total"))
+    one = F.lit(1.0)
+    return (rows("topic_words", words, "topic", "n", F.col("total")).union(rows("topic_term", terms, "topic", "n", F.col("total")))
+            .union(rows("doc_topic", docs, "id", "n", F.col("total"))).union(rows("doc_length", t["doc_length"], "id", "doc_len", one))
+            .union(rows("vocabulary", t["vocabulary"], "term", "tf", one)))
+
+
+@query("lda_sweep_bounds", "T05 T06", "texts", """
+    SELECT CAST(k AS INTEGER) AS k, (SELECT sum(n) FROM (SELECT count(*) AS n FROM (SELECT unnest(tokens) AS term FROM tok) JOIN voc USING (term)))::BIGINT
+      AS tokens, true AS negative FROM range(2, 13) r(k)""", f"{TOK}, {VOC}")
+def lda_sweep_bounds(spark, d):
+    """The published sweep, 2 to 12 topics in 10 iterations: the perplexity is the bound per token,
+    so the quotient gives the tokens of the corpus back."""
+    vectors, _ = _vectors(spark, d)
+    found = TP.sweep(vectors, TP.SWEEP["k"], max_iter=TP.SWEEP["max_iter"])
+    return found.select("k", F.round(-F.col("log_likelihood") / F.col("log_perplexity")).cast("long").alias("tokens"),
+                        (F.col("log_likelihood") < 0).alias("negative"))

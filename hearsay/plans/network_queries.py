@@ -173,9 +173,18 @@ def nc_big(spark, d):
     return r9(B.noise_corrected(V.edges_big(spark, d)), "score", "sdev_cij")
 
 
-@query("nc_pvalue", "N10")
+PVALUE = """st AS (SELECT e.*, s, t, n AS total FROM edges e JOIN (SELECT src, sum(nij) AS s FROM edges GROUP BY 1) USING (src)
+    JOIN (SELECT trg, sum(nij) AS t FROM edges GROUP BY 1) USING (trg), (SELECT sum(nij) AS n FROM edges)),
+  pr AS (SELECT src, trg, nij, total AS n, (s * t / total) * (1 / total) AS p FROM st),
+  terms AS (SELECT src, trg, j, -2 * n * atanh(p / (2 - p)) + coalesce(sum(CASE WHEN j > 0 THEN ln((n - j + 1) / j * p / (1 - p)) END)
+      OVER (PARTITION BY src, trg ORDER BY j), 0) AS l FROM (SELECT *, unnest(range(0, CAST(nij AS BIGINT) + 1)) AS j FROM pr))"""
+
+
+@query("nc_pvalue", "N10", "edges", "SELECT e.src, e.trg, e.nij, round(p, 8) AS score FROM edges e JOIN "
+       "(SELECT src, trg, sum(exp(l)) AS p FROM terms GROUP BY 1, 2) USING (src, trg)", PVALUE)
 def nc_pvalue(spark, d):
-    return r9(B.noise_corrected(V.edges(spark, d), p_value=True), "score")
+    scored = B.noise_corrected(V.edges(spark, d), p_value=True)
+    return scored.withColumn("score", F.round("score", 8))
 
 
 @query("disparity_table", "N12 J04", "edges_wide",
@@ -409,11 +418,66 @@ def hss(spark, d):
     return r9(B.salience(V.edges(spark, d)), "score")
 
 
-@query("dst", "N11")
+def closure(links: str, n: int) -> str:
+    """Widest paths between all nodes by doubling: CTE ``b<n>`` (i, j, w)."""
+    parts = [f"b0 AS MATERIALIZED (SELECT i, j, max(w) AS w FROM (SELECT lo AS i, hi AS j, w FROM {links} UNION ALL SELECT hi, lo, w FROM {links}) GROUP BY 1, 2)"]
+    for k in range(n):
+        parts.append(f"b{k + 1} AS MATERIALIZED (SELECT i, j, max(w) AS w FROM (SELECT * FROM b{k} UNION ALL "
+                     f"SELECT x.i, y.j, least(x.w, y.w) FROM b{k} x JOIN b{k} y ON x.j = y.i WHERE x.i <> y.j) GROUP BY 1, 2)")
+    return ", ".join(parts)
+
+
+# an edge is in the tree when no path between its ends has better edges only
+TREE = ("und AS (SELECT least(src, trg) AS lo, greatest(src, trg) AS hi, max(nij) AS nij FROM edges WHERE src <> trg GROUP BY 1, 2), "
+        "links AS (SELECT *, row_number() OVER (ORDER BY nij, lo, hi) AS w FROM und), " + closure("links", 5))
+
+
+@query("mst_nations", "N15 J06", "edges",
+       "SELECT src, trg, nij, score FROM (SELECT e.src, e.trg, e.nij, l.nij AS score, row_number() OVER (PARTITION BY l.lo, l.hi "
+       "ORDER BY e.src, e.trg) AS rn FROM links l JOIN b5 ON i = lo AND j = hi AND b5.w = l.w JOIN edges e ON "
+       "least(e.src, e.trg) = lo AND greatest(e.src, e.trg) = hi WHERE l.nij > 0) WHERE rn = 1", TREE)
+def mst_nations(spark, d):
+    return B.spanning_tree(V.edges(spark, d))
+
+
+def _scaled(rounds: int) -> str:
+    """Row and column factors after so many scalings."""
+    parts = ["dense AS MATERIALIZED (SELECT s.src, t.trg, coalesce(sum(nij), 0) + 0.001 AS a FROM (SELECT DISTINCT src FROM edges) s "
+             "CROSS JOIN (SELECT DISTINCT trg FROM edges) t LEFT JOIN edges e ON e.src = s.src AND e.trg = t.trg GROUP BY 1, 2)",
+             "c0 AS (SELECT DISTINCT trg, 1.0::DOUBLE AS c FROM edges)"]
+    for k in range(rounds):
+        parts.append(f"r{k + 1} AS MATERIALIZED (SELECT src, 1 / sum(a * c) AS r FROM dense JOIN c{k} USING (trg) GROUP BY 1)")
+        parts.append(f"c{k + 1} AS MATERIALIZED (SELECT trg, 1 / sum(a * r) AS c FROM dense JOIN r{k + 1} USING (src) GROUP BY 1)")
+    return ", ".join(parts)
+
+
+SCALINGS = 60
+DST = (_scaled(SCALINGS) + f", cells AS MATERIALIZED (SELECT src AS lo, trg AS hi, r * a * c AS w FROM dense JOIN r{SCALINGS} USING (src) "
+       f"JOIN c{SCALINGS} USING (trg) WHERE src < trg), " + closure("cells", 5))
+
+
+@query("dst", "N11", "edges",
+       "SELECT e.src, e.trg, e.nij, round(w, 9) AS score FROM cells JOIN edges e ON e.src = lo AND e.trg = hi "
+       "WHERE w >= (SELECT min(w) FROM b5)", DST)
 def dst(spark, d):
     return r9(B.doubly_stochastic(V.edges(spark, d)), "score")
 
 
-@query("label_propagation", "N21")
+LABELS = """sums AS (SELECT least(src, trg) AS lo, greatest(src, trg) AS hi, sum(nij) AS nij FROM edges WHERE src <> trg GROUP BY 1, 2),
+  ends AS MATERIALIZED (SELECT lo AS node, hi AS other, nij FROM sums UNION ALL SELECT hi, lo, nij FROM sums),
+  st AS (SELECT 0 AS step, node, node AS label FROM (SELECT src AS node FROM edges UNION SELECT trg FROM edges)
+    UNION ALL
+    SELECT step + 1, node, label FROM (
+      WITH votes AS (SELECT e.node, o.label, round(sum(e.nij), 9) AS w FROM ends e JOIN st o ON o.node = e.other GROUP BY 1, 2),
+      best AS (SELECT v.node, max(w) AS w, arg_min(v.label, struct_pack(a := -w, b := v.label)) AS new,
+          coalesce(max(CASE WHEN v.label = s.label THEN w END), 0) AS held FROM votes v JOIN st s ON s.node = v.node GROUP BY 1),
+      wanting AS (SELECT node, new, struct_pack(h := md5(CAST(node AS VARCHAR)), n := node) AS turn FROM best WHERE w > held),
+      movers AS (SELECT a.node, a.new FROM wanting a WHERE NOT EXISTS (SELECT 1 FROM ends e JOIN wanting b ON b.node = e.other
+        WHERE e.node = a.node AND b.turn < a.turn))
+      SELECT s.step, s.node, coalesce(m.new, s.label) AS label FROM st s LEFT JOIN movers m ON m.node = s.node
+      WHERE EXISTS (SELECT 1 FROM movers)))"""
+
+
+@query("label_propagation", "N21", "edges", "SELECT node, label FROM st WHERE step = (SELECT max(step) FROM st)", LABELS)
 def label_propagation(spark, d):
     return G.propagate_labels(V.edges(spark, d))

@@ -136,9 +136,9 @@ ENCODED = f"""{TOKENS}, {TRAIN}, {VOCAB}, enc AS (SELECT id, list(coalesce(word_
        "coalesce(len(ids), 0))]) END, ' ') AS padded FROM texts t LEFT JOIN enc ON enc.id = t.id",
        ENCODED)
 def encode_pad(spark, d):
-    coded = FE.encode(_tokens(spark, d), FE.vocabulary(_train(spark, d)))
-    return coded.select("id", F.size("ids").cast("long").alias("n_ids"),
-                        F.array_join(FE.pad(F.col("ids")).cast("array<string>"), " ").alias("padded"))
+    words = _tokens(spark, d).select("id", "tokens", F.size("tokens").cast("long").alias("n_ids"))
+    coded = FE.encode(words, FE.stored_vocabulary(_train(spark, d)), last=FE.PADDED_LENGTH)
+    return coded.select("id", "n_ids", F.array_join(FE.pad(F.col("ids")).cast("array<string>"), " ").alias("padded"))
 
 
 @query("max_len_p95", "M05 W08", "texts",

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearsay.functions.scalar import epoch_of
+from hearsay.session import spread
 
 # Landing grid of the coverage queries: 24 slices over the years of the tables.
 LAND_START = 788_918_400     # 1995-01-01 UTC
@@ -43,7 +44,7 @@ def posts(spark: SparkSession, d: str) -> DataFrame:
 
 def texts(spark: SparkSession, d: str) -> DataFrame:
     """``documents`` as posts with a title and a body, labelled where ``labels`` knows them."""
-    return table(spark, d, "documents").select(
+    return spread(table(spark, d, "documents").select("doc_id", "source", "text", "lang")).select(
         F.col("doc_id").alias("id"), F.col("source").alias("subreddit"),
         F.substring("text", 1, 80).alias("title"),
         F.when(F.col("doc_id") % 10 != 0, F.col("text")).alias("selftext"),

@@ -99,5 +99,16 @@ def release(*tables: DataFrame) -> None:
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a scan over all cores where it has too few splits to keep them busy.
+
+    A table of many row groups comes back as it is; only one that a few tasks would read is
+    dealt, so a shuffle of rows happens where the table is small.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if 2 * splits <= cores else df
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
