@@ -13,8 +13,13 @@ Windows that meet an item in a table are verified by the exact edit distance.
 
 An item of n words with at most k edits keeps at least n - q + 1 - k * q of its runs of q
 words, shifted against each other by at most k.  Windows are embedded only where a
-text holds that many; this loses no leak.  Items travel with the tasks in blocks of a checked number of words, one pass
-over the texts per block.
+text holds that many; this loses no leak (``prefilter=False`` embeds every window, for
+comparison).  Which item a window may leak is always asked of the tables.
+
+Items travel with the tasks in blocks of a checked number of words.  A benchmark of one
+block is searched in one pass.  A larger one takes a pass per block: a block is sent,
+the leaks of its pass are written by the text's SHA-256, the block is dropped, and the
+next one follows, so driver and tasks hold one block at a time.
 
 Defined cases: null or empty texts and items leak nothing; repeated items are
 reported under each id; repeated rows are judged one by one; empty tables leak
@@ -27,12 +32,15 @@ import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hearsay.session import cut_lineage
+
 SIMILARITY = 0.8
 RECALL = 0.99
 BLOCK_WORDS = 1_000_000   # words of items in one block; a block travels with the tasks
@@ -140,11 +148,17 @@ class ItemBlock:
             picked = np.ascontiguousarray(embedded[table % WALKS][:, np.sort(chosen)])
             yield table, [row.tobytes() for row in picked]
 
-    def find(self, text: str | None) -> list[tuple[int, int, int]]:
+    def find(self, text: str | None, prefilter: bool = True) -> list[tuple[int, int, int]]:
         """``(item_id, distance, start)`` of every item that leaks into the text."""
         if not text or not self.items:
             return []
         words, vocabulary, q = words_of(text), self.vocabulary, self.gram
+        if not prefilter:
+            code = np.array([vocabulary.get(w, -1) for w in words], dtype=np.int64)
+            every: dict[int, tuple[int, int]] = {}
+            for size in sorted({len(c) for c in self.coded}):
+                self._verify(code, size, list(range(1 - size, len(code))), every)
+            return sorted((self.items[n][0], d, s) for n, (d, s) in every.items())
         held = np.array([i for i, w in enumerate(words) if w in vocabulary], dtype=np.int64)
         if len(held) < q:
             return []
@@ -213,10 +227,10 @@ def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS,
         yield ItemBlock(block, similarity, recall)
 
 
-def _search(block: ItemBlock):
+def _search(shared):
     @F.pandas_udf(RESULT)
     def search(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"item_id": i, "distance": d, "start": s} for i, d, s in block.find(t)]
+        return pd.Series([[{"item_id": i, "distance": d, "start": s} for i, d, s in shared.value.find(t)]
                           for t in texts], dtype=object)
 
     return search
@@ -226,10 +240,27 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                similarity: float = SIMILARITY, recall: float = RECALL,
                block_words: int = BLOCK_WORDS) -> DataFrame:
     """Adds ``leaks``: items within the distance, with their least distance and its place."""
-    found = [_search(block)(F.col(text_col))
-             for block in item_blocks(benchmark, block_words, similarity, recall)]
-    leaks = F.concat(*found) if found else F.expr(f"cast(array() as {RESULT})")
-    return docs.drop("leaks").withColumn("leaks", leaks)
+    context = docs.sparkSession.sparkContext
+    blocks = item_blocks(benchmark, block_words, similarity, recall)
+    named, none = docs.drop("leaks"), F.expr(f"cast(array() as {RESULT})")
+    first, second = next(blocks, None), next(blocks, None)
+    if second is None:
+        if first is None:
+            return named.withColumn("leaks", none)
+        return named.withColumn("leaks", _search(context.broadcast(first))(F.col(text_col)))
+
+    found = None
+    for block in chain((first, second), blocks):
+        first = second = None
+        shared = context.broadcast(block)
+        told = docs.select(F.col(text_col).alias("_t")).withColumn("_l", _search(shared)("_t")).where(F.size("_l") > 0)
+        part = cut_lineage(told.select(F.sha2("_t", 256).alias("_sha"), F.inline("_l")).distinct())
+        shared.destroy()
+        found = part if found is None else found.unionByName(part)
+    # one row per item that leaks into a text
+    leaks = found.groupBy("_sha").agg(F.array_sort(F.collect_set(F.struct("item_id", "distance", "start"))).alias("_l"))
+    keyed = named.withColumn("_sha", F.sha2(F.col(text_col), 256))
+    return (keyed.join(leaks, "_sha", "left").select(*named.columns, F.coalesce("_l", none).alias("leaks")))
 
 
 def leaked_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

@@ -37,6 +37,7 @@ from hearsay.session import cut_lineage
 BITS = 64
 SHINGLE = 3
 RADIUS = 2
+HOT_GROUPS = 200      # more rows than this part of all make a fingerprint hot
 TREE_SIZE = 4096
 HASHES_AT_ONCE = 1 << 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -169,13 +170,22 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
                     tree_size: int = TREE_SIZE) -> DataFrame:
     """``(id, fingerprint, component_id)`` for every row; the component is its smallest id."""
     marked = cut_lineage(fingerprints(docs, shingle, id_col, text_col))
-    nodes = cut_lineage(marked.groupBy("fp").agg(F.min(id_col).alias("_least")))
+    nodes = cut_lineage(marked.groupBy("fp").agg(F.min(id_col).alias("_least"), F.count(F.lit(1)).alias("_rows")))
     linked = components(near_links(nodes.select("fp"), radius, tree_size))
     grouped = linked.select(F.col("node").alias("fp"), F.col("component").alias("_group"))
     smallest = (grouped.join(nodes, "fp").groupBy("_group").agg(F.min("_least").alias("_smallest")))
-    named = (nodes.join(grouped.join(smallest, "_group"), "fp", "left")
-             .select("fp", F.coalesce("_smallest", "_least").alias("component_id")))
-    return marked.join(named, "fp").select(id_col, hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+    named = cut_lineage(nodes.join(grouped.join(smallest, "_group"), "fp", "left")
+                        .select("fp", F.coalesce("_smallest", "_least").alias("component_id"), "_rows"))
+    # fewer than HOT_GROUPS fingerprints can have more than this share of the rows: they travel
+    # with the tasks, so no task reads the rows of a hot one
+    share = (named.agg(F.sum("_rows")).first()[0] or 0) // HOT_GROUPS
+    hot = named.where(F.col("_rows") > share).select("fp", F.col("component_id").alias("_hot"), F.lit(True).alias("_is_hot"))
+    told = marked.join(F.broadcast(hot), "fp", "left")
+    rest = (told.where("_is_hot IS NULL").drop("_hot", "_is_hot")
+            .join(named.where(F.col("_rows") <= share).select("fp", "component_id"), "fp"))
+    every = told.where("_is_hot").select(id_col, "fp", F.col("_hot").alias("component_id")).unionByName(
+        rest.select(id_col, "fp", "component_id"))
+    return every.select(id_col, hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS,

@@ -107,16 +107,53 @@ def test_chat_budget(spark):
 
 # ------------------------------------------------------------------ simhash
 
-def plain_fingerprint(text, xxhash):
+def plain_xxh64(data: bytes, seed: int) -> int:
+    """XXH64 by its published description."""
+    p1, p2, p3, p4, p5 = (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
+    m = (1 << 64) - 1
+    rotl = lambda x, r: (x << r | x >> (64 - r)) & m
+    step = lambda acc, lane: rotl((acc + lane * p2) & m, 31) * p1 & m
+    lanes = lambda a, b: [int.from_bytes(data[k:k + 8], "little") for k in range(a, b, 8)]
+    n, at = len(data), 0
+    if n >= 32:
+        acc = [(seed + p1 + p2) & m, (seed + p2) & m, seed, (seed - p1) & m]
+        while at + 32 <= n:
+            acc = [step(a, x) for a, x in zip(acc, lanes(at, at + 32))]
+            at += 32
+        h = sum(rotl(a, r) for a, r in zip(acc, (1, 7, 12, 18))) & m
+        for a in acc:
+            h = ((h ^ step(0, a)) * p1 + p4) & m
+    else:
+        h = (seed + p5) & m
+    h = (h + n) & m
+    while at + 8 <= n:
+        h = (rotl(h ^ step(0, lanes(at, at + 8)[0]), 27) * p1 + p4) & m
+        at += 8
+    if at + 4 <= n:
+        h = (rotl(h ^ int.from_bytes(data[at:at + 4], "little") * p1 & m, 23) * p2 + p3) & m
+        at += 4
+    for byte in data[at:]:
+        h = rotl(h ^ byte * p5 & m, 11) * p1 & m
+    h = (h ^ h >> 33) * p2 & m
+    h = (h ^ h >> 29) * p3 & m
+    return h ^ h >> 32
+
+
+def test_plain_hash(spark):
+    texts = ["", "a", "abcd", "abcdefgh", "é" * 7, "x" * 31, "x" * 32, "word " * 9, "0123456789abcdef" * 5 + "xyz"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.xxhash64("t").alias("h")).collect()
+    assert all(r["h"] & (1 << 64) - 1 == plain_xxh64(r["t"].encode(), 42) for r in rows)
+
+
+def plain_fingerprint(text):
     w = WORD.findall((text or "").translate(str.maketrans(simhash.UPPER, simhash.LOWER)))
     grams = [" ".join(w[i:i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else [" ".join(w)] * bool(w)
-    hashes = [xxhash.xxh64_intdigest(g.encode(), seed=42) for g in grams]
+    hashes = [plain_xxh64(g.encode(), 42) for g in grams]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
 @pytest.mark.parametrize("tree_size", [4096, 2])
 def test_simhash_against_all_pairs(spark, tree_size):
-    xxhash = pytest.importorskip("xxhash")
     base = wordy(3, 25, 60, "ab cd ef gh ij kl mn".split())
     rng, rows = random.Random(1), list(base)
     for i, t, s in base:  # near copies: a few words changed
@@ -126,7 +163,7 @@ def test_simhash_against_all_pairs(spark, tree_size):
                 w[rng.randrange(len(w))] = "ZZ"
             rows.append((len(rows), " ".join(w), s))
     rows += [(len(rows), None, "s"), (len(rows) + 1, "", "s"), (0, rows[0][1], "s")]
-    marks = [plain_fingerprint(t, xxhash) for _, t, _ in rows]
+    marks = [plain_fingerprint(t) for _, t, _ in rows]
     label = [i for i, _, _ in rows]
     for _ in rows:  # plain relaxation until nothing changes
         label = [min(label[k] for k in range(len(rows)) if (marks[k] ^ m).bit_count() <= 2) for m in marks]
@@ -180,8 +217,8 @@ def test_shards_weights_and_slots(spark):
 
 # ------------------------------------------------------------------ repeats
 
-@pytest.mark.parametrize("group", [20_000, 3, 0])
-def test_repeats_against_all_windows(spark, group):
+@pytest.mark.parametrize("group, code_bits", [(20_000, 64), (3, 5), (0, 64)])
+def test_repeats_against_all_windows(spark, group, code_bits):
     rng = random.Random(7)
     rows = wordy(7, 40, 80, "a b c d e f g h i j k l m n o p q r s t".split())
     passage = [f"p{i}" for i in range(40)]
@@ -201,7 +238,7 @@ def test_repeats_against_all_windows(spark, group):
         w = WORD.findall(t or "")
         gone = {k + j for k in range(len(w) - 12) if first[tuple(w[k:k + 13])] < i for j in range(13)}
         want[i] = (len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone))
-    got = repeats.without_repeats(docs_of(spark, rows), group=group).collect()
+    got = repeats.without_repeats(docs_of(spark, rows), group=group, code_bits=code_bits).collect()
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in got} == want
 
 
@@ -366,6 +403,32 @@ def test_leaks_against_plain_distance(spark, odd, none):
     assert leaks.without_leaks(odd, bench.limit(0)).count() == 8 and leaks.without_leaks(odd, bench).columns == odd.columns
 
 
+def test_leaks_without_the_run_filter():
+    rng = random.Random(3)
+    pool = [f"w{i}" for i in range(120)]
+    items = [(i, [rng.choice(pool) for _ in range(rng.randrange(6, 30))]) for i in range(25)]
+    block = leaks.ItemBlock(items)
+    filtered, every = [], []
+    for _ in range(60):
+        w = list(rng.choice(items)[1])
+        for _ in range(rng.randrange(0, max(1, len(w) // 4))):
+            w[rng.randrange(len(w))] = rng.choice(pool)
+        text = " ".join([rng.choice(pool) for _ in range(rng.randrange(20))] + w + [rng.choice(pool) for _ in range(rng.randrange(20))])
+        filtered.append([(i, d) for i, d, _ in block.find(text)])
+        every.append([(i, d) for i, d, _ in block.find(text, prefilter=False)])
+    assert filtered == every and sum(map(len, every)) > 30
+
+
+def test_leaks_one_block_at_a_time(spark, odd):
+    items = [(i, " ".join(f"i{i}w{k}" for k in range(12))) for i in range(9)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    rows = docs_of(spark, [(k, f"x y {items[k % 9][1]} z {items[(k + 3) % 9][1]}", "s") for k in range(20)] * 2 + [(99, None, "s"), (None, "", "s")])
+    one, many = (leaks.with_leaks(rows, bench, block_words=n) for n in (10_000, 24))
+    key = lambda df: sorted((str(r["doc_id"]), [tuple(x) for x in sorted(r["leaks"])]) for r in df.collect())
+    assert key(one) == key(many) and one.columns == many.columns and sum(len(x) for _, x in key(one)) == 80
+    assert leaks.without_leaks(odd, bench, block_words=24).count() == 8
+
+
 # ------------------------------------------------------------------ urls
 
 def test_urls(spark):
@@ -384,6 +447,37 @@ def test_urls(spark):
     assert urls.judge(pages.limit(0)).count() == 0
 
 
+def test_url_literals_follow_from_the_expression():
+    tokens = urls.literal_tokens
+    assert {r.name: r.literals for r in urls.PATTERN_RULES} == {
+        "casino": ("casino",), "bets": ("free", "bets"), "pills": ("cheap", "pills"), "spam_farm": ("spam", "farm"),
+        "ad_tracking": ("ads", "track"), "poker": ("poker",), "replica": ("replica",), "loans": ("payday",),
+        "cracks": ("download",), "click_id": ("redirect",), "numeric_host": ()}
+    assert tokens("abc") == () and tokens("/abc/") == ("abc",) and tokens("/abc") == () and tokens("^abc/") == ("abc",)
+    assert tokens("/ab?c/x/") == ("x",) and tokens("/(ab|cd)/e/") == ("e",) and tokens("/a[bc]/d$") == ("d",)
+    assert tokens(r"/a\wb/") == () and tokens(r"/ab(-cd-)/") == ("ab", "cd") and tokens("(?i)/abc/") == ()
+    assert tokens("/[^a]abc/") == () and tokens("/(x/)*abc/") == ("abc",) and tokens("(x/)*abc/") == () and tokens("(x/)+abc/") == ("abc",)
+
+
+def test_many_url_rules_against_running_all(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randrange(1, 4)))
+    forms = [lambda: f"||{word()}.{word()}^", lambda: f"/{word()}-{word()}/", lambda: f"*{word()}*{word()}^", lambda: f"|http://{word()}.{word()}/{word()}",
+             lambda: f"^{word()}^{word()}|", lambda: f"/[/.]{word()}[0-9]+[/.]/", lambda: f"{word()}={word()}&"]
+    lines = [rng.choice(forms)() for _ in range(10_000)] + ["! comment", "", None]
+    rules = urls.parse_rules(spark.createDataFrame([(x,) for x in lines], "rule string"))
+    assert len(rules) == 10_000 and sum(bool(r.literals) for r in rules) > 3_000
+    pages = [f"http{rng.choice(['', 's'])}://{word()}.{word()}.{word()}/{word()}-{word()}/{word()}{rng.randrange(20)}?{word()}={word()}&{word()}".upper()
+             if rng.random() < 0.1 else f"http://{word()}.{word()}/{word()}/{word()}" for _ in range(150)] + [None, "", "x"]
+    table = spark.createDataFrame(list(enumerate(pages)), "page_id bigint, url string")
+    got = {r["page_id"]: r["pattern"] for r in urls.judge(table, (), rules).collect()}
+    compiled = [(r.name, re.compile(r.pattern)) for r in rules]
+    for k, url in enumerate(pages):
+        want = None if url is None else next((n for n, p in compiled if p.search(url.lower())), None)
+        assert got[k] == want
+    assert urls.judge(table, (), rules).where("url = ''").first()["verdict"] in ("allow", "block")
+
+
 # ------------------------------------------------------------------ mixing
 
 def test_mixing_exact_budget(spark, odd, none):
@@ -472,13 +566,12 @@ def test_html_query(spark, data_dir):
 # ------------------------------------------------------------------ pipeline
 
 def test_pipeline_against_plain_version(spark, data_dir):
-    xxhash = pytest.importorskip("xxhash")
     table = lambda n: [r.asDict() for r in spark.read.parquet(f"{data_dir}/{n}.parquet").collect()]
     docs, bench = table("documents"), table("benchmark")
     net = toxicity.train(spark.read.parquet(f"{data_dir}/documents.parquet"), spark.read.parquet(f"{data_dir}/labels.parquet"))
     score = toxicity.Scorer(net).score([d["text"] for d in docs])
     docs = [d for d, s in zip(docs, score) if s < toxicity.THRESHOLD]
-    marks = [plain_fingerprint(d["text"], xxhash) for d in docs]
+    marks = [plain_fingerprint(d["text"]) for d in docs]
     label = [d["doc_id"] for d in docs]
     while True:
         new = [min(l for l, k in zip(label, marks) if (k ^ m).bit_count() <= 2) for m in marks]
