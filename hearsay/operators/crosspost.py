@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from hearsay.functions.scalar import is_profile, strip_id_prefix
 from hearsay.operators.ordered import top_n_per_group
-from hearsay.session import cut_lineage
+from hearsay.session import cut_lineage, release, shared_folder, shuffle_width
 from hearsay.sources.posts import lookup_urls
 
 EDGE_COLUMNS = ("subreddit", "crosspost_parent", "subreddit_subscribers",
@@ -60,6 +61,21 @@ def crossposted_urls(posts: DataFrame) -> DataFrame:
             .agg(F.sum("num_crossposts").alias("num_crossposts"), F.max("id").alias("id")))
 
 
+LANDED_COLUMNS = ("id", "url", "subreddit", "subreddit_subscribers", "num_crossposts", "crosspost_parent", "author")
+
+
+def land_by_url(posts: DataFrame, buckets: int | None = None) -> DataFrame:
+    """The columns that a look-up of cross-posts reads, landed in buckets of the URL and sorted
+    in them: joins on the URL then shuffle the other side alone, round after round."""
+    spark = posts.sparkSession
+    name = f"hearsay_posts_{uuid.uuid4().hex}"
+    n = buckets or shuffle_width(spark)
+    (posts.where("url IS NOT NULL").select(*LANDED_COLUMNS).repartition(n, "url")
+     .write.bucketBy(n, "url").sortBy("url").format("parquet")
+     .option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name))
+    return spark.table(name)
+
+
 def children(observed: DataFrame, all_posts: DataFrame) -> DataFrame:
     """Edges from cross-posts of the observed posts to the observed communities.
 
@@ -130,17 +146,22 @@ def expand(posts: DataFrame, seeds: DataFrame, start: int, end: int, limit: int
 
     ``exclude='frontier'`` removes only the communities of the current round from
     the next one, so earlier ones can come back; ``'visited'`` removes all.
+
+    The posts are landed once by URL; a round scans the windows of its communities, joins
+    its URLs with the landed posts without shuffling them, and writes its own edges only.
     """
     if exclude not in ("visited", "frontier"):
         raise ValueError(f"unknown exclude {exclude!r}")
     current = seeds.select("subreddit").distinct()
     visited = current
     edges = None
+    landed = land_by_url(posts) if depth > 1 else None
     for step in range(1, depth):
         # written once, read by every branch
         seen = cut_lineage(scan_windows(posts, current, start, end, limit, repeat))
-        found = parents(seen).unionByName(children(seen, posts)).withColumn("round", F.lit(step))
-        edges = cut_lineage(found if edges is None else edges.unionByName(found))
+        found = cut_lineage(parents(seen).unionByName(children(seen, landed)).withColumn("round", F.lit(step)))
+        release(seen)
+        edges = found if edges is None else edges.unionByName(found)
         following = cut_lineage(frontier(edges, visited if exclude == "visited" else current))
         if following.isEmpty():
             break

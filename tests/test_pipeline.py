@@ -167,6 +167,21 @@ def test_parents_children_ratio(found):
     assert (row["crosspost_parent"], row["crosspost_child"], row["total"]) == (0, 2, 5)
 
 
+def test_landed_posts_are_not_shuffled(spark, found):
+    landed = CP.land_by_url(found, 4)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = CP.lookup_urls(landed, CP.crossposted_urls(found))._jdf.queryExecution().executedPlan().toString()
+        join = plan[plan.index("SortMergeJoin"):]
+        posts_side = join[:join.index("Scan parquet")]       # the first child, down to its scan
+        assert "Exchange" not in posts_side and "Exchange" in join
+        rows = lambda df: sorted(map(tuple, df.collect()))
+        assert rows(CP.children(found, landed)) == rows(CP.children(found, found))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_expand(spark, found):
     seeds = spark.createDataFrame([("A",)], "subreddit string")
     one = CP.expand(found, seeds, 0, 1000, depth=2)
