@@ -44,6 +44,15 @@ def separated_texts(spark, d):
         "id", "subreddit", "title", F.md5("text").alias("text_md5"))
 
 
+@query("separated_parts", "S07", "texts", "SELECT id, subreddit, title, md5(text) AS text_md5 FROM texts")
+def separated_parts(spark, d):
+    """Values with line breaks, every file read by several tasks."""
+    rows, path = V.texts(spark, d).select("id", "subreddit", "title", "text"), fresh_path(spark)
+    TB.write_separated(rows, path)
+    return TB.read_separated_in_parts(spark, path, rows.schema).select(
+        "id", "subreddit", "title", F.md5("text").alias("text_md5"))
+
+
 @query("separated_counts", "S09 S15", "posts",
        "SELECT author, class_II, count(*) AS n, avg(num_comments) AS mean FROM posts GROUP BY 1, 2")
 def separated_counts(spark, d):

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hearsay.operators import backbone, graph
+from hearsay.session import cut_lineage
+
+BLOCKS_AT_ONCE = 500_000     # file blocks whose starts travel with the tasks
 
 
 def read_separated(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
@@ -25,6 +29,79 @@ def read_separated(spark: SparkSession, path: str, schema: T.StructType | str |
     return reader.csv(path)
 
 
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of file blocks, in order, with whether the block begins inside quotes -> records.
+
+    A record is cut off where its block ends; ``place`` says which piece it is: 0 a whole
+    record, 1 the head of a record that goes on, 2 a middle or an end that began before.
+    """
+    key, held, odd, begun, at = None, [], False, False, 0
+    names = ["_file", "_block", "place", "number", "record"]
+    kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.string())
+
+    def piece(place: int) -> tuple:
+        return (*key, place, at, "\n".join(held))
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+
+    for rows in batches:
+        out = []
+        for file, block, inside, line in zip(*[c.to_pylist() for c in rows.columns]):
+            if (file, block) != key:
+                if held:
+                    out.append(piece(1 if begun else 2))
+                key, held, odd, begun, at = (file, block), [], inside, not inside, 0
+            held.append(line)
+            odd ^= line.count('"') % 2 == 1
+            if not odd:
+                out.append(piece(0 if begun else 2))
+                held, begun, at = [], True, at + 1
+        if out:
+            yield batch(out)
+    if held:
+        yield batch([piece(1 if begun else 2)])
+
+
+def read_separated_in_parts(spark: SparkSession, path: str, schema: T.StructType, sep: str = "|") -> DataFrame:
+    """``read_separated`` for large files whose quoted values hold line breaks: every file is
+    read by as many tasks as it has blocks.
+
+    A line break ends a record only outside quotes.  One pass counts the quotes of every
+    block; their running parity tells whether a block begins inside a value, so each task
+    knows where its first record starts.  The few records that cross the end of a block are
+    put together from their pieces.
+    """
+    place = F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")
+    lines = spark.read.option("lineSep", "\n").text(path).select(*place, "value")
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    counted = lines.groupBy("_file", "_block").agg((F.sum(quotes) % 2).alias("_odd"))
+    earlier = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut_lineage(counted.select("_file", "_block", (F.coalesce(F.sum("_odd").over(earlier), F.lit(0)) % 2 == 1)
+                                        .alias("_inside")))                     # one row per block
+    told = lines.withColumn("_row", F.monotonically_increasing_id())
+    if starts.count() <= BLOCKS_AT_ONCE:
+        told = told.join(F.broadcast(starts), ["_file", "_block"])              # lines stay in order
+    else:
+        told = (told.join(starts, ["_file", "_block"]).repartition("_file", "_block")
+                .sortWithinPartitions("_file", "_block", "_row"))
+    pieces = told.select("_file", "_block", "_inside", "value").mapInArrow(
+        _records, "_file string, _block bigint, place int, number bigint, record string")
+    whole = pieces.where("place = 0")
+    # the head of a record and the pieces that follow it, up to the next head of the file
+    parts = cut_lineage(pieces.where("place <> 0"))
+    order = Window.partitionBy("_file").orderBy("_block", "number")             # at most two rows per block
+    heads = F.sum(F.when(F.col("place") == 1, 1).otherwise(0)).over(order)
+    crossed = (parts.withColumn("_head", heads).groupBy("_file", "_head").agg(
+        F.min("_block").alias("_block"), F.min_by("number", "_block").alias("number"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_block", "number", "record"))),
+                                 lambda r: r["record"]), "\n").alias("record")))
+    records = whole.select("_file", "_block", "number", "record").unionByName(crossed.drop("_head"))
+    body = records.where((F.col("_block") > 0) | (F.col("number") > 0)).where("record <> ''")   # without the header
+    options = {"sep": sep, "quote": '"', "escape": '"'}
+    return body.select(F.from_csv("record", schema.simpleString()[7:-1].replace(":", " "), options).alias("r")).select("r.*")
+
+
 def write_separated(df: DataFrame, path: str, sep: str = "|", mode: str = "overwrite") -> None:
     """Every value is quoted, so blanks, line breaks, separators and empty texts come back."""
     (df.write.mode(mode).option("sep", sep).option("header", True).option("quote", '"')

@@ -51,3 +51,27 @@ def test_one_vs_rest_and_three_classes(spark):
     total = M.class_columns(trees.transform(data), 3, "s_").select(
         (F.col("s_0") + F.col("s_1") + F.col("s_2")).alias("t"))
     assert total.where(F.abs(F.col("t") - 1) > 1e-9).count() == 0
+
+
+def test_separated_file_in_parts(spark, tmp_path):
+    import random
+
+    rng = random.Random(7)
+    made = lambda: "".join(rng.choice(['a', 'b"', "\n", '"', "|", "\r", "é", " ", ",", "x" * 30]) for _ in range(rng.randrange(40)))
+    rows = [(i, made(), None if i % 11 == 0 else made()) for i in range(400)] + [(400, "", "\n\n"), (401, '"', "\n" * 3000)]
+    df = spark.createDataFrame(rows, "id int, a string, b string").coalesce(2)
+    TB.write_separated(df, f"{tmp_path}/csv")
+    plain = TB.read_separated(spark, f"{tmp_path}/csv", df.schema)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("700", "5000", before):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        try:
+            got = TB.read_separated_in_parts(spark, f"{tmp_path}/csv", df.schema)
+            key = lambda r: tuple(map(str, r))
+            assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, plain.collect()), key=key)
+            lines = spark.read.option("lineSep", "\n").text(f"{tmp_path}/csv")
+            assert size == before or lines.rdd.getNumPartitions() > 4
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+            spark.conf.unset("spark.sql.files.openCostInBytes")
