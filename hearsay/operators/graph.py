@@ -106,19 +106,20 @@ def _jump(pointers: DataFrame) -> DataFrame:
 def roots(pointers: DataFrame, max_rounds: int = 50) -> DataFrame:
     """Root of every node of a pointer forest whose roots point at each other.
 
-    Of a mutual pair the smaller one is the root; pointers then double their
-    reach with every self-join, two of them per materialisation.
+    Of a mutual pair the smaller one is the root and points at itself; pointers then
+    multiply their reach with every materialisation, whose last step also tells whether
+    all of them have arrived.
     """
     back = pointers.select(F.col("c").alias("p"), F.col("p").alias("q"))
-    tree = cut_lineage(pointers.join(back, "p").select("c", F.when(
+    tree = pointers.join(back, "p").select("c", F.when(
         (F.col("q") == F.col("c")) & (F.col("c") < F.col("p")), F.col("c")).otherwise(F.col("p"))
-        .alias("p")))
+        .alias("p"))
     for _ in range(max_rounds):
-        far = tree.select("c", F.col("p").alias("was")).join(_jump(_jump(tree)), "c")
-        far = cut_lineage(far)
-        done = far.where("was <> p").isEmpty()
+        ahead = tree.select(F.col("c").alias("p"), F.col("p").alias("q"))
+        far = cut_lineage(_jump(_jump(tree)).join(ahead, "p").select(
+            "c", F.col("q").alias("p"), (F.col("q") == F.col("p")).alias("arrived")))
         tree = far.select("c", "p")
-        if done:
+        if far.where("NOT arrived").isEmpty():
             return tree
     raise RuntimeError(f"pointers did not settle in {max_rounds} rounds")
 

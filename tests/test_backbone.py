@@ -238,30 +238,25 @@ def test_doubly_stochastic_needs_blank_cells(spark):
     assert set(got) == {(0, 1), (2, 3)}
 
 
-def plain_cut(weights, n, rounds=3000):
-    dense = np.full((n, n), 0.001)
-    for (i, j), w in weights.items():
-        dense[i, j] += w
-    for _ in range(rounds):
-        dense /= dense.sum(axis=1, keepdims=True)
-        dense /= dense.sum(axis=0, keepdims=True)
-    label = list(range(n))
-    for v, i, j in sorted(((dense[i, j], i, j) for i in range(n) for j in range(i + 1, n)), reverse=True):
-        a, b = label[i], label[j]
-        label = [a if x == b else x for x in label]
-        if len(set(label)) == 1:
-            return {(i, j) for i, j in weights if i < j and dense[i, j] >= v * (1 - 1e-9)}
-
-
-def test_doubly_stochastic_blank_cells_by_components(spark, monkeypatch):
+def test_spanning_cut_with_blank_cells(spark):
+    """Any factors: the cut is the weakest edge of the tree over all cells above the diagonal."""
     rng = np.random.default_rng(2)
-    for n, keep in ((9, 0.5), (12, 0.25)):
-        weights = {(i, j): float(rng.integers(1, 30)) for i in range(n) for j in range(n) if rng.random() < keep or i == j}
-        edges = spark.createDataFrame([(i, j, w) for (i, j), w in weights.items()], "src int, trg int, nij double")
-        factors = B.sinkhorn(edges)
-        if factors is None:
-            continue
-        assert set(table(B.doubly_stochastic(edges), "nij")) == plain_cut(weights, n)
+    for n, keep in ((9, 0.5), (14, 0.2)):
+        r, c = rng.random(n) + 0.1, rng.random(n) + 0.1
+        real = {(i, j): float(r[i] * c[j] * (rng.integers(1, 30) + B.SINKHORN_SHIFT))
+                for i in range(n) for j in range(i + 1, n) if rng.random() < keep}
+        cells = {(i, j): real.get((i, j), float(r[i] * B.SINKHORN_SHIFT * c[j])) for i in range(n) for j in range(i + 1, n)}
+        label, weakest = list(range(n)), None
+        for (i, j), v in sorted(cells.items(), key=lambda x: -x[1]):
+            if label[i] != label[j]:
+                a, b = label[i], label[j]
+                label, weakest = [a if x == b else x for x in label], v
+        frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+        got = B._spanning_cut(frame([(i, j, v) for (i, j), v in real.items()], "src int, trg int, value double"),
+                              frame([(i, float(r[i])) for i in range(n)], "src int, r double"),
+                              frame([(j, float(c[j])) for j in range(n)], "trg int, c double"),
+                              frame([(i,) for i in range(n)], "node int"))
+        assert got == pytest.approx(weakest)
 
 
 def test_best_blanks_against_all_pairs(spark):
