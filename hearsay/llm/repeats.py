@@ -41,6 +41,7 @@ LENGTH = 13
 ANCHOR = 6
 PREFIXES = (2, 4, 8)      # words of a prefix; after them the whole window
 GROUP = 4_000             # suffixes that one tree may hold
+HOT_WINDOWS = 1_000       # windows that may hold more than this part of all suffixes
 MOST_IN_RUN = 200         # windows in one slice; longer runs are several slices
 PIECE = 1 << 22           # bytes of text in one pass of the hashes
 NO_ID = (1 << 63) - 1
@@ -146,30 +147,34 @@ def _slices(length: int, anchor: int):
 
 # ---------------------------------------------------------------- words of slices
 
+def _listed(column: pa.ListArray) -> tuple[np.ndarray, pa.StructArray]:
+    """Where the list of each row begins among all entries, and the entries."""
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.cumsum(sizes)]), column.flatten()
+
+
 def _spoken(length: int):
     """Words of the slices of every text, joined by blanks."""
+    names = ["anchor", "words", "_id", "_mark", "start", "n"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(2).cast(pa.binary())
-            rows: list[tuple] = []
-            size = 0
-            for i, (key, mark) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            at, runs = _listed(batch.column(3))
+            first, size = 0, 0
+            spans = list(zip(runs.field("start").to_pylist(), runs.field("n").to_pylist()))
+            said: list[bytes] = []
+            for i in range(batch.num_rows):
                 words = texts[i].as_py().split()
-                for r in batch.column(3)[i].as_py():
-                    said = b" ".join(words[r["start"]:r["start"] + r["n"] + length - 1])
-                    rows.append((r["anchor"], said, key, mark, r["start"], r["n"]))
-                    size += len(said)
-                if size > PIECE:
-                    yield _batch(rows)
-                    rows, size = [], 0
-            if rows:
-                yield _batch(rows)
-
-    kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int16())
-
-    def _batch(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)],
-                                          names=["anchor", "words", "_id", "_mark", "start", "n"])
+                said += [b" ".join(words[s:s + n + length - 1]) for s, n in spans[at[i]:at[i + 1]]]
+                size += len(texts[i].as_py())
+                if size > PIECE or i + 1 == batch.num_rows:
+                    owner = np.repeat(np.arange(first, i + 1), np.diff(at[first:i + 2]))
+                    part = runs.slice(at[first], at[i + 1] - at[first])
+                    yield pa.RecordBatch.from_arrays(
+                        [part.field("anchor"), pa.array(said, pa.binary()), batch.column(0).take(pa.array(owner)),
+                         batch.column(1).take(pa.array(owner)), part.field("start"), part.field("n")], names=names)
+                    first, size, said = i + 1, 0, []
 
     return run
 
@@ -280,8 +285,14 @@ def repeated_windows(suffixes: DataFrame, length: int = LENGTH, prefixes: Sequen
              .repartition("prefix").sortWithinPartitions("prefix")
              .mapInArrow(_trees(length), "slice bigint, place int"))
     crowded = rows.where("prefix IS NULL")
-    lowest = crowded.groupBy("suffix").agg(F.min("least").alias("_lowest"))
-    return trees.union(crowded.join(lowest, "suffix").where("least > _lowest").select("slice", "place"))
+    lowest = cut_lineage(crowded.groupBy("suffix").agg(F.min("least").alias("_lowest"), F.count(F.lit(1)).alias("_rows")))
+    # at most HOT_WINDOWS windows have more than this share of the suffixes: they travel with the tasks
+    share = suffixes.count() // HOT_WINDOWS
+    hot = lowest.where(F.col("_rows") > share).select("suffix", F.col("_lowest").alias("_hot"))
+    told = crowded.join(F.broadcast(hot), "suffix", "left")
+    rest = told.where("_hot IS NULL").join(lowest.where(F.col("_rows") <= share).select("suffix", "_lowest"), "suffix")
+    return (trees.union(told.where("least > _hot").select("slice", "place"))
+            .union(rest.where("least > _lowest").select("slice", "place")))
 
 
 # ---------------------------------------------------------------- whole job
@@ -332,16 +343,17 @@ def _cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
+            at, runs = _listed(batch.column(2))
+            starts, ends = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in (runs.field("start"), runs.field("n")))
+            ends = starts + ends + length - 1
             totals, removed, kept = [], [], []
-            for text, starts in zip(texts, batch.column(2).to_pylist()):
-                words = text.as_py().split()
+            for i in range(batch.num_rows):
+                words = texts[i].as_py().split()
                 totals.append(len(words))
-                if starts:
-                    at = np.array([(r["start"], r["n"]) for r in starts], dtype=np.int64)
-                    gone = np.zeros(len(words) + 1, dtype=np.int32)
-                    np.add.at(gone, at[:, 0], 1)
-                    np.add.at(gone, at[:, 0] + at[:, 1] + length - 1, -1)
-                    words = [words[i] for i in np.flatnonzero(np.cumsum(gone[:-1]) == 0).tolist()]
+                a, b = at[i], at[i + 1]
+                if a < b:
+                    edges = np.bincount(starts[a:b], minlength=len(words) + 1) - np.bincount(ends[a:b], minlength=len(words) + 1)
+                    words = [words[k] for k in np.flatnonzero(np.cumsum(edges[:-1]) == 0).tolist()]
                 removed.append(totals[-1] - len(words))
                 kept.append(b" ".join(words))
             yield pa.RecordBatch.from_arrays(
