@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -46,6 +46,7 @@ INPUT, HIDDEN = 16, 12
 EPOCHS, BATCH, RATE = 6, 64, 0.01
 SEED = 17
 THRESHOLD = 0.7
+WORDS_AT_ONCE = 20_000    # words whose n-grams are hashed together
 KNOWN_WORDS = 200_000     # word inputs that a task remembers
 WINDOWS_AT_ONCE = 2_048   # windows whose words are looked up together
 WINDOWS_A_STEP = 384      # windows of one pass through the layers
@@ -77,7 +78,12 @@ class WordTable:
 def word_features(words: list[str]) -> WordTable:
     """Table rows of whole words and of all their character n-grams, ends marked by < and >."""
     if not words:
-        return WordTable(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64))
+        return WordTable(np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(1, np.int64))
+    if len(words) > WORDS_AT_ONCE:      # the memory of a pass is bounded
+        parts = [word_features(words[k:k + WORDS_AT_ONCE]) for k in range(0, len(words), WORDS_AT_ONCE)]
+        sizes = np.concatenate([p.sizes for p in parts])
+        return WordTable(np.concatenate([p.words for p in parts]), np.concatenate([p.grams for p in parts]),
+                         np.concatenate([[0], np.cumsum(sizes)]))
     own = np.array([zlib.crc32(w.encode("utf-8", "replace")) % WORD_ROWS for w in words], dtype=np.int64)
     codes = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"),
                           dtype=np.uint32).astype(np.uint64)
@@ -93,7 +99,7 @@ def word_features(words: list[str]) -> WordTable:
             h = (h ^ codes[k:len(codes) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
         inside = left[:len(h)] >= n
-        rows.append((h[inside] % np.uint64(GRAM_ROWS)).astype(np.int64))
+        rows.append((h[inside] % np.uint64(GRAM_ROWS)).astype(np.int32))
         owners.append(owner[:len(h)][inside])
     owners = np.concatenate(owners)
     order = np.argsort(owners, kind="stable")
@@ -227,7 +233,7 @@ def fit(texts: list[str], labels: list[int], seed: int = SEED, epochs: int = EPO
     return fit_windows([windows_of(t) for t in texts], labels, seed, epochs)
 
 
-def fit_windows(texts: list[list[list[str]]], labels: list[int], seed: int = SEED,
+def fit_windows(texts: Iterable[list[list[str]]], labels: list[int], seed: int = SEED,
                 epochs: int = EPOCHS) -> Network | None:
     """``fit`` for texts that are given as their windows."""
     words: dict[str, int] = {}
@@ -426,7 +432,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 def train(docs: DataFrame, labels: DataFrame, **options) -> Network | None:
     rows = training_rows(docs, labels, **options)
-    return fit_windows([[w.split(" ") for w in r["windows"]] for r in rows], [int(r["toxic"]) for r in rows])
+    return fit_windows(([w.split(" ") for w in r["windows"]] for r in rows), [int(r["toxic"]) for r in rows])
 
 
 def _scoring(net: Network):
