@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -108,6 +109,26 @@ def test_staged_and_probabilities(toy):
         assert r["p"] == pytest.approx(last[r["id"]])
 
 
+def test_tasks_hold_filled_cells_only(toy, monkeypatch):
+    """A task works on so many cells at a time; sums are the same for short, long and wide histograms."""
+    whole = sorted(B.fit(toy, 3, [B.Setting(rounds=2, depth=3)], 6).rows())
+    bins = np.array([r[3] for r in toy_rows()], dtype=np.uint8)
+    assert sum(len(f[3]) for f in B._filled(bins, 6)) == np.count_nonzero(bins) < bins.size
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([r.tobytes() for r in bins], pa.binary()), pa.array([1] * 150, pa.int32()), pa.array([0] * 150, pa.int32()),
+         pa.array([[0.0] * 3] * 150, pa.list_(pa.float64()))], names=["bins", "label", "fold", "margins"])
+    monkeypatch.setattr(B, "CELLS_AT_ONCE", 200)
+    sizes = [len(c[0]) for c in B._chunks(iter(batch.slice(i, 10) for i in range(0, 150, 10)), 6, 4)]
+    assert sum(sizes) == 150 and max(sizes) < 100
+    for kind, value in ((False, 5.0), (True, 2.0 ** 40)):
+        sums = np.zeros((2, 100))
+        sums[:, 7] = value
+        assert B._sent(0, 0, np.zeros((2, 1)), sums).to_pylist()[0]["wide"] is kind
+        assert B._sent(0, 0, np.zeros((2, 1)), sums).to_pylist()[0]["places"] is not None
+        assert B._sent(0, 0, np.zeros((2, 1)), sums + 1).to_pylist()[0]["places"] is None
+    assert sorted(B.fit(toy.repartition(3), 3, [B.Setting(rounds=2, depth=3)], 6).rows()) == whole
+
+
 def test_bins():
     cuts = B.even_cuts(10, 4)
     assert [int(b) for b in B.bin_numbers(np.arange(10.0)[:, None], cuts)[:, 0]] == [x * 4 // 10 for x in range(10)]
