@@ -4,6 +4,7 @@ import datetime
 import json
 
 import pytest
+from pyspark.ml.clustering import LDAModel
 from pyspark.sql import functions as F
 
 from hearsay.functions import scalar as S
@@ -285,3 +286,19 @@ def test_topics(spark):
     tables = TP.browser_tables(model, vectors, vocab)
     assert tables["doc_length"].count() == 20 and tables["vocabulary"].agg(F.sum("tf")).first()[0] == 60
     assert TP.sweep(vectors, [2, 3], 2).count() == 2
+
+
+def test_sweep_infers_the_documents_once_per_model(spark, monkeypatch):
+    docs = [(i, "cat dog cat bird" if i % 2 else "sun moon sun") for i in range(30)] + [(99, "")]
+    words = TP.tokens(spark.createDataFrame(docs, "id int, text string"), "text", [])
+    vectors = TP.vectorizer(TP.vocabulary(words, 10, 1.0, 1.0)).transform(words).cache()
+    models = [TP.fit(vectors, k, 3) for k in (2, 3)]
+    told = [(k, m.logLikelihood(vectors), m.logPerplexity(vectors)) for k, m in zip((2, 3), models)]
+
+    def twice(*_):
+        raise AssertionError("a second inference over all documents")
+
+    monkeypatch.setattr(LDAModel, "logPerplexity", twice)
+    for row, (k, bound, perplexity) in zip(TP.sweep(vectors, [2, 3], 3).orderBy("k").collect(), told):
+        assert row["k"] == k and abs(row["log_likelihood"] / bound - 1) < 1e-9
+        assert abs(row["log_perplexity"] / perplexity - 1) < 1e-9
