@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from hearsay.session import cut_lineage
 
+BATCH_ROWS = 1_000_000      # heaviest edges that a spanning forest begins with, at least
+
 
 def as_undirected(edges: DataFrame, how: str = "max") -> DataFrame:
     """One row per unordered pair ``(lo, hi, nij)``; ``how`` combines both directions."""
@@ -124,33 +126,82 @@ def roots(pointers: DataFrame, max_rounds: int = 50) -> DataFrame:
     raise RuntimeError(f"pointers did not settle in {max_rounds} rounds")
 
 
-def max_spanning_forest(edges: DataFrame) -> DataFrame:
-    """Maximum spanning forest ``(lo, hi, nij)`` by Boruvka rounds.
+def _contract(live: DataFrame) -> tuple[DataFrame | None, list[DataFrame]]:
+    """Boruvka rounds over ``(w, ca, cb)``: the ``w`` of the forest and the labels of each round.
 
-    Edges are totally ordered by (weight, lo, hi), so the forest is unique.
+    ``w`` orders the edges without ties; it and the component ids are numbers, so the
+    aggregates of a round hash and never sort.
     """
-    base = as_undirected(edges.where("src <> trg"))
-    live = cut_lineage(base.select(F.col("lo").alias("ca"), F.col("hi").alias("cb"),
-                                   F.struct("nij", "lo", "hi").alias("e")))
-    chosen = None
+    chosen, labels = None, []
     while not live.isEmpty():  # every round at least halves the components that still grow
-        ends = live.select(F.explode(F.array("ca", "cb")).alias("c"),
-                           F.struct("e", "ca", "cb").alias("s"))
-        best = cut_lineage(ends.groupBy("c").agg(F.max("s").alias("s")).select(
-            "c", F.when(F.col("c") == F.col("s.ca"), F.col("s.cb")).otherwise(F.col("s.ca")).alias("p"),
-            "s.e"))
-        picked = best.select("e.lo", "e.hi", "e.nij").distinct()
-        chosen = picked if chosen is None else chosen.unionByName(picked)
+        ends = live.select(F.explode(F.array(F.struct(F.col("ca").alias("c"), F.col("cb").alias("p")),
+                                             F.struct(F.col("cb").alias("c"), F.col("ca").alias("p")))).alias("x"), "w")
+        best = cut_lineage(ends.groupBy("x.c").agg(F.max_by("x.p", "w").alias("p"), F.max("w").alias("w")))
+        chosen = best.select("w") if chosen is None else chosen.unionByName(best.select("w"))
         label = roots(best.select("c", "p"))
+        labels.append(label)
         # the heaviest edge between two contracted components is all that can matter
         a, b = F.least("na", "nb"), F.greatest("na", "nb")
         live = cut_lineage(
             live.join(label.select(F.col("c").alias("ca"), F.col("p").alias("na")), "ca")
             .join(label.select(F.col("c").alias("cb"), F.col("p").alias("nb")), "cb")
-            .where("na <> nb").groupBy(a.alias("ca"), b.alias("cb")).agg(F.max("e").alias("e")))
-    if chosen is None:
-        return base.limit(0)
-    return chosen
+            .where("na <> nb").groupBy(a.alias("ca"), b.alias("cb")).agg(F.max("w").alias("w")))
+    return chosen, labels
+
+
+def _heaviest(rows: DataFrame, least_rows: int) -> tuple[float | None, int]:
+    """A weight that about ``least_rows`` rows, or four per node if that is more, reach;
+    ``None`` if cutting does not pay.  The second value is the number of rows aimed at."""
+    steps = 256
+    seen = rows.agg(F.count(F.lit(1)).alias("n"), (F.approx_count_distinct("a") + F.approx_count_distinct("b")).alias("nodes"),
+                    F.percentile_approx("nij", F.array(*[F.lit(k / steps) for k in range(steps)]), 10_000).alias("cuts")).first()
+    aim = max(least_rows, 4 * seen["nodes"])
+    if seen["n"] <= 4 * aim or not seen["cuts"]:
+        return None, aim
+    return seen["cuts"][int(steps * (1 - aim / seen["n"]))], aim
+
+
+def spanning_rows(pairs: DataFrame, batch_rows: int = BATCH_ROWS) -> DataFrame:
+    """The rows of ``pairs`` that form its maximum spanning forest, with all their columns.
+
+    ``pairs`` has one row per unordered pair ``(lo, hi)`` of different nodes and its weight
+    ``nij``.  Rows are totally ordered by (nij, lo, hi), so the forest is unique.  It grows
+    from the heaviest rows down: their forest is part of the whole one, and of the lighter
+    rows only those between its components go on, which in a dense network are few.
+    Batches at least double, so there are few of them whatever the weights are.
+    """
+    rest = cut_lineage(pairs.select(F.col("lo").alias("a"), F.col("hi").alias("b"), *pairs.columns))
+    found = None
+    while True:
+        cut, batch_rows = _heaviest(rest, batch_rows)
+        heavy = F.lit(True) if cut is None else F.coalesce(F.col("nij") >= cut, F.lit(False))
+        batch = cut_lineage(rest.where(heavy).orderBy("nij", "lo", "hi").withColumn("w", F.monotonically_increasing_id()))
+        ids = cut_lineage(batch.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+                          .withColumn("id", F.monotonically_increasing_id()))
+        chosen, labels = _contract(cut_lineage(
+            batch.join(ids.select(F.col("node").alias("a"), F.col("id").alias("ca")), "a")
+            .join(ids.select(F.col("node").alias("b"), F.col("id").alias("cb")), "b").select("w", "ca", "cb")))
+        if chosen is not None:
+            part = batch.join(chosen, "w", "left_semi").select(*pairs.columns)
+            found = part if found is None else found.unionByName(part)
+        if cut is None:
+            return pairs.limit(0) if found is None else found
+        where = ids.withColumn("c", F.col("id"))
+        for label in labels:
+            where = where.join(label, "c", "left").select("node", "id", F.coalesce("p", "c").alias("c"))
+        # a component goes on under the name of one of its nodes
+        where = cut_lineage(where.join(ids.select(F.col("id").alias("c"), F.col("node").alias("to")), "c").select("node", "to"))
+        light = rest.where(~heavy)
+        for end in ("a", "b"):
+            light = light.join(where.select(F.col("node").alias(end), F.col("to").alias(f"to_{end}")), end, "left")
+        rest = cut_lineage(light.select(F.coalesce("to_a", "a").alias("a"), F.coalesce("to_b", "b").alias("b"), *pairs.columns)
+                           .where("a <> b"))
+        batch_rows *= 2
+
+
+def max_spanning_forest(edges: DataFrame) -> DataFrame:
+    """Maximum spanning forest ``(lo, hi, nij)``; see ``spanning_rows``."""
+    return spanning_rows(as_undirected(edges.where("src <> trg")))
 
 
 def propagate_labels(edges: DataFrame) -> DataFrame:

@@ -204,6 +204,48 @@ def test_components_and_tree(spark, seed, n, m):
     assert {(r["src"], r["trg"]) for r in tree} <= {(a, b) for a, b, _ in rows}
 
 
+def plans_written(monkeypatch):
+    """Plans of the tables that the graph operators write between steps."""
+    plans, write = [], G.cut_lineage
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(G, "cut_lineage", noted)
+    return plans
+
+
+def test_spanning_forest_never_sorts_to_aggregate(spark, monkeypatch):
+    rows = [(f"n{a}", f"n{b}", w) for a, b, w in random_edges(3, 30, 200)]
+    plans = plans_written(monkeypatch)
+    tree = B.spanning_tree(spark.createDataFrame(rows, "src string, trg string, nij double")).collect()
+    assert plans and not any("SortAggregate" in p for p in plans)
+    pairs = [(min(a, b), max(a, b), w) for a, b, w in rows]
+    _, best = union_find(sorted(pairs, key=lambda e: (e[2], e[0], e[1]), reverse=True))
+    assert {tuple(sorted((r["src"], r["trg"]))) for r in tree} == {(a, b) for a, b, _ in best}
+
+
+@pytest.mark.parametrize("seed,n,m", [(4, 50, 600), (5, 80, 100), (6, 12, 60)])
+def test_spanning_forest_from_the_heaviest_edges_down(spark, monkeypatch, seed, n, m):
+    rows = [(min(a, b), max(a, b), w) for a, b, w in random_edges(seed, n, m)] + [(900, 901, 1.0), (900, 902, -1.0), (903, 904, None)]
+    pairs = spark.createDataFrame(rows, "lo int, hi int, nij double")
+    contracted, contract = [], G._contract
+    monkeypatch.setattr(G, "_contract", lambda live: (contracted.append(live.count()), contract(live))[1])
+    monkeypatch.setattr(F, "approx_count_distinct", lambda c: F.lit(1))     # small batches
+    got = {(r["lo"], r["hi"], r["nij"]) for r in G.spanning_rows(pairs, 4).collect()}
+    _, best = union_find(sorted(rows, key=lambda e: (e[2] is not None, e[2] or 0, e[0], e[1]), reverse=True))
+    assert got == set(best)
+    assert len(contracted) > 1 and (sum(contracted) < len(rows) or m < 2 * n)
+
+
+def test_spanning_tree_keeps_the_row_of_the_smaller_source(spark):
+    rows = [("a", "b", 1.0), ("b", "a", 3.0), ("c", "b", 2.0), ("a", "c", 1.0), ("c", "c", 9.0), (None, "a", 5.0), ("d", "a", 0.0)]
+    tree = B.spanning_tree(spark.createDataFrame(rows, "src string, trg string, nij double"))
+    assert tree.columns == ["src", "trg", "nij", "score"]
+    assert {tuple(r) for r in tree.collect()} == {("a", "b", 1.0, 3.0), ("c", "b", 2.0, 2.0)}
+
+
 def test_components_of_a_long_path(spark):
     rows = [(i, i + 1, 1.0) for i in range(120)]
     edges = spark.createDataFrame(rows, "src int, trg int, nij double")
