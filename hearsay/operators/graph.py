@@ -56,43 +56,42 @@ def top_nodes(edges: DataFrame, k: int) -> DataFrame:
             .limit(k).select("node"))
 
 
-def _mark(pairs: DataFrame) -> tuple:
-    row = pairs.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("hi", "lo"))).first()
-    return tuple(row)
-
-
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """Connected components ``(node, component)``; the label is the smallest node.
 
     Alternates the large-star and small-star steps of Kiveris et al. (2014), which
-    need about log(n) rounds instead of one per hop of the diameter.
+    need about log(n) rounds instead of one per hop of the diameter.  A pair points
+    from its greater node to its smaller one, so the least neighbour of a node is the
+    least of the nodes it points at, and pairs are never mirrored.  Each step is a table
+    of its own, so a task holds the rows of one join or one aggregate.
     """
     # one pass over the input; self loops stay in, so that lonely nodes are known
     base = cut_lineage(
         edges.where("src IS NOT NULL AND trg IS NOT NULL")
         .select(F.greatest("src", "trg").alias("hi"), F.least("src", "trg").alias("lo")).distinct())
-    all_nodes = base.select(F.explode(F.array("hi", "lo")).alias("node")).distinct()
     pairs = base.where("hi <> lo")
-    before = _mark(pairs)
     for _ in range(max_rounds):
-        both = pairs.select(F.col("hi").alias("a"), F.col("lo").alias("b")).union(
-            pairs.select(F.col("lo").alias("a"), F.col("hi").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = (both.where("b > a").join(least, "a")
-                 .select(F.col("b").alias("hi"), F.col("m").alias("lo")).distinct())
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = (large.join(least, "hi").where("lo <> m")
-                 .select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-                 .union(least.select("hi", F.col("m").alias("lo"))).distinct())
-        pairs = cut_lineage(small)
-        after = _mark(pairs)
-        if after == before:
+        ahead = pairs.groupBy(F.col("hi").alias("lo")).agg(F.min("lo").alias("m"))
+        large = cut_lineage(pairs.join(ahead, "lo", "left").select(
+            "hi", F.coalesce("m", "lo").alias("lo"), F.col("m").isNotNull().alias("moved")))
+        least = cut_lineage(large.groupBy("hi").agg(F.min("lo").alias("m"), (F.min("lo") < F.max("lo")).alias("many")))
+        pairs = least.select("hi", F.col("m").alias("lo"))
+        if not least.where("many").isEmpty():
+            # the other nodes it points at point at the least one too
+            pairs = pairs.union(cut_lineage(
+                large.join(least.where("many"), "hi").where("lo <> m")
+                .select(F.col("lo").alias("hi"), F.col("m").alias("lo")).distinct()))
+        elif large.where("moved").isEmpty():
             break
-        before = after
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return all_nodes.join(pairs.select(F.col("hi").alias("node"), F.col("lo").alias("component")),
-                          "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # stars: every node that points has its label, and the nodes pointed at are the labels
+    labels = pairs.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(
+        pairs.select("lo").distinct().select(F.col("lo").alias("node"), F.col("lo").alias("component")))
+    lonely = base.where("hi = lo").select(F.col("hi").alias("node"), F.col("lo").alias("component"))
+    if lonely.isEmpty():
+        return labels
+    return labels.union(lonely.join(labels.select("node"), "node", "left_anti"))
 
 
 def is_connected(edges: DataFrame) -> bool:

@@ -1,6 +1,7 @@
 """Golden values and properties of the network operators."""
 
 import math
+import re
 from fractions import Fraction
 
 import numpy as np
@@ -246,6 +247,34 @@ def test_spanning_tree_keeps_the_row_of_the_smaller_source(spark):
     assert {tuple(r) for r in tree.collect()} == {("a", "b", 1.0, 3.0), ("c", "b", 2.0, 2.0)}
 
 
+@pytest.mark.parametrize("seed,n,m", [(7, 60, 40), (8, 90, 90), (9, 20, 60)])
+def test_components_join_once_per_table(spark, monkeypatch, seed, n, m):
+    """One join or one aggregate at a time, so that a task never holds the rows of several."""
+    rows = [(f"n{a}", f"n{b}") for a, b, _ in random_edges(seed, n, m)]
+    labels, _ = union_find([(a, b, 0.0) for a, b in rows])
+    odd = [(b, a) for a, b in rows[:9]] + rows[:9] + [(rows[0][0], rows[0][0]), ("alone", "alone"), ("z", None), (None, None)]
+    plans = plans_written(monkeypatch)
+    found = G.components(spark.createDataFrame(rows + odd, "src string, trg string"))
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    got = [tuple(r) for r in found.select("node", "component").collect()]
+    assert len(got) == len(labels) + 1 and dict(got) == labels | {"alone": "alone"}
+    assert max(len(re.findall(r"(?:SortMerge|BroadcastHash|ShuffledHash)Join", p)) for p in plans) == 1
+
+
+def test_components_of_families(spark, monkeypatch):
+    """Stars settle in one round: a table of pairs, one of moved pairs, one of labels."""
+    rows = [(f"{o}{k}", f"{o}1") for o in range(30) for k in range(2, 7)]
+    plans = plans_written(monkeypatch)
+    found = G.components(spark.createDataFrame(rows, "src string, trg string"))
+    assert {tuple(r) for r in found.collect()} == set(rows) | {(b, b) for _, b in rows}
+    assert len(plans) == 3 and not any("Union" in p for p in plans)
+    assert not re.search("Join", found._jdf.queryExecution().executedPlan().toString())
+
+
+def test_components_of_nothing(spark):
+    assert G.components(spark.createDataFrame([], "src string, trg string")).collect() == []
+
+
 def test_components_of_a_long_path(spark):
     rows = [(i, i + 1, 1.0) for i in range(120)]
     edges = spark.createDataFrame(rows, "src int, trg int, nij double")
