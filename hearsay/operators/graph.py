@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from hearsay.session import cut_lineage
 
+SPLIT_BYTES = 16 << 20      # of a file, for a task that sorts or hashes whole edges
 BATCH_ROWS = 1_000_000      # heaviest edges that a spanning forest begins with, at least
 
 
@@ -63,31 +64,32 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     need about log(n) rounds instead of one per hop of the diameter.  A pair points
     from its greater node to its smaller one, so the least neighbour of a node is the
     least of the nodes it points at, and pairs are never mirrored.  Each step is a table
-    of its own, so a task holds the rows of one join or one aggregate.
+    of its own that reads small splits, so a task holds few rows of one join or one aggregate.
     """
     # one pass over the input; self loops stay in, so that lonely nodes are known
     base = cut_lineage(
         edges.where("src IS NOT NULL AND trg IS NOT NULL")
-        .select(F.greatest("src", "trg").alias("hi"), F.least("src", "trg").alias("lo")).distinct())
+        .select(F.greatest("src", "trg").alias("hi"), F.least("src", "trg").alias("lo")).distinct(), SPLIT_BYTES)
     pairs = base.where("hi <> lo")
     for _ in range(max_rounds):
         ahead = pairs.groupBy(F.col("hi").alias("lo")).agg(F.min("lo").alias("m"))
         large = cut_lineage(pairs.join(ahead, "lo", "left").select(
-            "hi", F.coalesce("m", "lo").alias("lo"), F.col("m").isNotNull().alias("moved")))
-        least = cut_lineage(large.groupBy("hi").agg(F.min("lo").alias("m"), (F.min("lo") < F.max("lo")).alias("many")))
+            "hi", F.coalesce("m", "lo").alias("lo"), F.col("m").isNotNull().alias("moved")), SPLIT_BYTES)
+        least = cut_lineage(large.groupBy("hi").agg(
+            F.min("lo").alias("m"), (F.min("lo") < F.max("lo")).alias("many")), SPLIT_BYTES)
         pairs = least.select("hi", F.col("m").alias("lo"))
         if not least.where("many").isEmpty():
             # the other nodes it points at point at the least one too
             pairs = pairs.union(cut_lineage(
                 large.join(least.where("many"), "hi").where("lo <> m")
-                .select(F.col("lo").alias("hi"), F.col("m").alias("lo")).distinct()))
+                .select(F.col("lo").alias("hi"), F.col("m").alias("lo")).distinct(), SPLIT_BYTES))
         elif large.where("moved").isEmpty():
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     # stars: every node that points has its label, and the nodes pointed at are the labels
     labels = pairs.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(
-        pairs.select("lo").distinct().select(F.col("lo").alias("node"), F.col("lo").alias("component")))
+        cut_lineage(pairs.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct(), SPLIT_BYTES))
     lonely = base.where("hi = lo").select(F.col("hi").alias("node"), F.col("lo").alias("component"))
     if lonely.isEmpty():
         return labels
@@ -169,7 +171,7 @@ def spanning_rows(pairs: DataFrame, batch_rows: int = BATCH_ROWS) -> DataFrame:
     rows only those between its components go on, which in a dense network are few.
     Batches at least double, so there are few of them whatever the weights are.
     """
-    rest = cut_lineage(pairs.select(F.col("lo").alias("a"), F.col("hi").alias("b"), *pairs.columns))
+    rest = cut_lineage(pairs.select(F.col("lo").alias("a"), F.col("hi").alias("b"), *pairs.columns), SPLIT_BYTES)
     found = None
     while True:
         cut, batch_rows = _heaviest(rest, batch_rows)
@@ -194,7 +196,7 @@ def spanning_rows(pairs: DataFrame, batch_rows: int = BATCH_ROWS) -> DataFrame:
         for end in ("a", "b"):
             light = light.join(where.select(F.col("node").alias(end), F.col("to").alias(f"to_{end}")), end, "left")
         rest = cut_lineage(light.select(F.coalesce("to_a", "a").alias("a"), F.coalesce("to_b", "b").alias("b"), *pairs.columns)
-                           .where("a <> b"))
+                           .where("a <> b"), SPLIT_BYTES)
         batch_rows *= 2
 
 

@@ -209,9 +209,9 @@ def plans_written(monkeypatch):
     """Plans of the tables that the graph operators write between steps."""
     plans, write = [], G.cut_lineage
 
-    def noted(df):
+    def noted(df, *options):
         plans.append(df._jdf.queryExecution().executedPlan().toString())
-        return write(df)
+        return write(df, *options)
 
     monkeypatch.setattr(G, "cut_lineage", noted)
     return plans
@@ -262,12 +262,12 @@ def test_components_join_once_per_table(spark, monkeypatch, seed, n, m):
 
 
 def test_components_of_families(spark, monkeypatch):
-    """Stars settle in one round: a table of pairs, one of moved pairs, one of labels."""
+    """Stars settle in one round: tables of pairs, moved pairs, labels and the nodes they name."""
     rows = [(f"{o}{k}", f"{o}1") for o in range(30) for k in range(2, 7)]
     plans = plans_written(monkeypatch)
     found = G.components(spark.createDataFrame(rows, "src string, trg string"))
     assert {tuple(r) for r in found.collect()} == set(rows) | {(b, b) for _, b in rows}
-    assert len(plans) == 3 and not any("Union" in p for p in plans)
+    assert len(plans) == 4 and not any("Union" in p for p in plans)
     assert not re.search("Join", found._jdf.queryExecution().executedPlan().toString())
 
 
