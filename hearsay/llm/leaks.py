@@ -32,7 +32,7 @@ import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -63,16 +63,18 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def embed(windows: np.ndarray, walk: int) -> np.ndarray:
-    """CGK embedding of equally long rows of word numbers (0 or more); -1 pads the end."""
+def embed(windows: np.ndarray, walks: int, steps: int) -> np.ndarray:
+    """The first steps of the CGK embeddings, as (step, walk, row), of equally long rows
+    of word numbers (0 or more); -1 pads the end."""
     rows, size = windows.shape
     padded = np.concatenate([windows, np.full((rows, 1), -1, dtype=np.int64)], axis=1)
-    out = np.empty((rows, STEPS_PER_WORD * size), dtype=np.int64)
-    at, every = np.zeros(rows, dtype=np.int64), np.arange(rows)
-    for step in range(out.shape[1]):
-        out[:, step] = padded[every, at]
-        seed = np.uint64((walk * 1_000_003 + step) * 2 + 1)
-        bit = _mixed(_mixed(out[:, step].astype(np.uint64) + seed) * seed) >> np.uint64(63)
+    out = np.empty((steps, walks, rows), dtype=np.int64)
+    at, every = np.zeros((walks, rows), dtype=np.int64), np.arange(rows)
+    first = np.arange(walks, dtype=np.uint64)[:, None] * np.uint64(1_000_003)
+    for step in range(steps):
+        out[step] = padded[every, at]
+        seed = (first + np.uint64(step)) * np.uint64(2) + np.uint64(1)
+        bit = _mixed(_mixed(out[step].astype(np.uint64) + seed) * seed) >> np.uint64(63)
         at = np.minimum(at + bit.astype(np.int64), size)
     return out
 
@@ -116,7 +118,8 @@ class ItemBlock:
                 places[gram].append((number, offset))
         self.grams = np.array(sorted(places), dtype=np.int64)
         held = [places[g] for g in self.grams.tolist()]
-        self.first = np.cumsum([0] + [len(h) for h in held])
+        self.count = np.array([len(h) for h in held], dtype=np.int64)
+        self.first = np.cumsum(self.count) - self.count
         flat = np.array([x for h in held for x in h], dtype=np.int64).reshape(-1, 2)
         self.at_item, self.at_offset = flat[:, 0], flat[:, 1]
         # each edit breaks at most ``gram`` runs, so this many stay in a leaked item
@@ -125,8 +128,11 @@ class ItemBlock:
         by_size = defaultdict(list)
         for number, code in enumerate(self.coded):
             by_size[len(code)].append(number)
+        self.places: dict[int, list[np.ndarray]] = {}  # size -> sampled places of each table
         self.tables: dict[tuple, list[int]] = defaultdict(list)
         for size, numbers in by_size.items():
+            self.places[size] = [np.sort(np.random.default_rng([size, table]).choice(
+                STEPS_PER_WORD * size // 2, size=SAMPLED, replace=False)) for table in range(self.n_tables)]
             for table, keys in self._keys(np.stack([self.coded[n] for n in numbers])):
                 for key, number in zip(keys, numbers):
                     self.tables[size, table, key].append(number)
@@ -141,39 +147,37 @@ class ItemBlock:
         return total
 
     def _keys(self, windows: np.ndarray) -> Iterator[tuple[int, list[bytes]]]:
-        embedded = [embed(windows, walk) for walk in range(WALKS)]
-        for table in range(self.n_tables):
-            chosen = np.random.default_rng([windows.shape[1], table]).choice(
-                STEPS_PER_WORD * windows.shape[1] // 2, size=SAMPLED, replace=False)
-            picked = np.ascontiguousarray(embedded[table % WALKS][:, np.sort(chosen)])
+        places = self.places[windows.shape[1]]
+        # all walks take their steps together, up to the last place that a table samples
+        embedded = embed(windows, WALKS, 1 + max(int(chosen[-1]) for chosen in places))
+        for table, chosen in enumerate(places):
+            picked = np.ascontiguousarray(embedded[chosen, table % WALKS].T)
             yield table, [row.tobytes() for row in picked]
 
     def find(self, text: str | None, prefilter: bool = True) -> list[tuple[int, int, int]]:
         """``(item_id, distance, start)`` of every item that leaks into the text."""
         if not text or not self.items:
             return []
-        words, vocabulary, q = words_of(text), self.vocabulary, self.gram
+        words, q = words_of(text), self.gram
+        code = np.fromiter(map(self.vocabulary.get, words, repeat(-1)), dtype=np.int64, count=len(words))
         if not prefilter:
-            code = np.array([vocabulary.get(w, -1) for w in words], dtype=np.int64)
             every: dict[int, tuple[int, int]] = {}
             for size in sorted({len(c) for c in self.coded}):
                 self._verify(code, size, list(range(1 - size, len(code))), every)
             return sorted((self.items[n][0], d, s) for n, (d, s) in every.items())
-        held = np.array([i for i, w in enumerate(words) if w in vocabulary], dtype=np.int64)
+        held = np.flatnonzero(code >= 0)
         if len(held) < q:
             return []
         run = np.flatnonzero(held[q - 1:] - held[:len(held) - q + 1] == q - 1)
         if not len(run):
             return []
-        code = np.full(len(words), -1, dtype=np.int64)
-        code[held] = [vocabulary[words[i]] for i in held]
         at = held[run]
         grams = np.zeros(len(at), dtype=np.int64)
         for j in range(q):
             grams = grams * self.base + code[at + j]
         place = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
         hits = np.flatnonzero(self.grams[place] == grams)
-        begin, count = self.first[place[hits]], np.diff(self.first)[place[hits]]
+        begin, count = self.first[place[hits]], self.count[place[hits]]
         spot = np.repeat(begin - np.cumsum(count) + count, count) + np.arange(count.sum())
         item = self.at_item[spot]
         start = np.repeat(at[hits], count) - self.at_offset[spot]

@@ -419,6 +419,31 @@ def test_leaks_without_the_run_filter():
     assert filtered == every and sum(map(len, every)) > 30
 
 
+def test_leaks_walks_stop_at_the_last_sampled_step(monkeypatch):
+    item, most, mixed, calls = [f"w{k}" for k in range(40)], 2 ** 64 - 1, leaks._mixed, []
+    block = leaks.ItemBlock([(1, item)])
+
+    def mix(x):
+        x = (x ^ x >> 31) * 0x9E3779B97F4A7C15 & most
+        return x ^ x >> 29
+
+    def walk(number):
+        at, out = 0, []
+        for step in range(60):
+            out.append(at if at < 40 else -1)  # words of the item are numbered in order
+            seed = (number * 1_000_003 + step) * 2 + 1
+            at = min(40, at + (mix(mix(out[-1] + seed & most) * seed & most) >> 63))
+        return out
+
+    for table in range(block.n_tables):
+        chosen = sorted(np.random.default_rng([40, table]).choice(60, size=2, replace=False))
+        key = np.array([walk(table % leaks.WALKS)[c] for c in chosen], dtype=np.int64).tobytes()
+        assert block.tables[40, table, key] == [0]
+    monkeypatch.setattr(leaks, "_mixed", lambda x: calls.append(x.shape) or mixed(x))
+    assert block.find(" ".join(["x y", *item[:20], "z", *item[20:], "x"])) == [(1, 1, 3)]
+    assert 0 < len(calls) <= 2 * 60  # twice a step, for all walks at once
+
+
 def test_leaks_one_block_at_a_time(spark, odd):
     items = [(i, " ".join(f"i{i}w{k}" for k in range(12))) for i in range(9)]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
