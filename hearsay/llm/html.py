@@ -59,8 +59,12 @@ KEEPS_OPEN = frozenset("ul ol dl table td th body html article section main div"
 _CELLS = frozenset(("td", "th"))
 IMPLIED = {"p": ({"p"}, KEEPS_OPEN), "li": ({"li"}, KEEPS_OPEN), "dt": ({"dt", "dd"}, KEEPS_OPEN),
            "tr": ({"tr", "td", "th"}, KEEPS_OPEN - _CELLS), "td": ({"td", "th"}, KEEPS_OPEN - _CELLS)}
+#: the kinds that an open element of this name answers, by being closed or by standing before it
+ANSWERS = {tag: [kind for kind, (gone, stop) in IMPLIED.items() if tag in gone or tag in stop]
+           for tag in KEEPS_OPEN.union(*[gone for gone, _ in IMPLIED.values()])}
 CLOSER = {"li": "li", "dt": "dt", "dd": "dt", "tr": "tr", "td": "td", "th": "td"}
 
+OPENING = re.compile(r"<(?:(!--)|([!?])|/?[A-Za-z])")
 TAG_NAME = re.compile(r"<(/?)([A-Za-z][^\s/>\"']*)")
 STOP = re.compile(r"[>\"']")
 NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -72,7 +76,7 @@ class Element:
     neither reading nor describing a block walks up: ``has`` is shared with the parent unless
     the element adds to it."""
 
-    __slots__ = ("tag", "names", "parent", "silent", "linked", "inner", "own", "near", "has", "closes")
+    __slots__ = ("tag", "names", "parent", "silent", "linked", "inner", "own", "near", "has")
 
     def __init__(self, tag: str, names: list[str], parent: "Element | None", known) -> None:
         self.tag, self.names, self.parent = tag, names, parent
@@ -82,14 +86,12 @@ class Element:
         self.inner = tag if tag in SECTIONS else up.inner
         self.own = tag if tag in BLOCKS else up.own
         self.near = names or up.near
-        new = {f"name:{w}" for w in names}
+        new = [f"name:{w}" for w in names]
         if tag not in ("html", "body"):
-            new.add(f"in:{tag}")
+            new.append(f"in:{tag}")
         if known is not None:
-            new = {f for f in new if f in known}
-        self.has = up.has if new <= up.has else up.has | new
-        self.closes = {kind: self if tag in gone or tag in stop else up.closes.get(kind)
-                       for kind, (gone, stop) in IMPLIED.items()}
+            new = [f for f in new if f in known]
+        self.has = up.has if up.has.issuperset(new) else up.has.union(new)
 
 
 class _Root:
@@ -97,7 +99,6 @@ class _Root:
     inner = own = "none"
     near: list[str] = []
     has: frozenset[str] = frozenset()
-    closes: dict = {}
 
 
 ROOT = _Root()
@@ -159,12 +160,15 @@ def leaf_blocks(html: str | None, known=None) -> list[Block]:
     html = html or ""
     blocks: list[Block] = []
     open_now: Counter[str] = Counter()
+    answers: dict[str, list[Element]] = {kind: [] for kind in IMPLIED}  # open elements, the nearest last
     top: Element | None = None
     parts: list[str] = []
     linked = 0
 
     def flush() -> None:
         nonlocal parts, linked
+        if not parts:
+            return
         text = " ".join("".join(parts).split())
         if text:
             blocks.append(Block(text, top, linked))
@@ -184,36 +188,35 @@ def leaf_blocks(html: str | None, known=None) -> list[Block]:
         while True:
             gone, top = top, top.parent
             open_now[gone.tag] -= 1
+            for kind in ANSWERS.get(gone.tag, ()):
+                answers[kind].pop()
             if gone is element:
                 return
 
     def implied(kind: str) -> None:
-        element = top.closes[kind] if top else None
-        if element and element.tag in IMPLIED[kind][0]:
-            leave(element)
+        if answers[kind] and answers[kind][-1].tag in IMPLIED[kind][0]:
+            leave(answers[kind][-1])
 
     tags, at, look, ends = _Tags(html), 0, 0, {}
     while True:
-        start = html.find("<", look)
-        if start < 0:
+        opening = OPENING.search(html, look)
+        if not opening:
             say(html[at:])
             break
+        start = opening.start()
         look = start + 1
-        if html.startswith("<!--", start):
+        if opening[1]:
             end = html.find("-->", start + 4)
             end = len(html) if end < 0 else end + 3
             say(html[at:start])
             at = look = end
             continue
-        if html.startswith(("<!", "<?"), start):
+        if opening[2]:
             end = html.find(">", start) + 1 if start < tags.last else 0
             if end:
                 say(html[at:start])
                 at = look = end
             continue
-        name_at = start + 2 if html.startswith("</", start) else start + 1
-        if not (name_at < len(html) and html[name_at].isascii() and html[name_at].isalpha()):
-            continue
         end = tags.end(start)
         if end < 0:
             continue
@@ -243,6 +246,8 @@ def leaf_blocks(html: str | None, known=None) -> list[Block]:
             (m[1] or m[2] or m[3] or "").lower())] if rest else []
         top = Element(tag, names, top, known)
         open_now[tag] += 1
+        for kind in ANSWERS.get(tag, ()):
+            answers[kind].append(top)
         if tag in RAW:
             if tag not in ends or 0 <= ends[tag] < at:
                 closing = re.compile(rf"</{tag}", re.I).search(html, at)
@@ -282,11 +287,13 @@ class Field:
         self.move, self.first, self.last = np.zeros((2, 2)), np.zeros(2), np.zeros(2)
 
     def scores(self, page: list[list[str]]) -> np.ndarray:
-        out = np.zeros((len(page), 2))
-        for i, has in enumerate(page):
+        rows: dict[tuple[str, ...], int] = {}  # blocks of equal features have equal scores
+        at = [rows.setdefault(tuple(has), len(rows)) for has in page]
+        out = np.zeros((len(rows), 2))
+        for i, has in enumerate(rows):
             known = [k for k in map(self.index.get, has) if k is not None]
             out[i] = self.state[known].sum(axis=0)
-        return out
+        return out[at]
 
     def decode(self, page: list[list[str]]) -> list[int]:
         """Viterbi."""
