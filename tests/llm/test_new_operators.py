@@ -124,6 +124,25 @@ def test_language_bound_keeps_frequent(tongues):
     assert [small.names[k] for k in small.cross_entropies(texts).argmin(axis=1)] == small.names
 
 
+def test_language_keeps_every_gram(spark, monkeypatch):
+    """More n-grams of one order than any bound that once held, all of one class of counts."""
+    counts = spark.range(600_000).select(F.lit("xx").alias("lang"), F.lit(4).alias("k"), F.lpad(
+        F.conv("id", 10, 36), 4, "0").alias("gram"), F.lit(1).cast("long").alias("n"))
+    kept = langid.model_rows(counts)
+    assert kept.count() == 600_000 and kept.where("total = 36 AND types = 36").count() > 599_900
+    table = spark.createDataFrame([(lang, k, "", True, float(i), float(-k), 7 * i % 11 - 5, i % 3)
+                                   for lang, k in itertools.product(("a", "b"), range(1, 5)) for i in range(k + 4)],
+                                  "lang string, k int, gram string, keep boolean, value float, weight float, h bigint, c bigint")
+    monkeypatch.setattr(langid, "HELD_ROWS", 9)       # several groups of orders
+    names, stored = langid.store(table, 5)
+    assert names == ["a", "b"]
+    for language, k in itertools.product(stored.languages(), range(1, 5)):
+        keys, values = language.grams[k - 1]
+        want = sorted((np.uint64((7 * i % 11 - 5) % 2**64), i) for i in range(k + 4))
+        assert list(zip(keys, values)) == want and language.unknown == -math.log(5)
+        assert list(zip(*language.contexts[k - 1])) == [(0, -k), (1, -k), (2, -k)]
+
+
 def test_language_query(spark):
     folder = "/root/testdata/sf0.01"
     got = queries.op11_language_id(spark, folder).join(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang"), "doc_id")
