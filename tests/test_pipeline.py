@@ -2,7 +2,10 @@
 
 import datetime
 import json
+import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.ml.clustering import LDAModel
 from pyspark.sql import functions as F
@@ -14,6 +17,7 @@ from hearsay.operators import coverage as C
 from hearsay.operators import crosspost as CP
 from hearsay.operators import models as M
 from hearsay.operators import topics as TP
+from hearsay.operators import variational
 from hearsay.sources import posts as P
 from hearsay.sources import tabular as TB
 
@@ -302,3 +306,32 @@ def test_sweep_infers_the_documents_once_per_model(spark, monkeypatch):
     for row, (k, bound, perplexity) in zip(TP.sweep(vectors, [2, 3], 3).orderBy("k").collect(), told):
         assert row["k"] == k and abs(row["log_likelihood"] / bound - 1) < 1e-9
         assert abs(row["log_perplexity"] / perplexity - 1) < 1e-9
+
+
+def test_sweep_runs_all_models_in_the_same_passes(spark, monkeypatch):
+    """As many passes for three models as for one, with the bounds of Spark's own models."""
+    rng = random.Random(5)
+    docs = [(i, " ".join(f"w{int(rng.random() ** 2 * 40) + 20 * (i % 3)}" for _ in range(rng.randrange(0, 60)))) for i in range(400)]
+    words = TP.tokens(spark.createDataFrame(docs, "id int, text string").repartition(3), "text", [], letters=False)
+    vectors = TP.vectorizer(TP.vocabulary(words, 100, 1.0, 1.0)).transform(words).cache()
+    told = {k: TP.fit(vectors, k, 4).logLikelihood(vectors) for k in (2, 3, 7)}
+    passes = []
+    monkeypatch.setattr(variational, "_folded", lambda *a, run=variational._folded: passes.append(1) or run(*a))
+    found = TP.sweep(vectors, [7, 2, 3], 4).collect()
+    assert [r["k"] for r in found] == [7, 2, 3] and len(passes) == 4 + 1
+    for r in found:
+        assert abs(r["log_likelihood"] / told[r["k"]] - 1) < 1e-7
+        tokens = sum(len(t.split()) for _, t in docs)
+        assert abs(r["log_perplexity"] * tokens / -told[r["k"]] - 1) < 1e-7
+    with pytest.raises(ValueError):
+        TP.sweep(vectors.limit(0), [2], 1)
+    assert TP.sweep(vectors, [], 1).count() == 0
+
+
+def test_special_functions_of_the_sweep():
+    x = np.array([0.01, 0.09, 0.5, 1.0, 2.5, 40.0, 3e4])
+    assert np.allclose(variational.lgamma(x), [math.lgamma(v) for v in x], rtol=1e-10, atol=1e-10)
+    assert np.allclose(variational.digamma(x + 1) - variational.digamma(x), 1 / x, rtol=1e-8, atol=1e-10)
+    assert np.allclose(variational.trigamma(x) - variational.trigamma(x + 1), 1 / x ** 2, rtol=1e-8, atol=1e-10)
+    assert abs(variational.digamma(np.array([1.0]))[0] + 0.5772156649015329) < 1e-10
+    assert abs(variational.trigamma(np.array([1.0]))[0] - math.pi ** 2 / 6) < 1e-10
